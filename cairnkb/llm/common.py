@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
@@ -48,6 +50,12 @@ def clean() -> None:
 atexit.register(clean)
 
 
+def broadcast(df: DataFrame, value):
+    """A broadcast of plain Python data (its size bounded by the caller), with this package on the executors."""
+    ship(df.sparkSession)
+    return df.sparkSession.sparkContext.broadcast(value)
+
+
 def text_key() -> list:
     """Two independent 64-bit hashes: rows of one key hold the same text (a null text is keyed as empty)."""
     text = F.coalesce(F.col("text"), F.lit(""))

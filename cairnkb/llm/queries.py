@@ -2,16 +2,105 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontaminate, language, lines, packing, secrets, simhash
 from .common import documents
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer's vocabulary; PACKING_TOKENIZER names another file."""
+    if "PACKING_TOKENIZER" in os.environ:
+        return os.environ["PACKING_TOKENIZER"]
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.contamination(documents(spark, sf_dir, "doc_id", "text"), benchmark).select("doc_id", "contamination.*")
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {"op5_simhash": op5_simhash}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    found = language.with_language(docs, documents(spark, sf_dir, "doc_id", "text", "lang"))
+    return found.select("doc_id", language.held_out().alias("held_out"), "language.*")
+
+
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_secrets, op5_simhash, op8_packing, op9_language, op10_lines)}
 
 ORACLE: dict[str, str] = {}
+
+ORACLE["op2_decontaminate"] = r"""
+WITH b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+             regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, n, array_to_string(w[i + 1 : i + n], ' ') AS win
+       FROM (SELECT item, w, least(13, len(w)) AS n, unnest(range(greatest(1, len(w) - 12))) AS i FROM b WHERE len(w) > 0)),
+ns AS (SELECT DISTINCT n FROM bw),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dw AS (SELECT r, n, i, array_to_string(w[i + 1 : i + n], ' ') AS win
+       FROM (SELECT r, w, n, unnest(range(greatest(0, len(w) - n + 1))) AS i FROM d, ns)),
+m AS (SELECT r, i, n, item FROM dw JOIN bw USING (n, win)),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM m)) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM m) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)"""
+
+
+def _secret_sql(kind: str, rank: int, pattern: str, group: int, least: int) -> str:
+    gap = "(?s)(.*?)(" + pattern + ")"
+    sql = gap.replace("'", "''")
+    return f"""
+s{rank} AS (SELECT r, {rank} AS rank, '{kind}' AS kind, list_sum(list_slice(a, 1, i)) - f[i] AS start, list_sum(list_slice(a, 1, i)) AS stop
+  FROM (SELECT r, list_transform(regexp_extract_all(t, '{sql}', 0), lambda x: length(x)) AS a, list_transform(regexp_extract_all(t, '{sql}', 2), lambda x: length(x)) AS f,
+          list_transform(regexp_extract_all(t, '{sql}', {2 + group if group else 2}), lambda x: length(x)) AS g FROM d) x,
+       LATERAL (SELECT unnest(range(1, len(a) + 1)) AS i) y WHERE g[i] >= {least})"""
+
+
+ORACLE["op4_secrets"] = (
+    "WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),"
+    + ",".join(_secret_sql(x.kind, i, x.pattern, x.group, x.least) for i, x in enumerate(secrets.RULES))
+    + """,
+a AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || CAST(CAST(start AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR), ',' ORDER BY start, rank) AS spans
+  FROM (FROM s0 UNION ALL FROM s1 UNION ALL FROM s2) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)"""
+)
+
+ORACLE["op10_lines"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, {lines._LAST}) AS doc, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+o AS (SELECT r, {{'doc': doc, 'no': i}} AS place, ls[i] AS line FROM (SELECT r, doc, ls, unnest(range(1, len(ls) + 1)) AS i FROM d) WHERE length(ls[i]) >= {lines.MIN_CHARS}),
+f AS (SELECT line, min(place) AS first FROM o GROUP BY line),
+v AS (SELECT line, first, i, hash(line[: i - 1] || line[i + 1 :]) AS h FROM (SELECT line, first, unnest(range(1, length(line) + 1)) AS i FROM f)),
+s AS (SELECT i, h, min(first) AS first FROM v GROUP BY i, h HAVING count(*) > 1),
+near AS (SELECT v.line FROM v JOIN s USING (i, h) WHERE s.first < v.first
+   UNION SELECT v.line FROM v JOIN f ON v.h = hash(f.line) WHERE f.first < v.first
+   UNION SELECT f.line FROM v JOIN f ON v.h = hash(f.line) WHERE v.first < f.first),
+g AS (SELECT r, list(CAST(place.no AS BIGINT)) AS gone FROM o JOIN f USING (line) WHERE place <> first OR line IN (FROM near) GROUP BY r)
+SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ls[i]), chr(10)) END) AS kept_sha256
+FROM d LEFT JOIN g USING (r)"""
