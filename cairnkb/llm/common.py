@@ -33,16 +33,26 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _scratch.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    saved = spark.read.schema(df.schema).parquet(path)
+    saved._cairnkb_path = path
+    return saved
+
+
+def drop(saved: DataFrame) -> None:
+    """Delete a table that ``save`` returned and that nothing will read again."""
+    _delete(saved.sparkSession, saved._cairnkb_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def clean() -> None:
     """Delete what ``save`` has written; call it once results that read it are written."""
     while _scratch:
-        spark, path = _scratch.pop()
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(*_scratch.pop())
         except Exception:  # noqa: BLE001 - the session may have ended before
             return
 

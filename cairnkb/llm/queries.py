@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, lines, packing, secrets, simhash
+from . import decontaminate, hamming, language, lines, packing, secrets, simhash, substrings, suffixes, warc
 from .common import documents
 
 
@@ -20,11 +20,19 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup_bytes(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.contamination(documents(spark, sf_dir, "doc_id", "text"), benchmark).select("doc_id", "contamination.*")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_words(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -33,6 +41,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op6_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of all rows for each row whose id is divisible by 20 (the stated query set)."""
+    codes = hamming.with_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return hamming.top_k(codes.filter("id % 20 = 0"), codes)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits all pages against a second replica, in which one page of 97 has lost its last character."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    lost = F.pmod("page_id", F.lit(97)) == 13
+    html = F.coalesce("html", F.lit(""))
+    return warc.fixity_report(pages.withColumn("rotten", F.when(lost, F.left(html, F.length(html) - 1)).otherwise(html)))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"), tokenizer_path())
 
@@ -48,7 +70,21 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op4_secrets, op5_simhash, op8_packing, op9_language, op10_lines)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffixes,
+        op2_decontaminate,
+        op3_substrings,
+        op4_secrets,
+        op5_simhash,
+        op6_hamming,
+        op7_warc,
+        op8_packing,
+        op9_language,
+        op10_lines,
+    )
+}
 
 ORACLE: dict[str, str] = {}
 
@@ -104,3 +140,40 @@ g AS (SELECT r, list(CAST(place.no AS BIGINT)) AS gone FROM o JOIN f USING (line
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
   sha256(CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ls[i]), chr(10)) END) AS kept_sha256
 FROM d LEFT JOIN g USING (r)"""
+
+ORACLE["op3_substrings"] = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+v AS (SELECT r, i, array_to_string(w[i + 1 : i + 35], ' ') AS win FROM (SELECT r, w, unnest(range(greatest(0, len(w) - 34))) AS i FROM d)),
+c AS (SELECT win FROM v GROUP BY win HAVING count(*) > 1),
+g AS (SELECT r, list(DISTINCT p) AS gone FROM (SELECT r, unnest(range(i + 1, i + 36)) AS p FROM v SEMI JOIN c USING (win)) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(list_transform(CASE WHEN gone IS NULL THEN range(1, len(w) + 1) ELSE list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)) END, lambda i: w[i]), ' '), '')) AS kept_sha256
+FROM d LEFT JOIN g USING (r)"""
+
+ORACLE["op6_hamming"] = """
+WITH b AS (SELECT DISTINCT vec_id AS id, list_reduce(list_transform(embedding, lambda x, i: CASE WHEN x > 0 THEN CAST(1 AS UBIGINT) << ((i - 1) % 64) ELSE CAST(0 AS UBIGINT) END), lambda x, y: x | y) AS code
+  FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL),
+p AS (SELECT q.id AS query_id, r.id, CAST(bit_count(xor(q.code, r.code)) AS BIGINT) AS distance FROM b q, b r WHERE q.id % 20 = 0 AND q.id <> r.id),
+k AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank, id, distance FROM p)
+SELECT * FROM k WHERE rank <= 10"""
+
+_RECORD = (
+    "'WARC/1.0' || nl || 'WARC-Type: resource' || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Type: text/html' || nl || "
+    "'Content-Length: ' || CAST(strlen({body}) AS VARCHAR) || nl || nl || {body} || nl || nl"
+)
+
+
+def _nodes(table: str, below: str) -> str:
+    return f"{table} AS (SELECT archive, seq // 16 AS seq, sha256(string_agg(a, '' ORDER BY seq)) AS a, sha256(string_agg(b, '' ORDER BY seq)) AS b FROM {below} GROUP BY ALL)"
+
+
+ORACLE["op7_warc"] = f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, chr(13) || chr(10) AS nl,
+  CASE WHEN page_id % 97 = 13 THEN left(coalesce(html, ''), greatest(0, length(coalesce(html, '')) - 1)) ELSE coalesce(html, '') END AS rotten FROM pages),
+h AS (SELECT page_id, url, sha256({_RECORD.format(body="html")}) AS a, sha256({_RECORD.format(body="rotten")}) AS b, strlen({_RECORD.format(body="html")}) AS n FROM p),
+r AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, url, a) - 1 AS rank FROM h),
+l0 AS (SELECT page_id, a, b, n, rank // 1000 AS archive, rank % 1000 AS seq FROM r),
+{_nodes("l1", "l0")}, {_nodes("l2", "l1")}, {_nodes("l3", "l2")}
+SELECT archive, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS n_bytes, any_value(l3.a) AS root, any_value(l3.b) AS replica_root,
+  count(*) FILTER (l0.a <> l0.b) AS n_bad, coalesce(string_agg(coalesce(CAST(page_id AS VARCHAR), ''), ',' ORDER BY l0.seq) FILTER (l0.a <> l0.b), '') AS bad_ids
+FROM l0 JOIN l3 USING (archive) GROUP BY archive"""
