@@ -9,6 +9,7 @@ left allow. Remainders then take their places by their number among those of the
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -24,34 +25,65 @@ from .common import broadcast, save
 
 CAPACITY = 4096
 END = 2
-#: Words whose ids a worker remembers; beyond, it starts anew.
-REMEMBER = 400_000
+#: Parts whose ids a worker remembers; beyond, it starts anew and looks back to those for a while.
+REMEMBER = 250_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+# How the vocabulary file splits lower-case text, for characters up to U+024F; what those are.
+_LETTER, _NUMBER = "a-zªµºß-öø-ɏ", "0-9²³¹¼-¾"
+_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
+_PLAIN = re.compile(r"[\t\n\v\f\r -~¡-įı-ɏ]*")
+
+
 class Encoder(dict):
-    """Token ids by blank-separated part of a text; ``word_bpe`` drops blanks and treats the parts alone."""
+    """Token ids by part of a text, as the tokenizer splits it.
+
+    Texts of plain characters are split here, and only parts not seen lately are encoded,
+    those of a text together. Other texts, and such as hold a special token, are encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
+        super().__init__()
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, part: str) -> bytes:
-        if len(self) > REMEMBER:
+    def _learn(self, parts: list[str]) -> None:
+        """Remember the parts' ids; the part of an id is the encoding's word."""
+        if len(self) + len(parts) > REMEMBER:
+            self.old = dict(self)
             self.clear()
-            self[""] = b""
-        ids = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u2").tobytes()
-        if len(part) <= 64:
-            self[part] = ids
-        return ids
+        new = []
+        for part in parts:
+            known = self.old.get(part)
+            if known is None:
+                new.append(part)
+            else:
+                self[part] = known
+        if new:
+            encoding = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+            ids = np.array(encoding.ids, "<u2")
+            ends = np.searchsorted(encoding.word_ids, np.arange(len(new)), "right").tolist()
+            start = 0
+            for part, end in zip(new, ends, strict=True):
+                self[part] = ids[start:end].tobytes()
+                start = end
 
     def ids(self, text: str | None) -> np.ndarray:
         """The text's ids, then the end id."""
-        parts = (text or "").replace("\n", " ").split(" ")
-        return np.frombuffer(b"".join([*map(self.__getitem__, parts), END.to_bytes(2, "little")]), "<u2")
+        text = text or ""
+        if not _PLAIN.fullmatch(text) or "<|" in text:
+            return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, END], "<u2")
+        parts = _PARTS.findall(text.lower())
+        found = list(map(self.get, parts))
+        if None in found:
+            self._learn(list(dict.fromkeys([p for p, x in zip(parts, found, strict=True) if x is None])))
+            found = [x or self[p] for p, x in zip(parts, found, strict=True)]
+        found.append(END.to_bytes(2, "little"))
+        return np.frombuffer(b"".join(found), "<u2")
 
 
 _encoders: dict[str, Encoder] = {}

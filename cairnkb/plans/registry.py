@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import search
+from . import search, usage
 
-MODULES = (search,)
+MODULES = (search, usage)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
