@@ -19,7 +19,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,33 +30,46 @@ from .common import drop, save
 
 #: Windows handled at once, so that long texts take bounded memory.
 SEGMENT = 1 << 19
+#: Bytes of short parts that are handled together, and of results put together.
+TOGETHER = 1 << 20
 _INDEX = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
-#: bytes -> (buffer, starts, ends, one 64-bit hash a symbol)
-Symbols = Callable[[bytes], tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]
-
 SPANS = "p1 long, p2 long, lo int, hi int, gram long, c1 long, c2 long"
 
 
+class Sequence:
+    """Some parts' symbols, one part after another."""
+
+    buffer: bytes
+    #: How many symbols each part has.
+    counts: np.ndarray
+
+    def codes(self, start: int, stop: int) -> np.ndarray:
+        """A 64-bit hash of each symbol of a range."""
+        raise NotImplementedError
+
+    def bounds(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the symbols lo to hi - 1 begin and end in ``buffer``."""
+        raise NotImplementedError
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, np.uint64(base & (2**64 - 1)))
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
-_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers_kept = [np.zeros(0, np.uint64)] * 2
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
-    size = 1 << max(12, (n - 1).bit_length())
-    if size not in _cache:
-        _cache.clear()
-        _cache[size] = (_powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size))
-    up, down = _cache[size]
-    return up[:n], down[:n]
+    if len(_powers_kept[0]) < n:
+        size = 1 << max(12, (n - 1).bit_length())
+        _powers_kept[:] = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
+    return _powers_kept[0][:n], _powers_kept[1][:n]
 
 
 def gram_hashes(symbols: np.ndarray, length: int) -> np.ndarray:
@@ -85,114 +99,130 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def spans(symbols: np.ndarray, window: int, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of the windows of a text: first and past-last start of each span, its gram's place and hash, by segments."""
-    total, width = len(symbols) - window + 1, window - length + 1
+def spans(sequence: Sequence, window: int, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of the windows within parts: each span's part, first and past-last start, gram's place and hash, by segments."""
+    owner = np.repeat(np.arange(len(sequence.counts), dtype=np.int32), sequence.counts)
+    total, width = len(owner) - window + 1, window - length + 1
     for at in range(0, max(total, 0), SEGMENT):
-        part = symbols[at : at + SEGMENT + window - 1]
-        h = gram_hashes(part, length)
+        stop = min(at + SEGMENT, total)
+        h = gram_hashes(sequence.codes(at, stop + window - 1), length)
         if width == 1:
             place = np.arange(len(h))
         else:
             place = (_sliding_min((h & ~_INDEX) | np.arange(len(h), dtype=np.uint64), width) & _INDEX).astype(np.int64)
+        place[owner[at:stop] != owner[at + window - 1 : stop + window - 1]] = -1  # across two parts
         edge = np.flatnonzero(np.diff(place)) + 1
         lo = np.concatenate([[0], edge])
         hi = np.concatenate([edge, [len(place)]])
-        yield lo + at, hi + at, place[lo] + at, h[place[lo]]
+        inside = place[lo] >= 0
+        lo, hi = lo[inside], hi[inside]
+        yield owner[at + lo], lo + at, hi + at, place[lo] + at, h[place[lo]]
 
 
-def _cut(parts: DataFrame, symbols: Symbols, window: int, length: int) -> DataFrame:
-    """The spans (SPANS) of ``parts(p1, p2, data)``; a span's content is hashed with its gram's place in it."""
+def _groups(sizes: np.ndarray, most: int = TOGETHER) -> Iterator[tuple[int, int]]:
+    """Runs of neighbours of about ``most`` in all; a larger one is alone or last."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield start, stop
+        start = stop
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            for p1, p2, data in zip(batch["p1"], batch["p2"], batch["data"], strict=True):
-                buffer, starts, ends, hashes = symbols(data)
-                for lo, hi, place, gram in spans(hashes, window, length):
-                    first, last = starts[lo].tolist(), ends[hi + (window - 2)].tolist()
-                    seeds = (place - lo).tolist()
-                    content = b"".join([digest(buffer[i:j], s) for i, j, s in zip(first, last, seeds, strict=True)])
-                    keys = np.frombuffer(content, "<i8").reshape(-1, 2)
-                    yield pd.DataFrame({
-                        "p1": p1, "p2": p2, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32),
-                        "gram": gram.view(np.int64), "c1": keys[:, 0], "c2": keys[:, 1],
-                    })
-
-    return _gathered(parts, run, SPANS)
-
-
-def _gathered(df: DataFrame, run: Callable, schema: str, rows: int = 50_000) -> DataFrame:
-    """mapInPandas with small results put together, as each has its price."""
-
-    def put_together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for x in run(batches):
-            held.append(x)
-            size += len(x)
-            if size >= rows:
-                yield pd.concat(held, ignore_index=True)
-                held, size = [], 0
-        if held:
-            yield pd.concat(held, ignore_index=True)
-
-    return df.mapInPandas(put_together, schema)
 
+def _cut(parts: DataFrame, symbols: Callable[[list[bytes]], Sequence], window: int, length: int) -> DataFrame:
+    """The spans (SPANS) of ``parts(p1, p2, data)``; a span's content is hashed with its gram's place in it."""
 
-def _contents(parts: DataFrame, wanted: DataFrame, symbols: Symbols, window: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, names = xxhash.xxh3_128_digest, [x.split()[0] for x in SPANS.split(", ")]
+        for batch in batches:
+            p1, p2 = batch["p1"].to_numpy(), batch["p2"].to_numpy()
+            for i, j in _groups(pc.binary_length(batch["data"]).to_numpy()):
+                sequence = symbols(batch["data"].slice(i, j - i).to_pylist())
+                before = np.cumsum(sequence.counts) - sequence.counts
+                buffer = sequence.buffer
+                for of, lo, hi, place, gram in spans(sequence, window, length):
+                    first, last = sequence.bounds(lo, hi + (window - 1))
+                    each = zip(first.tolist(), last.tolist(), (place - lo).tolist(), strict=True)
+                    keys = np.frombuffer(b"".join([digest(buffer[a:b], s) for a, b, s in each]), "<i8").reshape(-1, 2)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (
+                            p1[i:j][of], p2[i:j][of], (lo - before[of]).astype(np.int32), (hi - before[of]).astype(np.int32),
+                            gram.view(np.int64), np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1]),
+                        )],
+                        names=names,
+                    )
+
+    return parts.mapInArrow(run, SPANS)
+
+
+def _contents(parts: DataFrame, wanted: DataFrame, symbols: Callable[[list[bytes]], Sequence], window: int) -> DataFrame:
     """``(p1, p2, data)`` for the next level: the contents of the ``wanted`` spans, known by their hashes.
 
     Copies of a part follow each other after the join, and only the first is cut. Where a
     split of a skewed key lets another copy through, its windows are counted twice, rightly:
     they do occur twice.
     """
-    by_part = wanted.groupBy("p1", "p2").agg(F.collect_list(F.struct("lo", "hi", "c1", "c2")).alias("cuts"))
+    by_part = save(wanted.groupBy("p1", "p2").agg(F.collect_list(F.struct("lo", "hi", "c1", "c2")).alias("cuts")), "cuts")
     joined = parts.join(by_part, ["p1", "p2"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, size, keys, held = None, 0, [], []
+
+        def put_together() -> pa.RecordBatch:
+            one, two = (np.concatenate([x[i] for x in keys]) for i in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(held, pa.binary())], names=["p1", "p2", "data"])
+
         for batch in batches:
-            for p1, p2, data, cuts in zip(batch["p1"], batch["p2"], batch["data"], batch["cuts"], strict=True):
-                if before == (p1, p2):
+            p1, p2, offsets = batch["p1"].to_numpy(), batch["p2"].to_numpy(), batch["cuts"].offsets.to_numpy()
+            lo, hi, c1, c2 = (batch["cuts"].values.field(k).to_numpy() for k in ("lo", "hi", "c1", "c2"))
+            for row in range(batch.num_rows):
+                if before == (p1[row], p2[row]):
                     continue
-                before = (p1, p2)
-                buffer, starts, ends, _ = symbols(data)
-                found = sorted((c["lo"], c["hi"], c["c1"], c["c2"]) for c in cuts)
-                for at in range(0, len(found), 10_000):
-                    yield pd.DataFrame(
-                        [(c1, c2, buffer[starts[lo] : ends[hi + window - 2]]) for lo, hi, c1, c2 in found[at : at + 10_000]],
-                        columns=["p1", "p2", "data"],
-                    )
+                before = (p1[row], p2[row])
+                sequence = symbols([batch["data"][row].as_py()])
+                buffer = sequence.buffer
+                for at in range(offsets[row], offsets[row + 1], 1000):
+                    mine = slice(at, min(at + 1000, offsets[row + 1]))
+                    first, last = sequence.bounds(lo[mine], hi[mine] + (window - 1))
+                    held += [buffer[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                    keys.append((c1[mine], c2[mine]))
+                    size += int((last - first).sum())
+                    if size >= 4 * TOGETHER:
+                        yield put_together()
+                        size, keys, held = 0, [], []
+        if held:
+            yield put_together()
 
-    return _gathered(joined, run, "p1 long, p2 long, data binary", 5_000)
+    return joined.mapInArrow(run, "p1 long, p2 long, data binary")
 
 
-def repeated_windows(parts: DataFrame, symbols: Symbols, window: int, lengths: tuple[int, ...]) -> DataFrame:
+def repeated_windows(parts: DataFrame, symbols: Callable[[list[bytes]], Sequence], window: int, lengths: tuple[int, ...]) -> DataFrame:
     """``(p1, p2, lo, hi)``: ranges of starts of the windows in ``parts(p1, p2, data)`` that occur again.
 
     Parts of one key hold the same data. ``lengths`` are the gram lengths of the levels, the
-    last one ``window``. Ranges of one part may repeat if several rows share its key.
+    last one ``window``. Ranges of one part may repeat if several rows share its key. What is
+    counted by a key is written before it is joined by it: both sides of the join are then
+    plain exchanges, and Spark can split a key that holds a large part of the rows.
     """
     ship(parts.sparkSession)
     length, later = lengths[0], lengths[1:]
     cut = save(_cut(parts, symbols, window, length), f"spans{length}")
-    twice = cut.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    twice = save(cut.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), f"twice{length}")
     alive = save(cut.join(twice, "gram", "left_semi"), f"alive{length}")
     drop(cut)
-    distinct = alive.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min("gram").alias("gram"))
+    distinct = save(alive.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min("gram").alias("gram")), f"distinct{length}")
     if not later:
         whole = distinct.filter("n > 1").select("c1", "c2")
         return alive.join(whole, ["c1", "c2"], "left_semi").select("p1", "p2", "lo", "hi").distinct()
-    rivals = distinct.groupBy("gram").agg(F.count("*").alias("m"))
-    status = save(distinct.join(rivals, "gram").filter("n > 1 or m > 1").select("c1", "c2", "n", "m"), f"status{length}")
-    spread = save(alive.join(status, ["c1", "c2"]).select("p1", "p2", "lo", "hi", "c1", "c2", "n", "m").distinct(), f"spread{length}")
+    rivals = save(distinct.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1"), f"rivals{length}")
+    status = distinct.join(rivals, "gram", "left").filter("n > 1 or m > 1").select("c1", "c2", "n", F.coalesce("m", F.lit(1)).alias("m"))
+    spread = save(alive.join(save(status, f"status{length}"), ["c1", "c2"]).select("p1", "p2", "lo", "hi", "c1", "c2", "n", "m").distinct(), f"spread{length}")
     drop(alive)
-    one = F.xxhash64("p1", "p2", "lo")
-    open_ = spread.filter("m > 1")
-    chosen = open_.groupBy("c1", "c2").agg(F.min(one).alias("one")).withColumnsRenamed({"c1": "d1", "c2": "d2"})
-    wanted = open_.join(chosen, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2")) & (one == F.col("one"))).select("p1", "p2", "lo", "hi", "c1", "c2")
+    one = F.min(F.struct("p1", "p2", "lo", "hi")).alias("one")
+    wanted = spread.filter("m > 1").groupBy("c1", "c2").agg(one).select("one.*", "c1", "c2")
     inner = save(_contents(parts, wanted, symbols, window), f"contents{length}")
     found = repeated_windows(inner, symbols, window, later).withColumnsRenamed({"p1": "c1", "p2": "c2", "lo": "from", "hi": "to"})
+    found = save(found, f"found{length}")
     partly = spread.filter("n = 1").join(found, ["c1", "c2"]).select("p1", "p2", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
     return spread.filter("n > 1").select("p1", "p2", "lo", "hi").unionByName(partly).distinct()
 
@@ -207,7 +237,7 @@ def covered(lo: list[int], hi: list[int], window: int, n: int) -> np.ndarray:
 
 def with_ranges(docs: DataFrame, keys: list, ranges: DataFrame) -> DataFrame:
     """``docs`` with ``_ranges``, the repeated ranges of each text (null: none)."""
-    by = ranges.groupBy("p1", "p2").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges"))
+    by = save(ranges.groupBy("p1", "p2").agg(F.collect_list(F.struct("lo", "hi")).alias("_ranges")), "ranges")
     first, second = keys
     left = docs.withColumns({"_k1": first, "_k2": second})
     return left.join(by, (left["_k1"] == by["p1"]) & (left["_k2"] == by["p2"]), "left").drop("_k1", "_k2", "p1", "p2")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_key
-from .repeats import covered, repeated_windows, with_ranges
+from .repeats import Sequence, covered, repeated_windows, with_ranges
 
 WINDOW = 35
 FIRST = 8
@@ -33,13 +34,23 @@ def doubling(window: int, first: int = FIRST) -> tuple[int, ...]:
     return (*lengths, window) if lengths[-1] < window else tuple(lengths)
 
 
-def symbols(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """The words, split at ASCII space, joined by one blank each."""
-    words = bytes(data).split()
-    digest = xxhash.xxh3_64_digest
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    return b" ".join(words), ends - lengths, ends, np.frombuffer(b"".join(map(digest, words)), "<u8")
+class Words(Sequence):
+    """Words split at ASCII space, joined by one blank each."""
+
+    def __init__(self, parts: list[bytes]):
+        split = [x.split() for x in parts]
+        self.words = list(chain.from_iterable(split))
+        self.buffer = b" ".join(self.words)
+        self.counts = np.fromiter(map(len, split), np.int64, len(parts))
+        lengths = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.ends = np.cumsum(lengths + 1) - 1
+        self.starts = self.ends - lengths
+
+    def codes(self, start: int, stop: int) -> np.ndarray:
+        return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, self.words[start:stop])), "<u8")
+
+    def bounds(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.starts[lo], self.ends[hi - 1]
 
 
 def dedup_words(docs: DataFrame, window: int = WINDOW, first: int = FIRST, with_text: bool = False) -> DataFrame:
@@ -55,7 +66,7 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, first: int = FIRST, with_
     keys = text_key()
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     parts = docs.filter(F.octet_length("text") >= 2 * window - 1).select(keys[0].alias("p1"), keys[1].alias("p2"), data.alias("data"))
-    ranges = repeated_windows(parts, symbols, window, doubling(window, first))
+    ranges = repeated_windows(parts, Words, window, doubling(window, first))
     schema = RESULT + (", kept string" if with_text else "")
 
     def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

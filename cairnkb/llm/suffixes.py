@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_key
-from .repeats import covered, repeated_windows, with_ranges
+from .repeats import Sequence, covered, repeated_windows, with_ranges
 
 WINDOW = 400
 LENGTHS = (80, 369, 400)
@@ -32,10 +32,16 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 _BYTE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ (np.arange(1, 257, dtype=np.uint64) << np.uint64(47))
 
 
-def symbols(data: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    data = bytes(data)
-    at = np.arange(len(data) + 1)
-    return data, at[:-1], at[1:], _BYTE[np.frombuffer(data, np.uint8)]
+class Bytes(Sequence):
+    def __init__(self, parts: list[bytes]):
+        self.buffer = parts[0] if len(parts) == 1 else b"".join(parts)
+        self.counts = np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def codes(self, start: int, stop: int) -> np.ndarray:
+        return _BYTE[np.frombuffer(self.buffer, np.uint8)[start:stop]]
+
+    def bounds(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return lo, hi
 
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, lengths: tuple[int, ...] = LENGTHS, with_text: bool = False) -> DataFrame:
@@ -50,7 +56,7 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, lengths: tuple[int, ...]
     keys = text_key()
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     parts = docs.filter(F.octet_length("text") >= window).select(keys[0].alias("p1"), keys[1].alias("p2"), data.alias("data"))
-    ranges = repeated_windows(parts, symbols, window, lengths)
+    ranges = repeated_windows(parts, Bytes, window, lengths)
     schema = RESULT + (", kept binary" if with_text else "")
 
     def left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
