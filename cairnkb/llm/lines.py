@@ -54,11 +54,12 @@ def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     witnessed by, the earliest longer one. No pairs within a group are formed. Each line is
     then checked against its witness by edit distance.
     """
-    halves = firsts.select("h1", "h2", F.explode(F.array("half0", "half1", "half2", "half3")).alias("half")).distinct()
+    halves = firsts.select("h1", "h2", F.explode(F.array("half0", "half1", "half2", "half3")).alias("half"))
     some = halves.join(_repeated(halves, "half"), "half", "left_semi").select("h1", "h2").distinct()
-    some = save(some, "half_sharing")
-    texts = lines.select("h1", "h2", "line").join(some, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
-    texts = save(texts.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]), "half_sharing_lines")
+    some = save(some.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]), "half_sharing")
+    # by place, as one line may be everywhere; and a sort-merge join at every size, as what shares a half grows with the corpus
+    placed = lines.select(F.col("at").alias("first"), "h1", "h2", "line").join(some.hint("merge"), ["first", "h1", "h2"])
+    texts = save(placed.dropDuplicates(["h1", "h2"]), "half_sharing_lines")
 
     n, start = F.length("line"), F.col("block") * BLOCK
     placed = texts.select("*", F.explode(F.sequence(F.lit(0), (n / BLOCK).cast("int"))).alias("block")).withColumn("front", F.left("line", start.cast("int")))
@@ -102,10 +103,11 @@ def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(doc, removed)``: by doc_id (a null one as the largest long) the numbers, from 0, of the lines that go."""
     lines = occurrences(docs, min_chars)
     firsts = lines.select("at", "h1", "h2", *_halves(F.col("line"))).groupBy("h1", "h2")
-    firsts = save(firsts.agg(F.min("at").alias("first"), *[F.min(f"half{i}").alias(f"half{i}") for i in range(4)]), "lines")
+    halves = [F.min(f"half{i}").alias(f"half{i}") for i in range(4)]
+    firsts = save(firsts.agg(F.min("at").alias("first"), F.count("*").alias("n"), *halves), "lines")
     near = near_lines(lines, firsts).withColumn("near", F.lit(True))
-    fate = firsts.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
-    gone = lines.select("at", "h1", "h2").join(fate, ["h1", "h2"]).filter("near or at <> first")
+    fate = save(firsts.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter("near or n > 1"), "fate")
+    gone = lines.select("at", "h1", "h2").join(fate.hint("merge"), ["h1", "h2"]).filter("near or at <> first")
     return gone.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.no").alias("removed"))
 
 
@@ -123,16 +125,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     gone = removed_lines(docs.select("doc_id", "text"), min_chars).withColumnsRenamed({"doc": "_doc", "removed": "_removed"})
     key = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST))
     joined = docs.join(gone, key == gone["_doc"], "left")
-    lines = F.split("text", "\n", -1)
-    n = F.coalesce(F.size(lines), F.lit(0))
-    n = F.when(F.col("text").isNull(), 0).otherwise(n)
-    numbers = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("_removed", F.array().cast("array<int>")))
+    # _lines is read more than once below, so that Spark splits each text once and not inside the lambda
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines"))
+    numbers = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_removed")
     kept = F.array_join(F.transform(numbers, lambda i: F.get(F.col("_lines"), i)), "\n")
-    return (
-        joined.withColumn("_lines", lines)
-        .withColumn("n_lines", n.cast("long"))
-        .withColumn("_numbers", F.when(F.col("_removed").isNotNull() & (n > 0), numbers))
-        .withColumn("n_removed", F.when(F.col("_numbers").isNull(), F.lit(0)).otherwise(n - F.size("_numbers")).cast("long"))
-        .withColumn("text", F.when(F.col("_numbers").isNull(), F.col("text")).otherwise(kept))
-        .drop("_doc", "_removed", "_lines", "_numbers")
-    )
+    changed = F.col("text").isNotNull() & F.col("_removed").isNotNull()
+    removed = F.when(changed, F.size(F.filter("_removed", lambda i: i < F.size("_lines")))).otherwise(0)
+    new = {"text": F.when(changed, kept).otherwise(F.col("text")), "n_lines": n.cast("long"), "n_removed": removed.cast("long")}
+    return joined.withColumn("_lines", F.split("text", "\n", -1)).withColumns(new).drop("_doc", "_removed", "_lines")
