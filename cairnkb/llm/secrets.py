@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_key
+from .common import save, text_key
 
 
 @dataclass(frozen=True)
@@ -125,7 +125,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     other columns stay (``secrets`` is replaced). Candidates meet their texts by hash, with
     rows split where many rows hold one text.
     """
-    found = candidates(postings(docs.select("text"), rules), rules).withColumnsRenamed({"k1": "_j1", "k2": "_j2", "kinds": "_kinds"})
+    found = save(candidates(postings(docs.select("text"), rules), rules), "candidates").withColumnsRenamed({"k1": "_j1", "k2": "_j2", "kinds": "_kinds"})
     first, second = text_key()
     joined = docs.withColumns({"_k1": first, "_k2": second}).join(found, (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2")), "left")
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,stop:bigint>>")
