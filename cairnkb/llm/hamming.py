@@ -24,8 +24,9 @@ K = 10
 BITS = 64
 #: Queries broadcast at once (16 bytes each).
 QUERY_BLOCK = 200_000
-#: Rows indexed at once within a task.
+#: Rows indexed at once within a task, and the fewest that are worth a task of their own.
 ROW_BLOCK = 100_000
+LEAST_BLOCK = 5_000
 
 
 def with_codes(rows: DataFrame, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -113,6 +114,9 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K, query_block: int = QU
     ship(rows.sparkSession)
     rows = save(rows.filter("id is not null").distinct(), "codes")
     asked = save(queries.filter("id is not null").distinct(), "queries")
+    n = rows.count()
+    blocks = max(1, -(-n // ROW_BLOCK), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_BLOCK)))
+    dealt = rows.repartition(blocks, "id")  # codes are small beside the work on them: a file of many would be one task's
     parts = max(1, -(-asked.count() // query_block))
     out = None
     for part in range(parts):
@@ -142,7 +146,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K, query_block: int = QU
                     held, size = [], 0
             yield from flush(held)
 
-        found = rows.mapInPandas(search, "query_id long, distance long, id long")
+        found = dealt.mapInPandas(search, "query_id long, distance long, id long")
         out = found if out is None else out.unionByName(found)
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return out.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")

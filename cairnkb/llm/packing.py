@@ -26,7 +26,7 @@ from .common import broadcast, save
 CAPACITY = 4096
 END = 2
 #: Parts whose ids a worker remembers; beyond, it starts anew and looks back to those for a while.
-REMEMBER = 250_000
+REMEMBER = 500_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
