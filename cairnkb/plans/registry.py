@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import search, usage
+from . import rulings, search, texts, usage
 
-MODULES = (search, usage)
+MODULES = (search, usage, texts, rulings)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
