@@ -109,5 +109,5 @@ def in_context(question: Column, context: Column) -> Column:
 
 
 def compact_count(n: Column) -> Column:
-    """``999``, then ``12,4k``."""
+    """``999``, then ``12,4k``; halves of a tenth are rounded up."""
     return F.when(n < 1000, n.cast("string")).otherwise(F.concat(F.replace(F.format_string("%.1f", n.cast("double") / 1000), F.lit("."), F.lit(",")), F.lit("k")))

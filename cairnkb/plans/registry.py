@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import rulings, search, texts, usage
+from . import rulings, scalars, search, streams, texts, usage
 
-MODULES = (search, usage, texts, rulings)
+MODULES = (search, usage, texts, rulings, scalars, streams)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -10,7 +10,6 @@ from ..operators import monitor, ranking, usage
 from ..sources import writers
 
 
-
 def today() -> Column:
     """The day that the queries take for today; clocks would not repeat."""
     return F.lit("2024-01-30").cast("date")
@@ -157,7 +156,7 @@ ORACLE = {
     "usage_30d_per_user": f"WITH {_DAILY}, {_TOTALS.format(days=9)} SELECT user_id, tokens, CAST(last_day AS VARCHAR) AS last_day FROM t",
     "users_with_usage": f"""WITH {_DAILY}, {_TOTALS.format(days=29)}
 SELECT c_custkey AS user_id, c_name, coalesce(tokens, 0) AS tokens,
-  CASE WHEN coalesce(tokens, 0) < 1000 THEN CAST(coalesce(tokens, 0) AS VARCHAR) ELSE replace(printf('%.1f', tokens / 1000.0), '.', ',') || 'k' END AS shown,
+  CASE WHEN coalesce(tokens, 0) < 1000 THEN CAST(coalesce(tokens, 0) AS VARCHAR) ELSE (tokens + 50) // 1000 || ',' || (tokens + 50) // 100 % 10 || 'k' END AS shown,
   upper(c_name[1:2]) AS initials,
   CASE WHEN last_day IS NULL THEN 'never' WHEN DATE '2024-01-30' - last_day <= 0 THEN 'today' WHEN DATE '2024-01-30' - last_day = 1 THEN 'yesterday' ELSE CAST(DATE '2024-01-30' - last_day AS VARCHAR) || ' d ago' END AS last_active
 FROM customer LEFT JOIN t ON user_id = c_custkey""",
