@@ -109,12 +109,16 @@ def terms(text: Column) -> Column:
     """Search terms: each word in lower case, without accents if it has any, and its parts if Pascal-cased."""
     words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9À-ɏ_\\-]+"), 0)
 
+    def folded(x: Column) -> Column:
+        return F.when(F.octet_length(x) == F.length(x), x).otherwise(fold_accents(x))  # most words are ASCII
+
     def of(w: Column) -> Column:
-        low = F.lower(w)
-        plain = fold_accents(low)
+        low, none = F.lower(w), F.array().cast("array<string>")
         parts = F.regexp_extract_all(w, F.lit("[A-Z][a-z0-9]+|[a-zÀ-ɏ]+|[0-9]+"), 0)
-        split = F.flatten(F.transform(parts, lambda p: F.array(F.lower(p), fold_accents(F.lower(p)))))
-        return F.concat(F.array(low), F.when(plain != low, F.array(plain)).otherwise(F.array().cast("array<string>")), F.when(F.size(parts) > 1, split).otherwise(F.array().cast("array<string>")))
+        split = F.flatten(F.transform(parts, lambda p: F.array(F.lower(p), folded(F.lower(p)))))
+        plain = F.when(F.octet_length(low) == F.length(low), none).otherwise(F.array_compact(F.array(F.nullif(fold_accents(low), low))))
+        # a word of small ASCII letters alone is one part
+        return F.concat(F.array(low), plain, F.when(w.rlike("^[a-z]+$"), none).otherwise(F.when(F.size(parts) > 1, split).otherwise(none)))
 
     return F.flatten(F.transform(words, of))
 

@@ -22,7 +22,7 @@ NOTICE = "Loops are not for this account."
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return readers.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def screen_texts(spark, sf_dir):

@@ -23,7 +23,7 @@ MARKERS = ["tion", "the ", "and ", "ing ", "er", "under", "ed "]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    return readers.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    return readers.spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding"))
 
 
 def _asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import knowledge, text
+from ..sources import readers
 
 TARGET, LEAST = 700, 60
 STOP_WORDS = ["Part", "Notes"]
@@ -13,7 +14,7 @@ STOP_WORDS = ["Part", "Notes"]
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(path, text)``: each document as a file with a header, an introduction and two sections."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = readers.spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source"))
     body = F.coalesce("text", F.lit(""))
     priority = F.when(F.col("doc_id") % 3 == 0, "high").otherwise("low")
     return docs.select(

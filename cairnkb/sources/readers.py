@@ -14,6 +14,16 @@ rag_sources ARRAY<STRUCT<source STRING, section STRING, function_name STRING, sc
 lint STRUCT<clean BOOLEAN, errors INT, warnings INT, issues ARRAY<STRING>>, response STRING"""
 
 
+def spread(rows: DataFrame, most: int = 1 << 30) -> DataFrame:
+    """A table of at most ``most`` bytes by Spark's estimate dealt to all cores; a larger one as it is.
+
+    A Parquet row group is one task's work, and a small table may be a single one. Beyond the
+    bound there are row groups enough, and a shuffle of the table would cost more than it gives.
+    """
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size <= most else rows
+
+
 def markdown(spark: SparkSession, root: str, skip: tuple[str, ...] = ("README.md", "SOURCES.md")) -> DataFrame:
     """``(path, text)`` of all Markdown files below a folder but for those named."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(root, wholetext=True)
