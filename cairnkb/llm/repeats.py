@@ -216,7 +216,9 @@ def repeated_windows(parts: DataFrame, symbols: Callable[[list[bytes]], Sequence
         return alive.join(whole, ["c1", "c2"], "left_semi").select("p1", "p2", "lo", "hi").distinct()
     rivals = save(distinct.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1"), f"rivals{length}")
     status = distinct.join(rivals, "gram", "left").filter("n > 1 or m > 1").select("c1", "c2", "n", F.coalesce("m", F.lit(1)).alias("m"))
-    spread = save(alive.join(save(status, f"status{length}"), ["c1", "c2"]).select("p1", "p2", "lo", "hi", "c1", "c2", "n", "m").distinct(), f"spread{length}")
+    # made distinct before the join: after it Spark would do so by c1, c2 alone and could not split a content found everywhere
+    apart = alive.select("p1", "p2", "lo", "hi", "c1", "c2").distinct()
+    spread = save(apart.join(save(status, f"status{length}"), ["c1", "c2"]), f"spread{length}")
     drop(alive)
     one = F.min(F.struct("p1", "p2", "lo", "hi")).alias("one")
     wanted = spread.filter("m > 1").groupBy("c1", "c2").agg(one).select("one.*", "c1", "c2")
