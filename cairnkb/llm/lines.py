@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, text_key
 
 #: Shorter lines are never removed: blanks, brackets and headings repeat for good reasons.
 MIN_CHARS = 10
@@ -25,10 +25,14 @@ def _line_keys(line: Column) -> list[Column]:
 
 
 def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(at, h1, h2, line)``: each line of ``min_chars`` or more; ``at`` orders lines by doc_id (nulls last) and number."""
+    """``(at, k1, k2, h1, h2, line)``: each line of ``min_chars`` or more.
+
+    ``at`` orders lines by doc_id (nulls last) and number; ``k1`` and ``k2`` tell apart the texts that share a doc_id.
+    """
     at = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.col("no"))
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).filter(F.length("line") >= min_chars)
-    return rows.select(at.alias("at"), *_line_keys(F.col("line")), "line")
+    keyed = docs.select("doc_id", "text", *text_key())
+    rows = keyed.select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).filter(F.length("line") >= min_chars)
+    return rows.select(at.alias("at"), "k1", "k2", *_line_keys(F.col("line")), "line")
 
 
 def _halves(line: Column) -> list[Column]:
@@ -100,15 +104,15 @@ def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(doc, removed)``: by doc_id (a null one as the largest long) the numbers, from 0, of the lines that go."""
+    """``(doc, k1, k2, removed)``: by doc_id (a null one as the largest long) and text the numbers, from 0, of the lines that go."""
     lines = occurrences(docs, min_chars)
     firsts = lines.select("at", "h1", "h2", *_halves(F.col("line"))).groupBy("h1", "h2")
     halves = [F.min(f"half{i}").alias(f"half{i}") for i in range(4)]
     firsts = save(firsts.agg(F.min("at").alias("first"), F.count("*").alias("n"), *halves), "lines")
     near = near_lines(lines, firsts).withColumn("near", F.lit(True))
     fate = save(firsts.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter("near or n > 1"), "fate")
-    gone = lines.select("at", "h1", "h2").join(fate.hint("merge"), ["h1", "h2"]).filter("near or at <> first")
-    return gone.groupBy(F.col("at.doc").alias("doc")).agg(F.collect_set("at.no").alias("removed"))
+    gone = lines.select("at", "k1", "k2", "h1", "h2").join(fate.hint("merge"), ["h1", "h2"]).filter("near or at <> first")
+    return gone.groupBy(F.col("at.doc").alias("doc"), "k1", "k2").agg(F.collect_set("at.no").alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -118,13 +122,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     the order of doc_id and place, and the earliest stays; a line goes whether or not its
     earlier neighbour goes too. Lines under ``min_chars`` characters always stay. Adds
     ``n_lines`` and ``n_removed`` (long; replacing columns of these names). A null text stays
-    null with 0 lines; an empty one is one empty line. Rows of one doc_id count as one
-    document whose equal places coincide, so repeated rows get the same result; rows without
-    doc_id come last. A document's removed line numbers are the largest group gathered.
+    null with 0 lines; an empty one is one empty line. Rows of one doc_id (and those without,
+    which come last) have equal places, so repeated rows get the same result and rows of other
+    texts their own. A document's removed line numbers are the largest group gathered.
     """
-    gone = removed_lines(docs.select("doc_id", "text"), min_chars).withColumnsRenamed({"doc": "_doc", "removed": "_removed"})
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST))
-    joined = docs.join(gone, key == gone["_doc"], "left")
+    gone = removed_lines(docs.select("doc_id", "text"), min_chars).withColumnsRenamed({"doc": "_doc", "k1": "_k1", "k2": "_k2", "removed": "_removed"})
+    k1, k2 = text_key()
+    own = docs.withColumns({"_at": F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)), "_t1": k1, "_t2": k2})
+    joined = own.join(gone, (own["_at"] == gone["_doc"]) & (own["_t1"] == gone["_k1"]) & (own["_t2"] == gone["_k2"]), "left")
     # _lines is read more than once below, so that Spark splits each text once and not inside the lambda
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines"))
     numbers = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_removed")
@@ -132,4 +137,4 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     changed = F.col("text").isNotNull() & F.col("_removed").isNotNull()
     removed = F.when(changed, F.size(F.filter("_removed", lambda i: i < F.size("_lines")))).otherwise(0)
     new = {"text": F.when(changed, kept).otherwise(F.col("text")), "n_lines": n.cast("long"), "n_removed": removed.cast("long")}
-    return joined.withColumn("_lines", F.split("text", "\n", -1)).withColumns(new).drop("_doc", "_removed", "_lines")
+    return joined.withColumn("_lines", F.split("text", "\n", -1)).withColumns(new).drop("_at", "_t1", "_t2", "_doc", "_k1", "_k2", "_removed", "_lines")

@@ -2,7 +2,7 @@
 
 import random
 
-from cairnkb.llm import lines
+from cairnkb.llm import lines, queries
 
 
 def near(a, b):
@@ -56,3 +56,18 @@ def test_repeated_rows_and_empty_tables(spark):
     got = sorted((r.doc_id, r.text, r.n_removed) for r in lines.dedup_lines(docs).collect())
     assert got == [(1, "a line of text\nb", 0), (1, "a line of text\nb", 0), (2, "b", 1)]
     assert lines.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_rows_that_share_an_id_lose_only_their_own_lines(spark, duck):
+    same = "the same long line"
+    rows = [(1, same), (None, same + "\nx"), (None, "unique text of its own\ny"), (2, "another text by itself\nz"), (2, same + "\nand what no other has"), (2, same + "\nand what no other has")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted([(r.doc_id, r.text, r.n_lines, r.n_removed) for r in lines.dedup_lines(docs).collect()], key=str)
+    rest = (2, "and what no other has", 2, 1)
+    want = [(1, same, 1, 0), (None, "x", 2, 1), (None, "unique text of its own\ny", 2, 0), (2, "another text by itself\nz", 2, 0), rest, rest]
+    assert got == sorted(want, key=str)
+    cur = duck.cursor()
+    cur.execute("CREATE TEMP TABLE documents (doc_id BIGINT, text VARCHAR)")
+    cur.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    by_sql = cur.execute(queries.ORACLE["op10_lines"]).fetchall()
+    assert sorted(((d, n, gone) for d, n, gone, _ in by_sql), key=str) == sorted(((d, n, gone) for d, _, n, gone in want), key=str)
