@@ -26,7 +26,7 @@ OVERLAP = 3
 MAX_LANGUAGES = 200
 UNKNOWN = "und"
 
-RESULT = "lang_pred string, score double, languages string"
+RESULT = "lang_pred string, score double, languages string, rejected boolean"
 
 _LETTERS = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 _CHUNK = 1 << 20
@@ -144,13 +144,33 @@ def infer(counts: np.ndarray, logs: np.ndarray) -> list[tuple[int, float]]:
     return chosen
 
 
+def trained(logs: np.ndarray) -> np.ndarray:
+    """Whether a language has learned more n-grams than smoothing adds to it."""
+    return BUCKETS * np.exp(logs.min(1)) < 0.5
+
+
+def explained(counts: np.ndarray, logs: np.ndarray, found: list[tuple[int, float]]) -> bool:
+    """Whether the mixture ``found`` explains the n-grams better, by the penalty, than equal chances for all buckets."""
+    at = np.flatnonzero(counts)
+    if not len(at):
+        return False
+    c = counts[at].astype(float)
+    which, share = [i for i, _ in found], np.array([p for _, p in found])
+    log = logs[which][:, at].T.astype(float)
+    top = log.max(1, keepdims=True)
+    value = c @ (np.log(np.exp(log - top) @ (share / share.sum())) + top[:, 0])
+    return 2 * (value + c.sum() * np.log(BUCKETS)) / OVERLAP > np.log(max(2.0, c.sum() / OVERLAP))
+
+
 def with_language(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """``docs`` with a struct column ``language`` (RESULT), predicted from the text alone.
 
     lang_pred is the language of the largest proportion in the selected set, score that
     proportion, languages the whole set. A null text, or one without a letter, is ``und``
     with score 0; so is every text if nothing could be learned. Letters outside all learned
-    n-grams fall back on smoothing. ``labelled`` (default: ``docs``) has the training rows.
+    n-grams fall back on smoothing. rejected says that a text has no letter, or that the
+    selected set explains it no better than chance; a language that has learned fewer n-grams
+    than smoothing adds rejects nothing, nor does an empty model. ``labelled`` (default: ``docs``) has the training rows.
     """
     names, logs = train(docs if labelled is None else labelled)
     model = broadcast(docs, (names, logs))
@@ -158,13 +178,17 @@ def with_language(docs: DataFrame, labelled: DataFrame | None = None) -> DataFra
     @F.pandas_udf(RESULT)
     def predict(text: pd.Series) -> pd.DataFrame:
         names, logs = model.value
+        able = trained(logs) if names else []
         out = []
         for x in text:
-            if not names or x is None or not has_letter(x):
-                out.append((UNKNOWN, 0.0, ""))
+            lettered = x is not None and has_letter(x)
+            if not names or not lettered:
+                out.append((UNKNOWN, 0.0, "", not lettered))
                 continue
-            found = infer(trigrams(prepared(x)), logs) or [(0, 1 / len(names))]
-            out.append((names[found[0][0]], min(1.0, max(0.0, found[0][1])), ",".join(f"{names[i]}:{p:.3f}" for i, p in found)))
-        return pd.DataFrame(out, columns=["lang_pred", "score", "languages"])
+            counts = trigrams(prepared(x))
+            found = infer(counts, logs) or [(0, 1 / len(names))]
+            rejected = bool(able[found[0][0]]) and not explained(counts, logs, found)
+            out.append((names[found[0][0]], min(1.0, max(0.0, found[0][1])), ",".join(f"{names[i]}:{p:.3f}" for i, p in found), rejected))
+        return pd.DataFrame(out, columns=["lang_pred", "score", "languages", "rejected"])
 
     return docs.withColumn("language", predict("text"))

@@ -62,7 +62,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     found = language.with_language(docs, documents(spark, sf_dir, "doc_id", "text", "lang"))
-    return found.select("doc_id", language.held_out().alias("held_out"), "language.*")
+    return found.select("doc_id", language.held_out().alias("held_out"), "language.lang_pred", "language.score", "language.languages")
 
 
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """op9: held-out accuracy, mixtures, rejects."""
 
+import random
+
+import corpus_pipeline
 from cairnkb.llm import language, queries
 
 
@@ -29,3 +32,21 @@ def test_nothing_learned(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language.with_language(docs, none).first().language.lang_pred == "und"
     assert language.with_language(docs.limit(0), none).count() == 0
+
+
+def test_stage_rejects_what_no_language_explains(spark, sf_dir):
+    train = queries.documents(spark, sf_dir)
+    rng = random.Random(4)
+    junk = ["".join(rng.choices("bcdfghjklmnpqrstvwxz", k=400)), "日本語の文章はここにあります。" * 20]
+    bad = spark.createDataFrame([(10**9 + i, t, "source") for i, t in enumerate(junk)], "doc_id long, text string, source string")
+    kept = corpus_pipeline.language_id(spark, train.unionByName(bad, allowMissingColumns=True), sf_dir)
+    assert kept.filter(f"doc_id >= {10**9}").count() == 0
+    assert kept.count() == train.count()
+
+
+def test_stage_keeps_lettered_texts_where_nothing_was_learned(spark, sf_dir):
+    rows = [(1, "clean words", None), (2, "12 !?", None), (3, None, None), (None, "held out words", "en")]
+    for seen in (rows, [*rows, (4, "other", "fr"), (6, "99", "de")]):
+        docs = spark.createDataFrame(seen, "doc_id long, text string, lang string")
+        got = {r.text for r in corpus_pipeline.language_id(spark, docs, sf_dir).collect()}
+        assert got == {t for _, t, _ in seen if t and any(c.isalpha() for c in t)}
