@@ -8,10 +8,13 @@ windows with one gram form a span; a window can only be repeated if its gram is.
 - spans whose gram occurs once are done: nothing in them repeats;
 - spans whose whole content occurs again are done: everything in them repeats;
 - of the rest, one copy of each distinct content goes to the next level with a longer gram,
-  along with what it may match. At the last level L = W, a span is one window.
+  along with what it may match, if need be narrowed first to the windows that can recur (see
+  ``suffixes``). At the last level L = W, a span is one window.
 
 Grams thin the positions by about 2 / (W - L + 2), and only what neither rule settles is cut
-finer. All counts are partial sums before their shuffle; no group is gathered anywhere.
+finer. Spans of one content that overlap in a part, as in periodic text, are one row. The
+levels end where no candidate is left. All counts are partial sums before their shuffle; no
+group is gathered anywhere.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ _INDEX = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
-SPANS = "p1 long, p2 long, lo int, hi int, gram long, c1 long, c2 long"
+#: A part's span: starts lo to hi - 1, the gram's hash and place ``at``, the content's hashes; ``n`` such spans overlap, up to ``end``.
+SPANS = "p1 long, p2 long, lo int, hi int, end int, n long, at int, gram long, c1 long, c2 long"
 
 
 class Sequence:
@@ -129,6 +133,16 @@ def _groups(sizes: np.ndarray, most: int = TOGETHER) -> Iterator[tuple[int, int]
         start = stop
 
 
+def _merged(part: np.ndarray, lo: np.ndarray, hi: np.ndarray, keys: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of one part and content whose windows overlap, as one: the first of each, where the last ends, how many there are."""
+    order = np.lexsort((lo, keys[:, 1], keys[:, 0], part))
+    p, k, a, b = part[order], keys[order], lo[order], hi[order]
+    on = (p[1:] == p[:-1]) & (k[1:] == k[:-1]).all(1) & (a[1:] < b[:-1] + window)
+    first = np.flatnonzero(np.concatenate([[True], ~on]))
+    last = np.concatenate([first[1:], [len(order)]]) - 1
+    return order[first], b[last], last - first + 1
+
+
 def _cut(parts: DataFrame, symbols: Callable[[list[bytes]], Sequence], window: int, length: int) -> DataFrame:
     """The spans (SPANS) of ``parts(p1, p2, data)``; a span's content is hashed with its gram's place in it."""
 
@@ -141,13 +155,18 @@ def _cut(parts: DataFrame, symbols: Callable[[list[bytes]], Sequence], window: i
                 before = np.cumsum(sequence.counts) - sequence.counts
                 buffer = sequence.buffer
                 for of, lo, hi, place, gram in spans(sequence, window, length):
+                    if not len(of):
+                        continue
                     first, last = sequence.bounds(lo, hi + (window - 1))
                     each = zip(first.tolist(), last.tolist(), (place - lo).tolist(), strict=True)
                     keys = np.frombuffer(b"".join([digest(buffer[a:b], s) for a, b, s in each]), "<i8").reshape(-1, 2)
+                    at, end, n = _merged(of, lo, hi, keys, window)
+                    shift = before[of[at]]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (
-                            p1[i:j][of], p2[i:j][of], (lo - before[of]).astype(np.int32), (hi - before[of]).astype(np.int32),
-                            gram.view(np.int64), np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1]),
+                        [pa.array(np.ascontiguousarray(x)) for x in (
+                            p1[i:j][of[at]], p2[i:j][of[at]], (lo[at] - shift).astype(np.int32), (hi[at] - shift).astype(np.int32),
+                            (end - shift).astype(np.int32), n.astype(np.int64), (place - lo)[at].astype(np.int32),
+                            gram[at].view(np.int64), keys[at, 0], keys[at, 1],
                         )],
                         names=names,
                     )
@@ -156,25 +175,25 @@ def _cut(parts: DataFrame, symbols: Callable[[list[bytes]], Sequence], window: i
 
 
 def _contents(parts: DataFrame, wanted: DataFrame, symbols: Callable[[list[bytes]], Sequence], window: int) -> DataFrame:
-    """``(p1, p2, data)`` for the next level: the contents of the ``wanted`` spans, known by their hashes.
+    """``(p1, p2, gram, at, data)`` for the next level: the contents of the ``wanted`` spans, known by their hashes.
 
     Copies of a part follow each other after the join, and only the first is cut. Where a
     split of a skewed key lets another copy through, its windows are counted twice, rightly:
     they do occur twice.
     """
-    by_part = save(wanted.groupBy("p1", "p2").agg(F.collect_list(F.struct("lo", "hi", "c1", "c2")).alias("cuts")), "cuts")
+    by_part = save(wanted.groupBy("p1", "p2").agg(F.collect_list(F.struct("lo", "hi", "c1", "c2", "gram", "at")).alias("cuts")), "cuts")
     joined = parts.join(by_part, ["p1", "p2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, size, keys, held = None, 0, [], []
 
         def put_together() -> pa.RecordBatch:
-            one, two = (np.concatenate([x[i] for x in keys]) for i in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(held, pa.binary())], names=["p1", "p2", "data"])
+            columns = [pa.array(np.concatenate([x[i] for x in keys])) for i in range(4)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(held, pa.binary())], names=["p1", "p2", "gram", "at", "data"])
 
         for batch in batches:
             p1, p2, offsets = batch["p1"].to_numpy(), batch["p2"].to_numpy(), batch["cuts"].offsets.to_numpy()
-            lo, hi, c1, c2 = (batch["cuts"].values.field(k).to_numpy() for k in ("lo", "hi", "c1", "c2"))
+            lo, hi, *tags = (batch["cuts"].values.field(k).to_numpy() for k in ("lo", "hi", "c1", "c2", "gram", "at"))
             for row in range(batch.num_rows):
                 if before == (p1[row], p2[row]):
                     continue
@@ -185,7 +204,7 @@ def _contents(parts: DataFrame, wanted: DataFrame, symbols: Callable[[list[bytes
                     mine = slice(at, min(at + 1000, offsets[row + 1]))
                     first, last = sequence.bounds(lo[mine], hi[mine] + (window - 1))
                     held += [buffer[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                    keys.append((c1[mine], c2[mine]))
+                    keys.append([x[mine] for x in tags])
                     size += int((last - first).sum())
                     if size >= 4 * TOGETHER:
                         yield put_together()
@@ -193,40 +212,75 @@ def _contents(parts: DataFrame, wanted: DataFrame, symbols: Callable[[list[bytes
         if held:
             yield put_together()
 
-    return joined.mapInArrow(run, "p1 long, p2 long, data binary")
+    return joined.mapInArrow(run, "p1 long, p2 long, gram long, at int, data binary")
+
+
+#: Of ``(p1, p2, gram, at, data)`` contents the windows that can recur: ``(p1, p2, gram, from, to, d1, d2, data)``, data cut to them and known by d1, d2.
+Narrow = Callable[[DataFrame, int, int], DataFrame]
 
 
-def repeated_windows(parts: DataFrame, symbols: Callable[[list[bytes]], Sequence], window: int, lengths: tuple[int, ...]) -> DataFrame:
+def repeated_windows(parts: DataFrame, symbols: Callable[[list[bytes]], Sequence], window: int, lengths: tuple[int, ...], narrow: Narrow | None = None) -> DataFrame:
     """``(p1, p2, lo, hi)``: ranges of starts of the windows in ``parts(p1, p2, data)`` that occur again.
 
     Parts of one key hold the same data. ``lengths`` are the gram lengths of the levels, the
-    last one ``window``. Ranges of one part may repeat if several rows share its key. What is
-    counted by a key is written before it is joined by it: both sides of the join are then
-    plain exchanges, and Spark can split a key that holds a large part of the rows.
+    last one ``window``. Ranges of one part may repeat if several rows share its key; starts
+    between overlapping repeats of one content are in the range too, so that a range covers
+    repeated windows' symbols and no others. What is counted by a key is written before it is
+    joined by it: both sides of the join are then plain exchanges, and Spark can split a key
+    that holds a large part of the rows.
     """
     ship(parts.sparkSession)
     length, later = lengths[0], lengths[1:]
     cut = save(_cut(parts, symbols, window, length), f"spans{length}")
-    twice = save(cut.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), f"twice{length}")
+    twice = save(cut.groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1").select("gram"), f"twice{length}")
     alive = save(cut.join(twice, "gram", "left_semi"), f"alive{length}")
     drop(cut)
-    distinct = save(alive.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min("gram").alias("gram")), f"distinct{length}")
+    distinct = save(alive.groupBy("c1", "c2").agg(F.sum("n").alias("n"), F.min("gram").alias("gram"), F.min("at").alias("at")), f"distinct{length}")
     if not later:
         whole = distinct.filter("n > 1").select("c1", "c2")
-        return alive.join(whole, ["c1", "c2"], "left_semi").select("p1", "p2", "lo", "hi").distinct()
+        return alive.join(whole, ["c1", "c2"], "left_semi").select("p1", "p2", "lo", F.col("end").alias("hi")).distinct()
     rivals = save(distinct.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1"), f"rivals{length}")
-    status = distinct.join(rivals, "gram", "left").filter("n > 1 or m > 1").select("c1", "c2", "n", F.coalesce("m", F.lit(1)).alias("m"))
+    status = distinct.join(rivals, "gram", "left").filter("n > 1 or m > 1").select("c1", "c2", "n", F.coalesce("m", F.lit(1)).alias("m"), "gram", "at")
     # made distinct before the join: after it Spark would do so by c1, c2 alone and could not split a content found everywhere
-    apart = alive.select("p1", "p2", "lo", "hi", "c1", "c2").distinct()
+    apart = alive.select("p1", "p2", "lo", "hi", "end", "c1", "c2").distinct()
     spread = save(apart.join(save(status, f"status{length}"), ["c1", "c2"]), f"spread{length}")
     drop(alive)
-    one = F.min(F.struct("p1", "p2", "lo", "hi")).alias("one")
+    settled = spread.filter("n > 1").select("p1", "p2", "lo", F.col("end").alias("hi"))
+    if spread.filter("m > 1").isEmpty():
+        return settled.distinct()
+    one = F.min(F.struct("p1", "p2", "lo", "hi", "gram", "at")).alias("one")
     wanted = spread.filter("m > 1").groupBy("c1", "c2").agg(one).select("one.*", "c1", "c2")
     inner = save(_contents(parts, wanted, symbols, window), f"contents{length}")
-    found = repeated_windows(inner, symbols, window, later).withColumnsRenamed({"p1": "c1", "p2": "c2", "lo": "from", "hi": "to"})
-    found = save(found, f"found{length}")
+    if narrow:
+        found = _in_narrowed(narrow(inner, window, length), symbols, window, later, narrow)
+    else:
+        found = repeated_windows(inner.select("p1", "p2", "data"), symbols, window, later)
+    found = save(found.withColumnsRenamed({"p1": "c1", "p2": "c2", "lo": "from", "hi": "to"}), f"found{length}")
+    drop(inner)
     partly = spread.filter("n = 1").join(found, ["c1", "c2"]).select("p1", "p2", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to")).alias("hi"))
-    return spread.filter("n > 1").select("p1", "p2", "lo", "hi").unionByName(partly).distinct()
+    return settled.unionByName(partly).distinct()
+
+
+def _in_narrowed(narrowed: DataFrame, symbols: Callable[[list[bytes]], Sequence], window: int, later: tuple[int, ...], narrow: Narrow) -> DataFrame:
+    """``(p1, p2, lo, hi)`` of narrowed contents: whole where another content narrows to the same, else by the next level.
+
+    A gram's contents go on only while one of them is unsettled and has another to meet.
+    """
+    length = later[0]
+    narrowed = save(narrowed, f"narrowed{length}")
+    same = save(narrowed.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("gram").alias("gram")), f"same{length}")
+    unsettled = save(same.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least")).filter("m > 1 and least = 1").select("gram"), f"unsettled{length}")
+    of = narrowed.select("p1", "p2", "from", "to", "d1", "d2").join(save(same.filter("n > 1").select("d1", "d2"), f"met{length}"), ["d1", "d2"], "left_semi")
+    settled = of.select("p1", "p2", F.col("from").alias("lo"), F.col("to").alias("hi"))
+    if unsettled.isEmpty():
+        return settled
+    going = narrowed.join(unsettled, "gram", "left_semi").dropDuplicates(["d1", "d2"])
+    parts = save(going.select(F.col("d1").alias("p1"), F.col("d2").alias("p2"), "data"), f"going{length}")
+    found = save(repeated_windows(parts, symbols, window, later, narrow).withColumnsRenamed({"p1": "d1", "p2": "d2"}), f"narrow{length}")
+    drop(parts)
+    partly = narrowed.select("p1", "p2", "from", "d1", "d2").join(found, ["d1", "d2"])
+    partly = partly.select("p1", "p2", (F.col("from") + F.col("lo")).alias("lo"), (F.col("from") + F.col("hi")).alias("hi"))
+    return settled.unionByName(partly).distinct()
 
 
 def covered(lo: list[int], hi: list[int], window: int, n: int) -> np.ndarray:
