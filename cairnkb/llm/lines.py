@@ -4,18 +4,19 @@ Lines within one edit of each other share a variant with one character deleted.
 of all lines would be as many as the corpus has characters, so two exact filters come first:
 an edit leaves one half of a line as it is, and all but one of its blocks of 64 characters.
 Lines that share a half, and then all but a block, with another one emit the variants of that
-block, keyed by a hash of the rest, the block's place and the variant.
+block, keyed by a hash of the rest, the block's place and the variant. A rest's hash is put
+together from running ones over the blocks, so that a line costs as much as it has characters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save, text_key
 
-#: Shorter lines are never removed: blanks, brackets and headings repeat for good reasons.
-MIN_CHARS = 10
+#: In shorter lines an edit is over a tenth of the line, so they go only if they are the same as an earlier one.
+EDIT_CHARS = 10
 BLOCK = 64
 _LAST = 9223372036854775807
 
@@ -24,14 +25,14 @@ def _line_keys(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2")]
 
 
-def occurrences(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(at, k1, k2, h1, h2, line)``: each line of ``min_chars`` or more.
+def occurrences(docs: DataFrame) -> DataFrame:
+    """``(at, k1, k2, h1, h2, line)``: each line that is not blank.
 
     ``at`` orders lines by doc_id (nulls last) and number; ``k1`` and ``k2`` tell apart the texts that share a doc_id.
     """
     at = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.col("no"))
     keyed = docs.select("doc_id", "text", *text_key())
-    rows = keyed.select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).filter(F.length("line") >= min_chars)
+    rows = keyed.select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     return rows.select(at.alias("at"), "k1", "k2", *_line_keys(F.col("line")), "line")
 
 
@@ -50,13 +51,39 @@ def _repeated(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key)
 
 
+def _blocks(texts: DataFrame) -> DataFrame:
+    """``(h1, h2, first, block, role, inner, rest)``: each block of each line, and a hash of all else that the line holds.
+
+    In the role ``long`` a block may lose a character, or have one changed; in ``short`` it
+    has lost one, so its text ends a character earlier and the blocks after it are one off.
+    """
+    n = F.length("line")
+    off = F.concat(F.array(F.left("line", F.lit(BLOCK - 1))), F.regexp_extract_all(F.substring("line", F.lit(BLOCK), n), F.lit(f"(?s).{{1,{BLOCK}}}"), 0))
+    even = F.regexp_extract_all("line", F.lit(f"(?s).{{1,{BLOCK}}}"), 0)
+    one = F.arrays_zip(even.alias("even"), off.alias("off"))
+    rows = texts.select("h1", "h2", "first", n.alias("n"), F.posexplode(one).alias("block", "x"))
+    rows = rows.select("h1", "h2", "first", "n", "block", F.coalesce("x.even", F.lit("")).alias("even"), F.coalesce("x.off", F.lit("")).alias("off"))
+    own = lambda x: F.when(F.col(x) == "", F.lit(0).cast("long")).otherwise(F.xxhash64("block", x))
+    rows = rows.withColumns({"e": own("even"), "o": own("off")})
+    line = Window.partitionBy("h1", "h2")
+    before, all_of = line.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow), line.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.select(
+        "h1", "h2", "first", "n", "block", "even", F.bit_xor("e").over(before).bitwiseXOR(F.col("e")).alias("front"),
+        F.bit_xor("e").over(before).bitwiseXOR(F.bit_xor("e").over(all_of)).alias("back"),
+        F.bit_xor("o").over(before).bitwiseXOR(F.bit_xor("o").over(all_of)).alias("back_off"),
+    )
+    long = F.struct(F.lit("long").alias("role"), F.col("even").alias("inner"), F.xxhash64("n", "block", "front", "back").alias("rest"))
+    short = F.struct(F.lit("short").alias("role"), F.left("even", F.lit(BLOCK - 1)).alias("inner"), F.xxhash64(F.col("n") + 1, "block", "front", "back_off").alias("rest"))
+    return rows.select("h1", "h2", "first", "block", F.explode(F.array(long, short)).alias("x")).select("h1", "h2", "first", "block", "x.*")
+
+
 def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """``(h1, h2)`` of the distinct lines that have an earlier line within one edit.
 
     Within a key of substitutions all lines are one edit apart, so the earliest is the
     witness of the rest; a key of insertions has one shorter line, the witness of, or
-    witnessed by, the earliest longer one. No pairs within a group are formed. Each line is
-    then checked against its witness by edit distance.
+    witnessed by, the earliest longer one. No pairs within a group are formed. One edit apart
+    is then checked in full: what is left without the variants' characters must be the same.
     """
     halves = firsts.select("h1", "h2", F.explode(F.array("half0", "half1", "half2", "half3")).alias("half"))
     some = halves.join(_repeated(halves, "half"), "half", "left_semi").select("h1", "h2").distinct()
@@ -65,28 +92,17 @@ def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     placed = lines.select(F.col("at").alias("first"), "h1", "h2", "line").join(some.hint("merge"), ["first", "h1", "h2"])
     texts = save(placed.dropDuplicates(["h1", "h2"]), "half_sharing_lines")
 
-    n, start = F.length("line"), F.col("block") * BLOCK
-    placed = texts.select("*", F.explode(F.sequence(F.lit(0), (n / BLOCK).cast("int"))).alias("block")).withColumn("front", F.left("line", start.cast("int")))
-
-    def rest(size: Column, width: int, role: str) -> DataFrame:
-        back = F.substring("line", start + width + 1, n)
-        return placed.select(
-            "h1", "h2", "first", F.lit(role).alias("role"), F.substring("line", start + 1, F.lit(width)).alias("inner"),
-            F.xxhash64(size, "block", "front", back).alias("rest"),
-        )
-
-    cut = rest(n, BLOCK, "long").unionByName(rest(n + 1, BLOCK - 1, "short"))
-    cut = save(cut, "blocks")
+    cut = save(_blocks(texts), "blocks")
     alike = cut.join(_repeated(cut, "rest"), "rest", "left_semi")
     long = alike.filter("role = 'long' and inner <> ''").select("*", F.explode(F.sequence(F.lit(1), F.length("inner"))).alias("i"))
     less = F.concat(F.left("inner", F.col("i") - 1), F.substring("inner", F.col("i") + 1, F.lit(BLOCK)))
     long = long.withColumn("less", less)
-    who = F.struct("first", "h1", "h2")
+    who = lambda place: F.struct("first", "h1", "h2", place.alias("place"))
+    place = F.col("block") * BLOCK + F.col("i")
     variants = save(
-        long.select(F.xxhash64("rest", "less", "i").alias("key"), F.lit("swap").alias("role"), who.alias("who"))
-        .unionByName(long.select(F.xxhash64("rest", "less").alias("key"), F.lit("long").alias("role"), who.alias("who")))
-        .unionByName(alike.filter("role = 'short'").select(F.xxhash64("rest", "inner").alias("key"), F.lit("short").alias("role"), who.alias("who")))
-        .distinct(),
+        long.select(F.xxhash64("rest", "less", "i").alias("key"), F.lit("swap").alias("role"), who(place).alias("who"))
+        .unionByName(long.groupBy(F.xxhash64("rest", "less").alias("key"), F.lit("long").alias("role"), "first", "h1", "h2").agg(F.min(place).alias("place")).select("key", "role", who(F.col("place")).alias("who")))
+        .unionByName(alike.filter("role = 'short'").select(F.xxhash64("rest", "inner").alias("key"), F.lit("short").alias("role"), who(F.lit(0)).alias("who"))),
         "variants",
     )
     of = lambda role: F.min(F.when(F.col("role") == role, F.col("who")))
@@ -96,37 +112,46 @@ def near_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
         F.when(F.col("role") == "swap", F.col("swap")).when(F.col("role") == "long", F.col("short")).otherwise(F.col("long"))
     )
     pairs = met.select("who", witness.alias("witness")).filter("witness.first < who.first").select(
-        F.col("who.h1").alias("h1"), F.col("who.h2").alias("h2"), F.col("witness.h1").alias("w1"), F.col("witness.h2").alias("w2")
-    ).distinct()
+        F.col("who.h1").alias("h1"), F.col("who.h2").alias("h2"), F.col("who.place").alias("place"),
+        F.col("witness.h1").alias("w1"), F.col("witness.h2").alias("w2"), F.col("witness.place").alias("w_place"),
+    ).distinct()
     seen = texts.select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("line").alias("other"))
     checked = pairs.join(texts.select("h1", "h2", "line"), ["h1", "h2"]).join(seen, ["w1", "w2"])
-    return checked.filter((F.levenshtein("line", "other", 1) >= 0)).select("h1", "h2").distinct()
+    return checked.filter(_without("line", "place") == _without("other", "w_place")).select("h1", "h2").distinct()
+
+
+def _without(line: str, place: str) -> Column:
+    """A line without its character at a place from 1; whole at 0."""
+    at = F.col(place).cast("int")
+    return F.when(at == 0, F.col(line)).otherwise(F.concat(F.left(line, at - 1), F.substring(line, at + 1, F.length(line))))
 
 
-def removed_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(docs: DataFrame, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """``(doc, k1, k2, removed)``: by doc_id (a null one as the largest long) and text the numbers, from 0, of the lines that go."""
-    lines = occurrences(docs, min_chars)
-    firsts = lines.select("at", "h1", "h2", *_halves(F.col("line"))).groupBy("h1", "h2")
+    lines = occurrences(docs)
+    firsts = lines.select("at", "h1", "h2", F.length("line").alias("size"), *_halves(F.col("line"))).groupBy("h1", "h2")
     halves = [F.min(f"half{i}").alias(f"half{i}") for i in range(4)]
-    firsts = save(firsts.agg(F.min("at").alias("first"), F.count("*").alias("n"), *halves), "lines")
-    near = near_lines(lines, firsts).withColumn("near", F.lit(True))
+    firsts = save(firsts.agg(F.min("at").alias("first"), F.count("*").alias("n"), F.min("size").alias("size"), *halves), "lines")
+    long = F.length("line") >= edit_chars
+    near = near_lines(lines.filter(long), firsts.filter(F.col("size") >= edit_chars)).withColumn("near", F.lit(True))
     fate = save(firsts.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter("near or n > 1"), "fate")
     gone = lines.select("at", "k1", "k2", "h1", "h2").join(fate.hint("merge"), ["h1", "h2"]).filter("near or at <> first")
     return gone.groupBy(F.col("at.doc").alias("doc"), "k1", "k2").agg(F.collect_set("at.no").alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """``docs`` without the lines that repeat an earlier one, or are within one edit of it.
 
     Lines end at '\\n'; an edit is one character put in, left out or changed. Lines come in
     the order of doc_id and place, and the earliest stays; a line goes whether or not its
-    earlier neighbour goes too. Lines under ``min_chars`` characters always stay. Adds
+    earlier neighbour goes too. Blank lines (ASCII space alone) always stay, and lines under
+    ``edit_chars`` characters neither go nor make others go for an edit. Adds
     ``n_lines`` and ``n_removed`` (long; replacing columns of these names). A null text stays
     null with 0 lines; an empty one is one empty line. Rows of one doc_id (and those without,
     which come last) have equal places, so repeated rows get the same result and rows of other
     texts their own. A document's removed line numbers are the largest group gathered.
     """
-    gone = removed_lines(docs.select("doc_id", "text"), min_chars).withColumnsRenamed({"doc": "_doc", "k1": "_k1", "k2": "_k2", "removed": "_removed"})
+    gone = removed_lines(docs.select("doc_id", "text"), edit_chars).withColumnsRenamed({"doc": "_doc", "k1": "_k1", "k2": "_k2", "removed": "_removed"})
     k1, k2 = text_key()
     own = docs.withColumns({"_at": F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)), "_t1": k1, "_t2": k2})
     joined = own.join(gone, (own["_at"] == gone["_doc"]) & (own["_t1"] == gone["_k1"]) & (own["_t2"] == gone["_k2"]), "left")

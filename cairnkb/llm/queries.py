@@ -129,13 +129,14 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 
 ORACLE["op10_lines"] = f"""
 WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, {lines._LAST}) AS doc, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-o AS (SELECT r, {{'doc': doc, 'no': i}} AS place, ls[i] AS line FROM (SELECT r, doc, ls, unnest(range(1, len(ls) + 1)) AS i FROM d) WHERE length(ls[i]) >= {lines.MIN_CHARS}),
+o AS (SELECT r, {{'doc': doc, 'no': i}} AS place, ls[i] AS line FROM (SELECT r, doc, ls, unnest(range(1, len(ls) + 1)) AS i FROM d) WHERE regexp_matches(ls[i], '[^\\x20\\x09-\\x0D]')),
 f AS (SELECT line, min(place) AS first FROM o GROUP BY line),
-v AS (SELECT line, first, i, hash(line[: i - 1] || line[i + 1 :]) AS h FROM (SELECT line, first, unnest(range(1, length(line) + 1)) AS i FROM f)),
+e AS (FROM f WHERE length(line) >= {lines.EDIT_CHARS}),
+v AS (SELECT line, first, i, hash(line[: i - 1] || line[i + 1 :]) AS h FROM (SELECT line, first, unnest(range(1, length(line) + 1)) AS i FROM e)),
 s AS (SELECT i, h, min(first) AS first FROM v GROUP BY i, h HAVING count(*) > 1),
 near AS (SELECT v.line FROM v JOIN s USING (i, h) WHERE s.first < v.first
-   UNION SELECT v.line FROM v JOIN f ON v.h = hash(f.line) WHERE f.first < v.first
-   UNION SELECT f.line FROM v JOIN f ON v.h = hash(f.line) WHERE v.first < f.first),
+   UNION SELECT v.line FROM v JOIN e f ON v.h = hash(f.line) WHERE f.first < v.first
+   UNION SELECT f.line FROM v JOIN e f ON v.h = hash(f.line) WHERE v.first < f.first),
 g AS (SELECT r, list(CAST(place.no AS BIGINT)) AS gone FROM o JOIN f USING (line) WHERE place <> first OR line IN (FROM near) GROUP BY r)
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
   sha256(CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT list_contains(gone, i)), lambda i: ls[i]), chr(10)) END) AS kept_sha256

@@ -1,6 +1,7 @@
 """op10 against all pairs."""
 
 import random
+import time
 
 from cairnkb.llm import lines, queries
 
@@ -28,10 +29,10 @@ def plain(rows, least=10):
         kept = []
         every = text.split("\n")
         for line in every:
-            if len(line) < least or not any(near(line, x) for x in seen if abs(len(x) - len(line)) < 2):
+            met = line in seen or len(line) >= least and any(near(line, x) for x in seen if len(x) >= least and abs(len(x) - len(line)) < 2)
+            if not line.strip(" \t\n\v\f\r") or not met:
                 kept.append(line)
-            if len(line) >= least:
-                seen.add(line)
+            seen.add(line)
         out.append((doc, "\n".join(kept), len(every), len(every) - len(kept)))
     return sorted(out, key=str)
 
@@ -54,7 +55,7 @@ def test_all_pairs(spark):
 def test_repeated_rows_and_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a line of text\nb"), (1, "a line of text\nb"), (2, "a line of texts\nb")], "doc_id long, text string")
     got = sorted((r.doc_id, r.text, r.n_removed) for r in lines.dedup_lines(docs).collect())
-    assert got == [(1, "a line of text\nb", 0), (1, "a line of text\nb", 0), (2, "b", 1)]
+    assert got == [(1, "a line of text\nb", 0), (1, "a line of text\nb", 0), (2, "", 2)]
     assert lines.dedup_lines(docs.limit(0)).count() == 0
 
 
@@ -71,3 +72,20 @@ def test_rows_that_share_an_id_lose_only_their_own_lines(spark, duck):
     cur.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     by_sql = cur.execute(queries.ORACLE["op10_lines"]).fetchall()
     assert sorted(((d, n, gone) for d, n, gone, _ in by_sql), key=str) == sorted(((d, n, gone) for d, _, n, gone in want), key=str)
+
+
+def test_short_and_blank_lines(spark):
+    docs = spark.createDataFrame([(1, "a\n\nShare\n \t"), (2, "b\n\nShare\nSharE\n \t\na")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()} == {1: "a\n\nShare\n \t", 2: "b\n\nSharE\n \t"}
+
+
+def test_long_lines_cost_what_they_are_long(spark):
+    rng = random.Random(2)
+    long = "".join(rng.choices("abcdefgh é", k=1_000_000))
+    rows = [(1, long), (2, long[:500_000] + long[500_001:]), (3, long[:70] + "?" + long[71:]), (4, long[:70] + "??" + long[72:])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    lines.dedup_lines(docs.limit(0)).count()
+    began = time.perf_counter()
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 1}
+    assert time.perf_counter() - began < 60
