@@ -1,52 +1,109 @@
 """Secret scans through a trigram inverted index, in DataFrame operations only.
 
-Each rule's pattern gives a Boolean query over trigrams: an OR of the literals one of which a
-match must hold, each an AND of that literal's trigrams. The index has a posting for each
+Each rule's pattern gives a Boolean query over trigrams: an OR of the strings one of which a
+match must hold, each an AND of that string's trigrams. The index has a posting for each
 trigram of the queries and each text that holds it; intersecting postings leaves the
-candidates whose texts the pattern is run on. A rule without a mandatory literal of three
-characters has no query and is run on every text.
+candidates whose texts the pattern is run on. A rule whose pattern has no mandatory string of
+three characters has no query and is run on every text.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
+from re import _constants as kinds
+from re import _parser as parser
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import save, text_key
 
+#: More alternatives than this are no query worth asking.
+MOST_STRINGS = 64
+
+SPAN = "struct<start:bigint,rank:int,kind:string,stop:bigint>"
+
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: its pattern, the literals one of which every match holds (any case), and what decides on its length."""
+    """A kind of secret: its pattern, and the group that must have ``least`` characters.
+
+    ``exact`` is a pattern that finds just those matches of the other which are long enough, if there is one.
+    """
 
     kind: str
     pattern: str
-    literals: tuple[str, ...]
     group: int
     least: int
+    exact: str | None = None
+
+    @property
+    def run(self) -> str:
+        return self.exact or self.pattern
 
 
 # The kinds, patterns and least lengths that the query's contract states.
 RULES = (
-    Rule(
-        "assign",
-        r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        ("password", "passwd", "secret", "token", "apikey", "api_key"),
-        2,
-        12,
-    ),
-    Rule("access", "AKIA[A-Z0-9]+", ("AKIA",), 0, 18),
-    Rule("hex", "[0-9a-f]+", (), 0, 16),
+    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    Rule("access", "AKIA[A-Z0-9]+", 0, 18),
+    Rule("hex", "[0-9a-f]+", 0, 16, "[0-9a-f]{16,}"),
 )
 
 
+def _strings(items) -> tuple[set[str] | None, list[set[str]]]:
+    """Of a parsed sequence: all the strings it can be, if few, and the sets of strings of which each match holds one."""
+    run, found = {""}, []
+
+    def end() -> None:
+        nonlocal run
+        if run != {""}:
+            found.append(run)
+        run = {""}
+
+    whole = True
+    for kind, value in items:
+        options: set[str] | None = None
+        if kind is kinds.LITERAL:
+            options = {chr(value).lower()}
+        elif kind is kinds.SUBPATTERN:
+            options, inner = _strings(value[-1])
+            if options is None:
+                found += inner
+        elif kind is kinds.BRANCH:
+            each = [_strings(x) for x in value[1]]
+            if all(x is not None for x, _ in each):
+                options = set().union(*[x for x, _ in each])
+        elif kind in (kinds.MAX_REPEAT, kinds.MIN_REPEAT):
+            least, most, of = value
+            of, inner = _strings(of)
+            if of is not None and (least, most) in ((0, 1), (1, 1)):
+                options = of | ({""} if least == 0 else set())
+            elif least:
+                found += inner if of is None else [of]
+        if options is None or len(run) * len(options) > MOST_STRINGS:
+            whole = False
+            end()
+            run = options if options is not None and len(options) <= MOST_STRINGS else {""}
+        else:
+            run = {a + b for a in run for b in options}
+    if whole:
+        return run, found
+    end()
+    return None, found
+
+
+@cache
+def mandatory(pattern: str) -> tuple[str, ...]:
+    """Lower-case strings of three characters or more, one of which each match of the pattern holds in any case; none if there are no such."""
+    whole, found = _strings(parser.parse(pattern))
+    sets = [x for x in [*found, whole] if x and min(map(len, x)) >= 3]
+    return tuple(sorted(max(sets, key=lambda x: (min(map(len, x)), -len(x))))) if sets else ()
+
+
 def trigram_query(rule: Rule) -> list[list[str]] | None:
     """The rule's query as an OR of ANDs of lower-case trigrams; None if some match need hold no trigram."""
-    if not rule.literals or min(map(len, rule.literals)) < 3:
-        return None
-    return [sorted({x.lower()[i : i + 3] for i in range(len(x) - 2)}) for x in rule.literals]
+    return [sorted({x[i : i + 3] for i in range(len(x) - 2)}) for x in mandatory(rule.pattern)] or None
 
 
 def trigrams(rules: tuple[Rule, ...] = RULES) -> list[str]:
@@ -63,80 +120,76 @@ def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``(k1, k2, kinds)``: the texts whose postings satisfy some rule's query, and those rules.
 
-    Postings are intersected per text: each text's trigrams are or-ed into one bit mask before
-    the shuffle, so that a trigram which many texts hold gathers nowhere.
+    Postings are intersected per text: each text's trigrams are or-ed into bit masks of 60
+    before the shuffle, so that a trigram which many texts hold gathers nowhere.
     """
     names = trigrams(rules)
-    bit = {t: 1 << i for i, t in enumerate(names)}
-    one = F.element_at(F.create_map(*[F.lit(x) for t in names for x in (t, bit[t])]), F.col("trigram")).cast("long")
-    masks = index.groupBy("k1", "k2").agg(F.bit_or(one).alias("mask"))
-    kinds = []
+    place = {t: divmod(i, 60) for i, t in enumerate(names)}
+    of = lambda i: F.create_map(*[F.lit(x) for t in names if place[t][0] == i for x in (t, 1 << place[t][1])])
+    words = range(-(-len(names) // 60))
+    masks = index.groupBy("k1", "k2").agg(F.count("*").alias("n"), *[F.bit_or(F.coalesce(F.try_element_at(of(i), F.col("trigram")).cast("long"), F.lit(0).cast("long"))).alias(f"m{i}") for i in words])
+    found = []
     for rule in rules:
-        query = trigram_query(rule)
-        if query:
-            any_of = F.lit(False)
-            for literal in query:
-                need = sum(bit[t] for t in literal)
-                any_of = any_of | (F.col("mask").bitwiseAND(F.lit(need).cast("long")) == need)
-            kinds.append(F.when(any_of, F.lit(rule.kind)))
-    return masks.select("k1", "k2", F.array_compact(F.array(*kinds)).alias("kinds")).filter(F.size("kinds") > 0)
-
-
-def _spans(rule: Rule) -> Column:
-    """The rule's leftmost matches in ``text`` as structs of start, rank, kind and end, in code points.
-
-    ``\\G(.*?)pattern`` takes each match with the gap before it, so lengths add up to places;
-    \\G keeps the search from starting anew at each place after the last match.
+        any_of = F.lit(False)
+        for literal in trigram_query(rule) or []:
+            every = F.lit(True)
+            for i in words:
+                need = sum(1 << place[t][1] for t in literal if place[t][0] == i)
+                every = every & (F.col(f"m{i}").bitwiseAND(F.lit(need).cast("long")) == need)
+            any_of = any_of | every
+        found.append(F.when(any_of, F.lit(rule.kind)))
+    return masks.select("k1", "k2", F.array_compact(F.array(*found)).alias("kinds")).filter(F.size("kinds") > 0)
+
+
+def _matches(rule: Rule, rank: int) -> Column:
+    """The rule's leftmost matches in ``text``: of each its number, the gap before it, its size and whether it holds."""
+    decides = lambda x: F.length(F.regexp_extract(x, rule.run, rule.group))
+    found = F.transform(F.regexp_extract_all("text", F.lit(rule.run), F.lit(0)), lambda x: F.struct(F.length(x).alias("size"), (decides(x) >= rule.least).alias("holds")))
+    gaps = F.transform(F.split("text", rule.run, -1), lambda x: F.length(x))
+    both = F.zip_with(gaps, found, lambda gap, x: F.struct(gap.alias("gap"), x["size"].alias("size"), x["holds"].alias("holds")))
+    return F.transform(both, lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("no"), x["gap"].alias("gap"), x["size"].alias("size"), x["holds"].alias("holds")))
+
+
+def _spans(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``(_j1, _j2, secrets)`` of the ``texts(text, _k1, _k2, _kinds)`` that have any.
+
+    Gaps and matches are a row each, so that places are running sums within a text and rule
+    and no array grows by a copy for each span. A text that many rows hold is taken once.
     """
-    rank = RULES.index(rule) if rule in RULES else len(RULES)
-    with_gap = F.lit(rf"(?s)\G(.*?)({rule.pattern})")
-    whole = F.regexp_extract_all("text", with_gap, F.lit(0))
-    found = F.regexp_extract_all("text", with_gap, F.lit(2))
-    decides = F.regexp_extract_all("text", with_gap, F.lit(2 + rule.group)) if rule.group else found
-    parts = F.transform(
-        F.arrays_zip(whole.alias("whole"), found.alias("found"), decides.alias("decides")),
-        lambda x: F.struct(F.length(x["whole"]).cast("long").alias("whole"), F.length(x["found"]).cast("long").alias("found"), (F.length(x["decides"]) >= rule.least).alias("holds")),
-    )
-    walked = F.aggregate(
-        parts,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,rank:int,kind:string,stop:bigint>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["whole"]).alias("at"),
-            F.when(
-                x["holds"],
-                F.concat(
-                    acc["spans"],
-                    F.array(F.struct((acc["at"] + x["whole"] - x["found"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (acc["at"] + x["whole"]).alias("stop"))),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return walked
+    none = F.array().cast("array<struct<rank:int,no:int,gap:int,size:int,holds:boolean>>")
+    parts = []
+    for rank, rule in enumerate(rules):
+        may = F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False)) if trigram_query(rule) else F.col("text").rlike(rule.run)
+        parts.append(F.when(may, _matches(rule, rank)).otherwise(none))
+    rows = texts.select("_k1", "_k2", F.explode(F.concat(*parts)).alias("x")).select("_k1", "_k2", "x.*").filter("size is not null").distinct()
+    so_far = Window.partitionBy("_k1", "_k2", "rank").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("stop", F.sum(F.col("gap") + F.col("size")).over(so_far)).filter("holds")
+    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("rank") + 1)
+    span = F.struct((F.col("stop") - F.col("size")).alias("start"), "rank", kind.alias("kind"), "stop")
+    return rows.groupBy(F.col("_k1").alias("_j1"), F.col("_k2").alias("_j2")).agg(F.array_sort(F.collect_list(span)).cast(f"array<{SPAN}>").alias("_spans"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with ``secrets``, an array of structs (start, rank, kind, stop) by start, then rank.
 
     Matches are leftmost and do not overlap within a kind; those whose deciding group is too
-    short are dropped afterwards. A null text is empty. Repeated rows get the same result;
-    other columns stay (``secrets`` is replaced). Candidates meet their texts by hash, with
-    rows split where many rows hold one text.
+    short are dropped afterwards. Patterns match no empty string and look neither ahead nor
+    back. A null text is empty. Repeated rows get the same result;
+    other columns stay (``secrets`` is replaced). Candidates and spans meet their texts by
+    hash, with rows split where many rows hold one text.
     """
-    found = save(candidates(postings(docs.select("text"), rules), rules), "candidates").withColumnsRenamed({"k1": "_j1", "k2": "_j2", "kinds": "_kinds"})
     first, second = text_key()
-    joined = docs.withColumns({"_k1": first, "_k2": second}).join(found, (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2")), "left")
-    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,stop:bigint>>")
-    spans = []
-    for rule in rules:
-        if trigram_query(rule):
-            may = F.coalesce(F.array_contains("_kinds", rule.kind), F.lit(False))
-        else:
-            may = F.col("text").rlike(rule.pattern.removesuffix("+") + "{%d}" % rule.least) if rule.kind == "hex" else F.col("text").isNotNull()
-        spans.append(F.when(may, _spans(rule)).otherwise(none))
-    return joined.withColumn("secrets", F.array_sort(F.concat(*spans))).drop("_k1", "_k2", "_j1", "_j2", "_kinds")
+    keyed = lambda rows: rows.withColumns({"_k1": first, "_k2": second})
+    on = (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2"))
+    texts = keyed(docs.select("text"))
+    if trigrams(rules):
+        found = save(candidates(postings(docs.select("text"), rules), rules), "candidates").withColumnsRenamed({"k1": "_j1", "k2": "_j2", "kinds": "_kinds"})
+        texts = texts.join(found, on, "left")
+    else:
+        texts = texts.withColumn("_kinds", F.array().cast("array<string>"))
+    spans = save(_spans(texts, rules), "spans")
+    joined = keyed(docs).join(spans, on, "left")
+    return joined.withColumn("secrets", F.coalesce("_spans", F.array().cast(f"array<{SPAN}>"))).drop("_k1", "_k2", "_j1", "_j2", "_spans")
 
 
 def report(docs: DataFrame) -> DataFrame:

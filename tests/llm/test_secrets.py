@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from cairnkb.llm import secrets
 from pyspark.sql import functions as F
@@ -34,5 +35,23 @@ def test_index(spark):
     assert secrets.trigram_query(secrets.RULES[2]) is None
     assert secrets.trigram_query(secrets.RULES[1]) == [["aki", "kia"]]
     docs = spark.createDataFrame([("TOKEN",), ("to ken",), ("AkIa",), (None,)], "text string")
+    assert secrets.mandatory(secrets.RULES[0].pattern) == ("api_key", "apikey", "passwd", "password", "secret", "token")
+    assert secrets.mandatory("(?:ab|cd)+x{3}y?[a-z]*needle-[0-9]+") == ("needle-",)
+    assert secrets.mandatory("ab?c|[a-z]+") == ()
     found = secrets.candidates(secrets.postings(docs)).select(F.array_join("kinds", ",").alias("k")).collect()
     assert sorted(r.k for r in found) == ["access", "assign"]
+
+
+def test_rules_of_ones_own(spark):
+    rules = (secrets.Rule("key", "(?i)(?:live|test)_key_([0-9]+)", 1, 3), secrets.Rule("pin", "#[0-9]{4}", 0, 5))
+    docs = spark.createDataFrame([("a LIVE_key_123 #1234 test_key_12",), ("#99",), (None,)], "text string")
+    got = [[(x.kind, x.start, x.stop) for x in r.secrets] for r in secrets.scan(docs, rules).collect()]
+    assert sorted(got) == [[], [], [("key", 2, 14), ("pin", 15, 20)]]
+
+
+def test_many_spans_in_one_text(spark):
+    text = "0123456789abcdef é " * 100_000
+    began = time.perf_counter()
+    r = secrets.scan(spark.createDataFrame([(text,)], "text string")).first()
+    assert len(r.secrets) == 100_000 and (r.secrets[-1].start, r.secrets[-1].stop) == (len(text) - 19, len(text) - 3)
+    assert time.perf_counter() - began < 60
