@@ -21,8 +21,9 @@ from ..session import ship
 from .common import broadcast, save, text_key
 
 WINDOW = 13
-#: Windows that are broadcast at once (about 200 bytes each); a larger benchmark is taken in several blocks.
-BLOCK = 500_000
+#: Windows that are broadcast at once; a larger benchmark is taken in several blocks. Their words are kept once
+#: each, so a window takes about 0.5 kB as Python objects and a block at most 100 MB in the driver and in each worker.
+BLOCK = 200_000
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -73,8 +74,9 @@ def frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
 def index(rows: list[tuple[bytes, list[str]]], rarity: dict[bytes, int]) -> dict[bytes, list[tuple]]:
     """By prefix word: its offset, the second-rarest word's offset, that word, the window's words, its items."""
     by: dict[bytes, list[tuple]] = {}
+    same: dict[bytes, bytes] = {}
     for window, items in rows:
-        parts = window.split(b" ")
+        parts = tuple(same.setdefault(w, w) for w in window.split(b" "))
         order = sorted(range(len(parts)), key=lambda i: (rarity.get(parts[i], 0), parts[i], i))
         first, second = order[0], order[min(1, len(order) - 1)]
         by.setdefault(parts[first], []).append((first, second, parts[second], parts, tuple(items)))
@@ -88,7 +90,7 @@ def matches(found: list[bytes], by: dict[bytes, list[tuple]]) -> tuple[bytearray
         for offset, second, other, parts, of in by.get(word, ()):
             start = at - offset
             end = start + len(parts)
-            if start >= 0 and end <= n and found[start + second] == other and found[start:end] == parts:
+            if start >= 0 and end <= n and found[start + second] == other and tuple(found[start:end]) == parts:
                 hit[start:end] = b"\x01" * len(parts)
                 items.update(of)
     return hit, items
@@ -98,17 +100,14 @@ def _row(n: int, hits: int, items: set[str]) -> tuple:
     return n, hits, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hits > 0 and 20 * hits >= n
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, size: int, block: int) -> Iterator[dict[bytes, list[tuple]]]:
-    """The index of all windows, in parts of bounded size."""
-    cut = save(windows(benchmark, size), "windows")
-    parts = -(-cut.count() // block)
-    for part in range(parts):
-        mine = cut.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == part) if parts > 1 else cut
-        rows: dict[bytes, list[str]] = {}
-        for r in mine.toLocalIterator():  # about ``block`` rows
-            rows.setdefault(bytes(r.window), []).append(r.item)
-        rarity = frequencies(docs, {w for x in rows for w in x.split(b" ")})
-        yield index(list(rows.items()), rarity)
+def _block(docs: DataFrame, cut: DataFrame, part: int, parts: int) -> dict[bytes, list[tuple]]:
+    """The index of one of ``parts`` blocks of the windows."""
+    mine = cut.filter(F.pmod(F.xxhash64("window"), F.lit(parts)) == part) if parts > 1 else cut
+    rows: dict[bytes, list[str]] = {}
+    for r in mine.toLocalIterator():  # about a block of rows
+        rows.setdefault(bytes(r.window), []).append(r.item)
+    rarity = frequencies(docs, {w for x in rows for w in x.split(b" ")})
+    return index(list(rows.items()), rarity)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block: int = BLOCK) -> DataFrame:
@@ -122,9 +121,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
     a pass over the documents for each block, whose hits are joined by the text's hashes.
     """
     ship(docs.sparkSession)
-    parts = list(_iter_first_two(_blocks(docs, benchmark, size, block)))
-    if len(parts) <= 1:
-        by = broadcast(docs, parts[0] if parts else {})
+    cut = save(windows(benchmark, size), "windows")
+    parts = -(-cut.count() // block)
+    if parts <= 1:
+        by = broadcast(docs, _block(docs, cut, 0, 1) if parts else {})
 
         @F.pandas_udf(RESULT)
         def judge(text: pd.Series) -> pd.DataFrame:
@@ -136,22 +136,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, blo
             return pd.DataFrame(out, columns=[f.split()[0] for f in RESULT.split(", ")])
 
         return docs.withColumn("contamination", judge("text"))
-    return _in_blocks(docs, benchmark, size, block)
-
+    return _in_blocks(docs, cut, parts)
 
-def _iter_first_two(blocks: Iterator) -> Iterator:
-    for i, x in enumerate(blocks):
-        yield x
-        if i == 1:
-            return
 
-
-def _in_blocks(docs: DataFrame, benchmark: DataFrame, size: int, block: int) -> DataFrame:
+def _in_blocks(docs: DataFrame, cut: DataFrame, parts: int) -> DataFrame:
     found_in = "k1 long, k2 long, hits binary, items array<string>"
     keyed = docs.select("text", *text_key())
     all_hits = None
-    for part in _blocks(docs, benchmark, size, block):
-        by = broadcast(docs, part)
+    for part in range(parts):
+        by = broadcast(docs, _block(docs, cut, part, parts))
 
         def find(batches: Iterator[pd.DataFrame], by=by) -> Iterator[pd.DataFrame]:
             for batch in batches:

@@ -4,7 +4,9 @@ A code of 64 bits is cut into m segments. If two codes differ in at most m * r +
 of the first a + 1 segments differs in at most r bits or a later one in at most r - 1. So
 segments are probed one by one with growing radius, and a query ends once its k-th verified
 distance is at most the distance provably covered. Rows are searched in blocks, each by its
-own index, for the queries in blocks of bounded size; the k best of a query's blocks are merged.
+own index, for the queries in blocks of bounded size. A task takes many blocks of rows one
+after another, each search ends at the k-th distance of those before, and only the task's k
+best of a query are shuffled.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ K = 10
 BITS = 64
 #: Queries broadcast at once (16 bytes each).
 QUERY_BLOCK = 200_000
-#: Rows indexed at once within a task, and the fewest that are worth a task of their own.
+#: Rows indexed at once within a task, the fewest that are worth a task of their own, and tasks a core.
 ROW_BLOCK = 100_000
 LEAST_BLOCK = 5_000
+TASKS = 4
 
 
 def with_codes(rows: DataFrame, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -74,8 +77,8 @@ class SegmentIndex:
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         return self.order[j][at]
 
-    def search(self, query: int, skip: int | None = None) -> list[tuple[int, int]]:
-        """The k nearest as (distance, id), in that order; ``skip`` is left out."""
+    def search(self, query: int, skip: int | None = None, within: int = BITS) -> list[tuple[int, int]]:
+        """The k nearest as (distance, id), in that order; ``skip`` is left out, and codes farther than ``within`` may be."""
         seen = np.zeros(len(self.codes), bool)
         near = np.zeros(BITS + 1, np.int64)  # ids found by distance, the skipped one included
         need = self.k + (skip is not None)
@@ -90,7 +93,8 @@ class SegmentIndex:
                     near += np.bincount(d, weights=[len(self.ids[i]) for i in new.tolist()], minlength=BITS + 1).astype(np.int64)
                     found.append(new)
                     distances.append(d)
-                if near[: len(self.bits) * radius + j + 1].sum() >= need:
+                reached = len(self.bits) * radius + j  # the distance provably covered
+                if reached >= within or near[: reached + 1].sum() >= need:
                     return self._best(found, distances, need, skip)
         return self._best(found, distances, need, skip)
 
@@ -115,8 +119,9 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K, query_block: int = QU
     rows = save(rows.filter("id is not null").distinct(), "codes")
     asked = save(queries.filter("id is not null").distinct(), "queries")
     n = rows.count()
-    blocks = max(1, -(-n // ROW_BLOCK), min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // LEAST_BLOCK)))
-    dealt = rows.repartition(blocks, "id")  # codes are small beside the work on them: a file of many would be one task's
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(TASKS * cores, max(cores, -(-n // ROW_BLOCK)), -(-n // LEAST_BLOCK)))
+    dealt = rows.repartition(tasks, "id")  # codes are small beside the work on them: a file of many would be one task's
     parts = max(1, -(-asked.count() // query_block))
     out = None
     for part in range(parts):
@@ -124,27 +129,31 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K, query_block: int = QU
         block = broadcast(rows, [np.array(x, np.int64) for x in zip(*[(r.id, r.code) for r in mine.toLocalIterator()], strict=True)])
 
         def search(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            def flush(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                if not held or not block.value:
-                    return
+            if not block.value:
+                return
+            asked = list(zip(block.value[0].tolist(), block.value[1].view(np.uint64).tolist(), strict=True))
+            best: list[list[tuple[int, int]]] = [[] for _ in asked]
+
+            def look(held: list[pd.DataFrame]) -> None:
                 x = pd.concat(held)
                 index = SegmentIndex(x["code"].to_numpy(np.int64).view(np.uint64), x["id"].to_numpy(np.int64), k)
-                result = []
-                for query, code in zip(block.value[0].tolist(), block.value[1].view(np.uint64).tolist(), strict=True):
-                    result += [(query, d, i) for d, i in index.search(code, query)]
-                    if len(result) > 100_000:
-                        yield pd.DataFrame(result, columns=["query_id", "distance", "id"])
-                        result = []
-                yield pd.DataFrame(result, columns=["query_id", "distance", "id"])
+                for at, (query, code) in enumerate(asked):
+                    before = best[at]
+                    new = index.search(code, query, before[-1][0] if len(before) == k else BITS)
+                    best[at] = sorted(before + new)[:k] if before else new
 
             held, size = [], 0
             for batch in batches:
                 held.append(batch)
                 size += len(batch)
                 if size >= ROW_BLOCK:
-                    yield from flush(held)
+                    look(held)
                     held, size = [], 0
-            yield from flush(held)
+            if held:
+                look(held)
+            for at in range(0, len(asked), 10_000):
+                rows = [(query, d, i) for (query, _), found in zip(asked[at : at + 10_000], best[at : at + 10_000], strict=True) for d, i in found]
+                yield pd.DataFrame(rows, columns=["query_id", "distance", "id"])
 
         found = dealt.mapInPandas(search, "query_id long, distance long, id long")
         out = found if out is None else out.unionByName(found)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pytest
 from cairnkb.llm import hamming, warc
 from pyspark.sql import functions as F
 
@@ -11,7 +12,10 @@ def signed(v):
     return v - 2**64 if v >= 2**63 else v
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("row_block", [100_000, 40])
+def test_top_k(spark, monkeypatch, row_block):
+    monkeypatch.setattr("cairnkb.llm.hamming.ROW_BLOCK", row_block)
+    monkeypatch.setattr("cairnkb.llm.hamming.TASKS", 1)
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(20)]
     codes = [(i, rng.choice(base) ^ (1 << rng.randrange(64)) if i % 3 else rng.getrandbits(64)) for i in range(400)]
