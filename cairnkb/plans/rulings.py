@@ -2,21 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import evals, rules
+from ..operators.rules import Lint, Screen
 from ..sources import readers
 
-# Fixed values of the queries below: code that is put into the answers, one body after another by doc_id.
+# Rules of these queries: what the synthetic documents and conversations can hold.
+SCREENS = (
+    Screen("payment card", r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}\b", True, True),
+    Screen("access key", r"\bAKIA[A-Z0-9]{14,}", True),
+    Screen("password", r"(?i)\bpassword *[:=] *[^ \n]{6,}", True),
+    Screen("mail address", r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}", False, True),
+    Screen("network address", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
+    Screen("telephone", r"\+[0-9]{1,3}[ -][0-9][0-9 -]{6,}[0-9]", False, True),
+    Screen("calendar day", r"\b(?:19|20)[0-9]{2}-[01][0-9]-[0-3][0-9]\b", False, True),
+)
+# A small language of our own for the code in answers: begin/end, loop/next, when/over, give; -- and { } comments.
+CHECKS = (
+    Lint("dash-comment", "WARNING", "a line comment, write { } instead", "--", raw=True),
+    Lint("forever", "ERROR", "this loop has no way out", r"(?i)\bloop[ \n]+always\b"),
+    Lint("divide-by-nothing", "ERROR", "a division by 0", r"/ *0(?![.0-9])"),
+    Lint("truncates", "WARNING", "two whole numbers divided lose the remainder", r"\b[0-9]+ */ *[1-9][0-9]*\b"),
+    Lint("old-call", "ERROR", "clip() is gone, use part()", r"\bclip *\("),
+    Lint("global", "INFO", "seen by every run", r"(?i)\bshare +[a-z]+ *="),
+    Lint("no-give", "ERROR", "a program that gives nothing", r"(?i)\bgive\b", needs=r"(?i)\bbegin\b", lacks=True),
+    Lint("loops", "ERROR", "loop and next differ in number", r"(?i)\bloop\b", closing=r"(?i)\bnext\b"),
+    Lint("whens", "ERROR", "when and over differ in number", r"(?i)\bwhen\b", closing=r"(?i)\bover\b"),
+)
+REPAIRS = ((r"--[ \t]*([^\n]*)", "{ $1 }"), (r"\bclip *\(", "part("))
+# Code that is put into the answers, one body after another by doc_id, and a second block in every third.
 BODIES = [
-    "WHILE TRUE DO\nx := 1;\nDONE\nRETURN x",
-    "IF a > 0\nx := 10 / 4;\nRETURN x",
-    "// note\nOrder.Id := 5;\nRETURN GetDate()",
-    "REPEAT\nx := Left(a);\n/* two\nlines */ RETURN x / 0.0",
-    'x := 1;\na.Result.Value := 2;\nCascade("ABC")',
-    "RETURN NumEntries(a)",
+    "loop always\nx = 1\nnext\ngive x",
+    "when a > 0\nx = 10 / 4\ngive x",
+    "-- note\nshare total = 5\ngive today()",
+    "loop 3\nx = clip(a)\n{ two\nlines } give x / 0",
+    "x = 1\n{ never closed",
+    "give Count(a) + Half(b)",
 ]
+SECOND = "begin q\nx = 7 / 0\nend"
 CASES = [(0, ["the", "an"], ["Zz"]), (1, ["ou"], ["Qu"]), (2, ["er", "ing"], []), (3, [], ["Th", "En"]), (4, ["e"], ["xyzzy"])]
 NOTICE = "Loops are not for this account."
 
@@ -26,55 +51,76 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def screen_texts(spark, sf_dir):
-    """Each document as the current text with the next shorter prefix of it as history."""
-    now, before = F.col("text"), F.left("text", F.lit(100))
-    found, stop = rules.screened(now, before)
-    return documents(spark, sf_dir).select("doc_id", F.array_join(found, "; ").alias("alerts"), F.coalesce(stop, F.lit(False)).alias("blocked"))
+    """Each turn of a conversation as the current text, with all its earlier turns as history."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    earlier = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    now = turns.withColumn("now", rules.alerts(F.col("text"), SCREENS))
+    # an alert of any earlier turn: as flags, so that no history is put together
+    flags = F.array_compact(F.array(*[F.when(F.max(F.array_contains("now", r.label)).over(earlier), F.lit(r.label)) for r in SCREENS]))
+    both = now.withColumn("before", flags)
+    stop = rules.blocked(F.col("now"), SCREENS) | rules.blocked(F.col("before"), SCREENS, escalate=False)
+    return both.select("conv_id", "turn", F.array_join(F.array_distinct(F.concat("now", "before")), "; ").alias("alerts"), stop.alias("blocked"))
+
+
+def screen_documents(spark, sf_dir):
+    found = rules.alerts(F.col("text"), SCREENS)
+    return documents(spark, sf_dir).select("doc_id", F.array_join(found, "; ").alias("alerts"), rules.blocked(found, SCREENS).alias("blocked"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, answer)``: the beginning of a text, then a block of code."""
+    """``(doc_id, answer)``: a whole text, a block of code, and in every third a second block."""
     body = F.element_at(F.array(*map(F.lit, BODIES)), (F.pmod("doc_id", F.lit(len(BODIES))) + 1).cast("int"))
-    return documents(spark, sf_dir).select("doc_id", F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(60)), F.lit("\n```code\nPROGRAM p\n"), body, F.lit("\n```\nend")).alias("answer"))
+    block = lambda code: F.concat(F.lit("\n```code\n"), code, F.lit("\n```\n"))
+    more = F.when(F.pmod("doc_id", F.lit(3)) == 0, block(F.lit(SECOND))).otherwise("")
+    return documents(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), block(F.concat(F.lit("begin p\n"), body)), F.lit("then"), more).alias("answer"))
+
+
+def _issues(spark, sf_dir):
+    each = answers(spark, sf_dir).select("doc_id", F.posexplode(rules.blocks(F.col("answer"))).alias("block", "code"))
+    return each.select("doc_id", F.col("block").cast("long").alias("block"), rules.lint(F.col("code"), CHECKS).alias("issues"))
 
 
 def lint_blocks(spark, sf_dir):
-    block = F.get(rules.blocks(F.col("answer")), F.lit(0))
-    linted = answers(spark, sf_dir).select("doc_id", block.alias("code")).withColumn("issues", rules.lint(F.col("code")))
+    """The issues of every block of every answer."""
     shown = F.transform(F.col("issues"), lambda x: F.concat_ws(":", x["rule_id"], F.coalesce(x["line"].cast("string"), F.lit("-"))))
-    return linted.select(
-        "doc_id", rules.severity_count(F.col("issues"), "ERROR").cast("long").alias("n_errors"), rules.severity_count(F.col("issues"), "WARNING").cast("long").alias("n_warnings"),
-        F.array_join(F.array_sort(shown), ",").alias("issues"),
+    return _issues(spark, sf_dir).select(
+        "doc_id", "block", rules.severity_count(F.col("issues"), "ERROR").cast("long").alias("n_errors"), rules.severity_count(F.col("issues"), "WARNING").cast("long").alias("n_warnings"),
+        F.array_join(shown, ",").alias("issues"),
     )
 
 
+def lint_reports(spark, sf_dir):
+    """Each block's issues of weight as a report, by severity."""
+    return _issues(spark, sf_dir).select("doc_id", "block", rules.lint_report(F.col("issues"), "WARNING").alias("report"))
+
+
 def repair_blocks(spark, sf_dir):
-    fixed = rules.in_blocks(F.col("answer"), rules.repaired)
+    fixed = rules.in_blocks(F.col("answer"), lambda p: rules.repaired(p, REPAIRS))
     return answers(spark, sf_dir).select("doc_id", (fixed != F.col("answer")).alias("changed"), F.md5(fixed.cast("binary")).alias("fixed_md5"))
 
 
 def gate_loops(spark, sf_dir):
-    shown = rules.loop_gate(F.col("answer"), F.pmod("doc_id", F.lit(2)) == 0, NOTICE)
+    shown = rules.loop_gate(F.col("answer"), F.pmod("doc_id", F.lit(2)) == 0, NOTICE, ["loop", "repeat"])
     return answers(spark, sf_dir).select("doc_id", F.md5(shown.cast("binary")).alias("shown_md5"))
 
 
 def strip_reasoning(spark, sf_dir):
-    """An answer after its reasoning: what precedes the marker goes if it says so or is long."""
-    said = F.concat(F.left("text", (F.pmod("doc_id", F.lit(4)) * 60).cast("int")), F.when(F.pmod("doc_id", F.lit(3)) == 0, " let me think ").otherwise(" "), F.lit("## Answer\nyes"))
+    """An answer after its reasoning, the whole text: what precedes the marker goes if it says so or is long."""
+    said = F.concat(F.col("text"), F.when(F.pmod("doc_id", F.lit(3)) == 0, " let me think ").otherwise(" "), F.lit("## Answer\nyes"))
     kept = rules.answer_only(said, ["## Answer", "**Answer**"], ["let me think"])
     return documents(spark, sf_dir).filter("text is not null").select("doc_id", F.md5(kept.cast("binary")).alias("kept_md5"))
 
 
 def certainty_levels(spark, sf_dir):
+    """The level that a whole answer states in its section on certainty, and why."""
     mark = F.element_at(F.array(*map(F.lit, ["[HIGH] seen twice", "[LOW]", "none"])), (F.pmod("doc_id", F.lit(3)) + 1).cast("int"))
-    shown = F.concat(F.lit("## Certainty\n"), mark, F.lit("\n## Sources\nall"))
+    shown = F.concat(F.coalesce("text", F.lit("")), F.lit("\n## Certainty\n"), mark, F.lit("\n## Sources\nall"))
     level, reason = rules.certainty(shown, "Certainty", [("[HIGH]", "high"), ("[LOW]", "low")])
     return documents(spark, sf_dir).select("doc_id", level.alias("level"), reason.alias("reason"), rules.section(shown, "Certainty").alias("part"))
 
 
 def _results(spark, sf_dir):
-    given = F.when(F.pmod("doc_id", F.lit(50)) != 0, F.col("text"))
-    said = documents(spark, sf_dir).select("doc_id", F.pmod("doc_id", F.lit(len(CASES))).cast("long").alias("case_id"), given.alias("answer"))
+    said = documents(spark, sf_dir).select("doc_id", F.pmod("doc_id", F.lit(len(CASES))).cast("long").alias("case_id"), F.col("text").alias("answer"))
     return evals.evaluate(said, readers.inline(spark, CASES, "case_id LONG, must ARRAY<STRING>, must_not ARRAY<STRING>"))
 
 
@@ -107,7 +153,7 @@ def run_verdicts(spark, sf_dir):
 
 
 def called_names(spark, sf_dir):
-    names = evals.calls(F.col("answer"), ["IF", "WHILE", "RETURN"])
+    names = evals.calls(F.col("answer"), [])
     return answers(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(names), ",").alias("names"))
 
 
@@ -115,14 +161,20 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
+def _list_sql(items: list[str]) -> str:
+    return "list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL)"
+
+
 def _alert_sql(column: str) -> str:
-    return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(coalesce({column}, ''), {_quoted(r.pattern)}) THEN '{r.label}' END" for r in rules.SCREENS) + "], lambda x: x IS NOT NULL)"
+    return _list_sql([f"CASE WHEN regexp_matches(coalesce({column}, ''), {_quoted(r.pattern)}) THEN '{r.label}' END" for r in SCREENS])
 
 
-_STOPS = "[" + ", ".join(f"'{r.label}'" for r in rules.SCREENS if r.blocking) + "]"
-_IDENTIFYING = "[" + ", ".join(f"'{r.label}'" for r in rules.SCREENS if r.identifying) + "]"
+_STOPS = "[" + ", ".join(f"'{r.label}'" for r in SCREENS if r.blocking) + "]"
+_IDENTIFYING = "[" + ", ".join(f"'{r.label}'" for r in SCREENS if r.identifying) + "]"
+_BLOCKS = "len(list_intersect({0}, " + _STOPS + ")) > 0 OR len(list_intersect({0}, " + _IDENTIFYING + ")) >= 2"
 _ANSWERS = f"""w AS (SELECT doc_id, [{", ".join(map(_quoted, BODIES))}][CAST(doc_id % {len(BODIES)} AS INT) + 1] AS body, coalesce(text, '') AS t FROM documents),
-a AS (SELECT doc_id, 'PROGRAM p' || chr(10) || body AS code, t[1:60] || chr(10) || '```code' || chr(10) || 'PROGRAM p' || chr(10) || body || chr(10) || '```' || chr(10) || 'end' AS answer FROM w)"""
+a AS (SELECT doc_id, t || chr(10) || '```code' || chr(10) || 'begin p' || chr(10) || body || chr(10) || '```' || chr(10) || 'then'
+  || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '```code' || chr(10) || {_quoted(SECOND)} || chr(10) || '```' || chr(10) ELSE '' END AS answer FROM w)"""
 
 
 def _line_sql(column: str, pattern: str) -> str:
@@ -130,26 +182,28 @@ def _line_sql(column: str, pattern: str) -> str:
     return f"CAST(length({before}) - length(replace({before}, chr(10), '')) + 1 AS VARCHAR)"
 
 
-def _lint_sql() -> str:
-    issues = [("WARNING", "CASE WHEN contains(code, '//') THEN 'line-comment:' || " + _line_sql("code", "//") + " END")]
-    issues += [("ERROR", f"CASE WHEN regexp_matches(plain, {_quoted(chr(92) + 'b' + name + '[ ' + chr(92) + 'n' + chr(92) + 't]*' + chr(92) + '(')}) THEN 'unknown-call:-' END") for name, _ in rules.UNKNOWN_CALLS]
-    issues += [(r.severity, f"CASE WHEN regexp_matches(plain, {_quoted(r.pattern)}) THEN '{r.rule_id}:' || {_line_sql('plain', r.pattern)} END") for r in rules.LINTS]
-    count = lambda word: f"len(regexp_extract_all(plain, '(?i)\\b{word}\\b'))"
-    issues += [
-        ("ERROR", f"CASE WHEN {count('REPEAT')} > {count('UNTIL')} THEN 'repeat-without-until:-' END"),
-        ("ERROR", f"CASE WHEN {count('PROGRAM')} > 0 AND {count('RETURN')} = 0 THEN 'no-return:-' END"),
-        ("ERROR", f"CASE WHEN {count('IF')} <> {count('ENDIF')} THEN 'balance:-' END"),
-        ("ERROR", f"CASE WHEN {count('WHILE')} <> {count('DONE')} THEN 'balance:-' END"),
-    ]
-    of = lambda severity: "list_filter([" + ", ".join(x for s, x in issues if severity in (s, None) or severity is None) + "], lambda x: x IS NOT NULL)"
-    return f"""WITH {_ANSWERS},
-p AS (SELECT doc_id, code, replace(regexp_replace(code, '//[^\\n]*', '', 'g'), '/* two' || chr(10) || 'lines */', chr(10)) AS plain FROM a)
-SELECT doc_id, len({of("ERROR")}) AS n_errors, len({of("WARNING")}) AS n_warnings, coalesce(array_to_string(list_sort({of(None)}), ','), '') AS issues FROM p"""
+def _issue_sql(check: Lint) -> str:
+    """DuckDB has no look-ahead: a division by 0 followed by no digit is said otherwise."""
+    on, pattern = "code" if check.raw else "plain", check.pattern.replace("(?![.0-9])", r"(?:[^.0-9]|$)")
+    if check.closing:
+        at = f"len(regexp_extract_all({on}, {_quoted(pattern)})) <> len(regexp_extract_all({on}, {_quoted(check.closing)}))"
+    else:
+        at = ("NOT " if check.lacks else "") + f"regexp_matches({on}, {_quoted(pattern)})"
+    if check.needs:
+        at += f" AND regexp_matches({on}, {_quoted(check.needs)})"
+    line = "NULL" if check.closing or check.lacks else _line_sql(on, pattern)
+    return f"CASE WHEN {at} THEN {{'id': '{check.rule_id}', 'severity': '{check.severity}', 'message': {_quoted(check.message)}, 'line': {line}}} END"
+
+
+_ISSUES = f"""{_ANSWERS},
+c AS (SELECT doc_id, unnest(b) AS code, unnest(range(len(b))) AS block FROM (SELECT doc_id, list_transform(regexp_extract_all(answer, '(?is)```code[ \\n\\t]*(.*?)```', 1), lambda x: trim(x, ' ' || chr(10) || chr(9) || chr(13))) AS b FROM a)),
+p AS (SELECT *, replace(regexp_replace(code, '--[^\\n]*', '', 'g'), {_quoted("{ two" + chr(10) + "lines }")}, chr(10)) AS plain FROM c),
+i AS (SELECT doc_id, block, {_list_sql([_issue_sql(c) for c in CHECKS])} AS issues FROM p)"""
 
 
 _CASES = "k(case_id, must, must_not) AS (VALUES " + ", ".join(f"({i}, {a}::VARCHAR[], {b}::VARCHAR[])" for i, a, b in CASES) + ")"
 _RESULTS = f"""{_CASES},
-r AS (SELECT doc_id, case_id, CASE WHEN doc_id % 50 <> 0 THEN text END AS answer, must, must_not FROM documents JOIN k ON doc_id % {len(CASES)} = case_id),
+r AS (SELECT doc_id, case_id, text AS answer, must, must_not FROM documents JOIN k ON doc_id % {len(CASES)} = case_id),
 e AS (SELECT *, list_concat(list_transform(list_filter(must, lambda t: NOT contains(lower(answer), lower(t))), lambda t: 'missing: ' || t), list_transform(list_filter(must_not, lambda t: contains(answer, t)), lambda t: 'forbidden: ' || t)) AS found FROM r),
 v AS (SELECT doc_id, case_id, CASE WHEN answer IS NULL THEN 'ERROR' WHEN len(found) = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
   CAST(CASE WHEN answer IS NULL THEN 0 ELSE greatest(0, 10 - 3 * len(found)) END AS BIGINT) AS score, CASE WHEN answer IS NULL THEN 'no answer' ELSE coalesce(array_to_string(found, '; '), '') END AS errors FROM e)"""
@@ -160,21 +214,27 @@ c AS (SELECT doc_id, CASE WHEN len(a) + len(b) = 0 THEN 1.0::DOUBLE ELSE round(i
 g AS (SELECT doc_id, similarity, CASE WHEN same THEN 'IDENTICAL' WHEN similarity >= 0.7 THEN 'EQUIVALENT' ELSE 'DIFFERENT' END AS verdict, CAST(n_lost AS BIGINT) AS n_lost, CAST(n_added AS BIGINT) AS n_added FROM c)"""
 
 ORACLE = {
-    "screen_texts": f"""WITH s AS (SELECT doc_id, {_alert_sql("text")} AS a, {_alert_sql("text[1:100]")} AS b FROM documents)
-SELECT doc_id, coalesce(array_to_string(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))), '; '), '') AS alerts,
-  len(list_intersect(a, {_STOPS})) > 0 OR len(list_intersect(a, {_IDENTIFYING})) >= 2 OR len(list_intersect(b, {_STOPS})) > 0 AS blocked FROM s""",
-    "lint_blocks": _lint_sql(),
-    "repair_blocks": f"""WITH {_ANSWERS}, f AS (SELECT doc_id, answer, CASE doc_id % {len(BODIES)} WHEN 2 THEN replace(answer, '// note', '/* note */') WHEN 4 THEN replace(answer, 'Cascade("ABC")', 'AddRequest("ABC", ?, ?)') ELSE answer END AS fixed FROM a)
+    "screen_texts": f"""WITH s AS (SELECT conv_id, turn, {_alert_sql("text")} AS a FROM conversations),
+h AS (SELECT conv_id, turn, a, [l FOR l IN [{", ".join(f"'{r.label}'" for r in SCREENS)}] IF list_contains(flatten(coalesce(list(a) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), [])), l)] AS b FROM s)
+SELECT conv_id, turn, coalesce(array_to_string(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))), '; '), '') AS alerts,
+  ({_BLOCKS.format("a")}) OR len(list_intersect(b, {_STOPS})) > 0 AS blocked FROM h""",
+    "screen_documents": f"""SELECT doc_id, coalesce(array_to_string(a, '; '), '') AS alerts, {_BLOCKS.format("a")} AS blocked FROM (SELECT doc_id, {_alert_sql("text")} AS a FROM documents)""",
+    "lint_blocks": f"""WITH {_ISSUES} SELECT doc_id, block, len(list_filter(issues, lambda x: x.severity = 'ERROR')) AS n_errors, len(list_filter(issues, lambda x: x.severity = 'WARNING')) AS n_warnings,
+  coalesce(array_to_string(list_transform(issues, lambda x: x.id || ':' || coalesce(x.line, '-')), ','), '') AS issues FROM i""",
+    "lint_reports": f"""WITH {_ISSUES} SELECT doc_id, block, coalesce(array_to_string(list_transform(list_concat(list_filter(issues, lambda x: x.severity = 'ERROR'), list_filter(issues, lambda x: x.severity = 'WARNING')),
+  lambda x: x.severity || ' ' || x.id || coalesce(':' || x.line, '') || ' ' || x.message), chr(10)), '') AS report FROM i""",
+    "repair_blocks": f"""WITH {_ANSWERS}, f AS (SELECT doc_id, answer, CASE doc_id % {len(BODIES)} WHEN 2 THEN replace(answer, '-- note' || chr(10), '{{ note }}' || chr(10)) WHEN 3 THEN replace(answer, 'clip(a)', 'part(a)') ELSE answer END AS fixed FROM a)
 SELECT doc_id, fixed <> answer AS changed, md5(fixed) AS fixed_md5 FROM f""",
-    "gate_loops": f"""WITH {_ANSWERS} SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 AND regexp_matches(code, '(?i)\\b(WHILE|REPEAT)\\b') THEN '{NOTICE}' ELSE answer END) AS shown_md5 FROM a""",
-    "strip_reasoning": """WITH s AS (SELECT doc_id, text[1 : (doc_id % 4) * 60] || CASE WHEN doc_id % 3 = 0 THEN ' let me think ' ELSE ' ' END AS pre, '## Answer' || chr(10) || 'yes' AS rest FROM documents WHERE text IS NOT NULL)
+    "gate_loops": f"""WITH {_ANSWERS} SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 AND len(list_filter(regexp_extract_all(answer, '(?is)```code[ \\n\\t]*(.*?)```', 1), lambda x: regexp_matches(x, '(?i)\\b(loop|repeat)\\b'))) > 0 THEN '{NOTICE}' ELSE answer END) AS shown_md5 FROM a""",
+    "strip_reasoning": """WITH s AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' let me think ' ELSE ' ' END AS pre, '## Answer' || chr(10) || 'yes' AS rest FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, md5(CASE WHEN contains(lower(pre), 'let me think') OR length(trim(pre, ' ' || chr(10) || chr(9) || chr(13))) > 150 THEN rest ELSE pre || rest END) AS kept_md5 FROM s""",
-    "certainty_levels": """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' END AS level, CASE doc_id % 3 WHEN 0 THEN 'seen twice' END AS reason, CASE doc_id % 3 WHEN 0 THEN '[HIGH] seen twice' WHEN 1 THEN '[LOW]' ELSE 'none' END AS part FROM documents""",
+    "certainty_levels": """WITH s AS (SELECT doc_id, regexp_extract(coalesce(text, '') || chr(10) || '## Certainty' || chr(10) || ['[HIGH] seen twice', '[LOW]', 'none'][CAST(doc_id % 3 AS INT) + 1] || chr(10) || '## Sources' || chr(10) || 'all', '(?s)(?:^|\\n)## Certainty[ ]*\\n(.*?)\\n## ', 1) AS part FROM documents)
+SELECT doc_id, CASE WHEN contains(part, '[HIGH]') THEN 'high' WHEN contains(part, '[LOW]') THEN 'low' END AS level, CASE WHEN contains(part, '[HIGH]') THEN 'seen twice' END AS reason, part FROM s""",
     "eval_results": f"WITH {_RESULTS} SELECT doc_id, status, score, errors FROM v",
     "eval_summary": f"WITH {_RESULTS} SELECT CAST(case_id AS BIGINT) AS case_id, count(*) AS n, count(*) FILTER (status = 'PASS') AS n_pass, round(avg(score), 6) AS mean_score FROM v GROUP BY case_id",
     "eval_weighted": f"WITH {_RESULTS} SELECT round(avg(score), 6) AS mean_score, count(*) AS n FROM v",
     "compare_runs": f"WITH {_RUNS} SELECT * FROM g",
     "run_verdicts": f"WITH {_RUNS} SELECT verdict, count(*) AS n FROM g GROUP BY verdict",
-    "called_names": f"""WITH {_ANSWERS} SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(code, '\\b([A-Z][A-Za-z0-9]+)\\s*\\(', 1), lambda x: x NOT IN ('IF', 'WHILE', 'RETURN')))), ','), '') AS names FROM a""",
+    "called_names": f"""WITH {_ANSWERS} SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(answer, '\\b([A-Z][A-Za-z0-9]+)\\s*\\(', 1))), ','), '') AS names FROM a""",
 }
 QUERIES = {name: globals()[name] for name in ORACLE}

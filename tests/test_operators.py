@@ -4,6 +4,7 @@ import datetime as dt
 
 from cairnkb.functions import convert, dates, lists, numbers, strings, tags
 from cairnkb.operators import bm25, evals, expand, knowledge, monitor, ranking, rules, text, usage
+from cairnkb.plans import rulings
 from pyspark.sql import functions as F
 
 
@@ -63,26 +64,34 @@ def test_values(spark):
 
 def test_screening_escalates_on_two_identifying_hits(spark):
     cases = spark.createDataFrame(
-        [(1, "mail a@b.org", False), (2, "mail a@b.org on 01/02/2023", True), (3, "4111111111111111", True), (4, None, False), (5, "", False)], "id int, text string, want boolean"
+        [(1, "mail a@b.org", False), (2, "mail a@b.org on 2023-02-01", True), (3, "4111111111111111", True), (4, None, False), (5, "", False)], "id int, text string, want boolean"
     )
-    found = rules.alerts(F.col("text"))
-    rows = cases.select("id", "want", rules.blocked(found).alias("got"), rules.blocked(found, escalate=False).alias("plain")).collect()
+    found = rules.alerts(F.col("text"), rulings.SCREENS)
+    rows = cases.select("id", "want", rules.blocked(found, rulings.SCREENS).alias("got"), rules.blocked(found, rulings.SCREENS, escalate=False).alias("plain")).collect()
     assert all(r.got == r.want for r in rows)
     assert {r.id for r in rows if r.plain} == {3}
 
 
 def test_lint_and_repair(spark):
-    code = 'PROGRAM p\n// note\nIF a\nCascade("X")'
-    r = one(spark, rules.lint(lit(code)), rules.repaired(lit(code)), rules.lint(lit("  ")))
-    assert {(i.rule_id, i.line) for i in r[0]} == {("line-comment", 2), ("no-return", None), ("balance", None)}
-    assert r[1] == 'PROGRAM p\n/* note */\nIF a\nAddRequest("X", ?, ?)'
-    assert r[2] == []
+    code = "begin p\n-- note\nwhen a\nclip (x) { loop\n} share y = 1 / 0.5"
+    r = one(spark, rules.lint(lit(code), rulings.CHECKS), rules.repaired(lit(code), rulings.REPAIRS), rules.lint(lit(" \n "), rulings.CHECKS), rules.lint(lit(None).cast("string"), rulings.CHECKS))
+    assert [(i.rule_id, i.line) for i in r[0]] == [("dash-comment", 2), ("old-call", 4), ("global", 5), ("no-give", None), ("whens", None)]
+    assert r[1] == "begin p\n{ note }\nwhen a\npart(x) { loop\n} share y = 1 / 0.5"
+    assert r[2] == r[3] == []
+
+
+def test_lint_report_orders_by_severity(spark):
+    code = "-- x\nloop always\nnext\nshare y = 2"
+    r = one(spark, rules.lint_report(rules.lint(lit(code), rulings.CHECKS), "WARNING"), rules.lint_report(rules.lint(lit("y = 1"), rulings.CHECKS)))
+    assert r[0] == "ERROR forever:2 this loop has no way out\nWARNING dash-comment:1 a line comment, write { } instead"
+    assert r[1] == ""
 
 
 def test_gate_and_certainty(spark):
-    said = "```code\nWHILE a DO\n```"
+    said = "```code\nLOOP a\n```"
     level, reason = rules.certainty(lit("## Sure\n[A] **Yes** — seen\n## More"), "Sure", [("[A]", "high")])
-    r = one(spark, rules.loop_gate(lit(said), lit(True), "no"), rules.loop_gate(lit(said), lit(False), "no"), level, reason, rules.answer_only(lit("hmm## A"), ["## A"], ["hmm"]))
+    gate = lambda on: rules.loop_gate(lit(said), lit(on), "no", ["loop"])
+    r = one(spark, gate(True), gate(False), level, reason, rules.answer_only(lit("hmm## A"), ["## A"], ["hmm"]))
     assert list(r) == ["no", said, "high", "seen", "## A"]
 
 
