@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF_K = 25
+#: Query vectors broadcast at once (some 6 kB each with 768 components).
+QUERY_BLOCK = 10_000
 #: Boost factors: an exactly named row, a row of a preferred category, a row with a signature.
 BOOSTS = (1.12, 1.08, 1.04)
 
@@ -14,25 +16,30 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+def cosine_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6, block: int = QUERY_BLOCK, within: tuple[str, ...] = ()) -> DataFrame:
     """``(query_id, rank, id, score)``: the k vectors of the largest cosine, exactly; ties by id.
 
     ``vectors`` has ``(id, embedding)``, ``queries`` ``(query_id, embedding)``: a stated set
-    of queries that is broadcast against all rows. Each task keeps k rows a query before the
-    shuffle. A zero or null vector has no cosine and never ranks.
+    of queries, broadcast in blocks of ``block`` against all rows. ``within`` names columns of
+    both sides that must be equal, so that the filter precedes the ranking. Each task keeps k
+    rows a query before the shuffle. A zero or null vector has no cosine and never ranks.
     """
-    scored = vectors.select("id", F.col("embedding").alias("v"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("nv")).crossJoin(
-        F.broadcast(queries.select("query_id", F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("nq")))
-    )
+    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
+    rows = vectors.select("id", F.col("embedding").alias("v"), norm.alias("nv"), *within)
+    asked = queries.select("query_id", F.col("embedding").alias("q"), norm.alias("nq"), *[F.col(c).alias(f"_{c}") for c in within])
+    same = F.lit(True)
+    for c in within:
+        same = same & (F.col(c) == F.col(f"_{c}"))
     score = F.round(dot(F.col("v"), F.col("q")) / F.nullif(F.col("nv") * F.col("nq"), F.lit(0.0)), digits)
+    parts = max(1, -(-queries.count() // block))
+    scored = None
+    for part in range(parts):
+        mine = F.broadcast(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part) if parts > 1 else asked)
+        found = rows.join(mine, same) if within else rows.crossJoin(mine)
+        found = found.select("query_id", "id", score.alias("score")).filter("score is not null")
+        scored = found if scored is None else scored.unionByName(found)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return (
-        scored.select("query_id", "id", score.alias("score"))
-        .filter("score is not null")
-        .withColumn("rank", F.row_number().over(ranked).cast("long"))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "id", "score")
-    )
+    return scored.withColumn("rank", F.row_number().over(ranked).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def rrf(lists: DataFrame, k: int = RRF_K, digits: int = 9) -> DataFrame:

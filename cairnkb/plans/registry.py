@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import rulings, scalars, search, streams, texts, usage
+from . import accounts, retrieval, rulings, scalars, search, streams, texts, usage
 
-MODULES = (search, usage, texts, rulings, scalars, streams)
+MODULES = (search, retrieval, usage, accounts, texts, rulings, scalars, streams)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -42,7 +42,7 @@ def usage_upsert(spark, sf_dir):
 
 
 def usage_30d_per_user(spark, sf_dir):
-    return _day(usage.totals(usage.daily(facts(spark, sf_dir)), today(), 10), "last_day")
+    return _day(usage.totals(usage.daily(facts(spark, sf_dir)), today()), "last_day")
 
 
 def users_with_usage(spark, sf_dir):
@@ -66,7 +66,7 @@ def usage_cube(spark, sf_dir):
 
 
 def rolling_30d(spark, sf_dir):
-    return _day(usage.rolling(usage.daily(facts(spark, sf_dir)), 7).select("user_id", "day", "rolling_tokens"), "day")
+    return _day(usage.rolling(usage.daily(facts(spark, sf_dir))).select("user_id", "day", "rolling_tokens"), "day")
 
 
 def bar_heights(spark, sf_dir):
@@ -153,7 +153,7 @@ _TRY = '''a AS (SELECT user_id, event_id, epoch_us(ts) AS "at", event_type = 'si
 ORACLE = {
     "usage_daily_rollup": f"WITH {_DAILY} SELECT user_id, CAST(day AS VARCHAR) AS day, {_NAMED} FROM d",
     "usage_upsert": f"WITH {_DAILY} SELECT user_id, CAST(day AS VARCHAR) AS day, {_NAMED} FROM d",
-    "usage_30d_per_user": f"WITH {_DAILY}, {_TOTALS.format(days=9)} SELECT user_id, tokens, CAST(last_day AS VARCHAR) AS last_day FROM t",
+    "usage_30d_per_user": f"WITH {_DAILY}, {_TOTALS.format(days=29)} SELECT user_id, tokens, CAST(last_day AS VARCHAR) AS last_day FROM t",
     "users_with_usage": f"""WITH {_DAILY}, {_TOTALS.format(days=29)}
 SELECT c_custkey AS user_id, c_name, coalesce(tokens, 0) AS tokens,
   CASE WHEN coalesce(tokens, 0) < 1000 THEN CAST(coalesce(tokens, 0) AS VARCHAR) ELSE (tokens + 50) // 1000 || ',' || (tokens + 50) // 100 % 10 || 'k' END AS shown,
@@ -164,7 +164,7 @@ FROM customer LEFT JOIN t ON user_id = c_custkey""",
 SELECT user_id, CAST(day AS VARCHAR) AS day, coalesce(p, 0) AS prompt_tokens, coalesce(c, 0) AS completion_tokens, coalesce(n, 0) AS request_count FROM k LEFT JOIN d USING (user_id, day)""",
     "usage_cube": """SELECT event_type, day, CAST(grouping(event_type) * 2 + grouping(day) AS BIGINT) AS level, count(*) AS n, count(DISTINCT user_id) AS n_users
 FROM (SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, user_id FROM events) GROUP BY CUBE (event_type, day)""",
-    "rolling_30d": f"""WITH {_DAILY} SELECT user_id, CAST(day AS VARCHAR) AS day, CAST(sum(p + c) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS rolling_tokens FROM d""",
+    "rolling_30d": f"""WITH {_DAILY} SELECT user_id, CAST(day AS VARCHAR) AS day, CAST(sum(p + c) OVER (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS rolling_tokens FROM d""",
     "bar_heights": f"""WITH {_FACTS}, b AS (SELECT day, CAST(sum(p + c) AS BIGINT) AS total FROM f GROUP BY day)
 SELECT CAST(day AS VARCHAR) AS day, total, greatest(round(total / max(total) OVER () * 116, 6), 3.0) AS height FROM b""",
     "sliding_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 8 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
