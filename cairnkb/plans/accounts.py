@@ -72,14 +72,14 @@ def token_usage(spark, sf_dir):
 
 
 def event_windows(spark, sf_dir):
-    """Ranks, quartiles and gaps of each user's events."""
+    """Ranks, quartiles and gaps of each user's events; -1 where there is none before or after."""
     mine = Window.partitionBy("user_id").orderBy("ts", "event_id")
     by_value = Window.partitionBy("user_id").orderBy(F.desc("value"))
     rows = events(spark, sf_dir).select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), F.floor("value").cast("long").alias("value"))
     gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(mine))
     return rows.select(
         "event_id", F.rank().over(by_value).cast("long").alias("rank"), F.dense_rank().over(by_value).cast("long").alias("dense_rank"), F.ntile(4).over(mine).cast("long").alias("quartile"),
-        gap.alias("gap_micros"), F.lead("event_id").over(mine).alias("next_event"), F.first("event_id").over(mine).alias("first_event"),
+        F.coalesce(gap, F.lit(-1)).alias("gap_micros"), F.coalesce(F.lead("event_id").over(mine), F.lit(-1)).alias("next_event"), F.first("event_id").over(mine).alias("first_event"),
     )
 
 
@@ -114,7 +114,7 @@ SELECT *, CASE WHEN n_fail > 0 THEN 'fail' WHEN n_warn > 0 THEN 'warn' ELSE 'ok'
 SELECT case_id, coalesce(label, '') AS label, n, n_answered FROM c LEFT JOIN l USING (case_id)""",
     "token_usage": "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS completion_tokens, CAST(0 AS BIGINT) AS prompt_tokens FROM events",
     "event_windows": """WITH e AS (SELECT event_id, user_id, ts, CAST(floor(value) AS BIGINT) AS value FROM events)
-SELECT event_id, rank() OVER v AS rank, dense_rank() OVER v AS dense_rank, ntile(4) OVER m AS quartile, epoch_us(ts) - epoch_us(lag(ts) OVER m) AS gap_micros, lead(event_id) OVER m AS next_event, first_value(event_id) OVER m AS first_event
+SELECT event_id, rank() OVER v AS rank, dense_rank() OVER v AS dense_rank, ntile(4) OVER m AS quartile, coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER m), -1) AS gap_micros, coalesce(lead(event_id) OVER m, -1) AS next_event, first_value(event_id) OVER m AS first_event
 FROM e WINDOW m AS (PARTITION BY user_id ORDER BY ts, event_id), v AS (PARTITION BY user_id ORDER BY value DESC)""",
     "event_rollup": """SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(grouping(event_type, CAST(CAST(ts AS DATE) AS VARCHAR)) AS BIGINT) AS level, count(*) AS n, round(quantile_cont(CAST(value AS DOUBLE), 0.5), 6) AS median, round(quantile_cont(CAST(value AS DOUBLE), 0.9), 6) AS p90
 FROM events GROUP BY ROLLUP (event_type, CAST(CAST(ts AS DATE) AS VARCHAR)) HAVING count(*) > 2""",
