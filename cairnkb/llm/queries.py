@@ -173,8 +173,9 @@ WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html,
   CASE WHEN page_id % 97 = 13 THEN left(coalesce(html, ''), greatest(0, length(coalesce(html, '')) - 1)) ELSE coalesce(html, '') END AS rotten FROM pages),
 h AS (SELECT page_id, url, sha256({_RECORD.format(body="html")}) AS a, sha256({_RECORD.format(body="rotten")}) AS b, strlen({_RECORD.format(body="html")}) AS n FROM p),
 r AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, url, a) - 1 AS rank FROM h),
-l0 AS (SELECT page_id, a, b, n, rank // 1000 AS archive, rank % 1000 AS seq FROM r),
+l0 AS (SELECT page_id, a, b, n, rank // 1000 AS archive, rank % 1000 AS seq, CAST(sum(n) OVER (PARTITION BY rank // 1000 ORDER BY rank) AS BIGINT) AS stop FROM r),
 {_nodes("l1", "l0")}, {_nodes("l2", "l1")}, {_nodes("l3", "l2")}
 SELECT archive, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS n_bytes, any_value(l3.a) AS root, any_value(l3.b) AS replica_root,
-  count(*) FILTER (l0.a <> l0.b) AS n_bad, coalesce(string_agg(coalesce(CAST(page_id AS VARCHAR), ''), ',' ORDER BY l0.seq) FILTER (l0.a <> l0.b), '') AS bad_ids
+  count(*) FILTER (l0.a <> l0.b) AS n_bad, coalesce(string_agg(coalesce(CAST(page_id AS VARCHAR), ''), ',' ORDER BY l0.seq) FILTER (l0.a <> l0.b), '') AS bad_ids,
+  coalesce(string_agg(CAST(stop - n AS VARCHAR) || '-' || CAST(stop AS VARCHAR), ',' ORDER BY l0.seq) FILTER (l0.a <> l0.b), '') AS bad_ranges
 FROM l0 JOIN l3 USING (archive) GROUP BY archive"""

@@ -1,9 +1,11 @@
 """WARC records and the fixity audit of their replicas by Merkle trees.
 
-A replica is a table of records ``(archive, seq, record_id, sha256, length)``. Leaves are the
-records' hashes in order of offset, a node hashes the ``FANOUT`` nodes below it, so no group
-is larger than that. Two replicas are compared at their roots, then only below nodes that
-differ, level by level, down to the records at fault.
+A replica is a table of records ``(archive, seq, sha256, start, stop)``, the bytes from start
+to stop of its archive. Leaves are the records' hashes in order of offset; a node hashes the
+``FANOUT`` nodes below it and covers their range of offsets, so no group is larger than that.
+Two replicas are compared at their roots, then only below nodes that differ, level by level,
+down to the records at fault and their ranges. Offsets are not hashed: a record that has
+lost bytes moves all after it, which are sound.
 """
 
 from __future__ import annotations
@@ -31,25 +33,59 @@ def record(url: Column, body: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n")).cast("binary")
 
 
+def parse_warc(data: bytes) -> Iterator[tuple[int, int, str | None, bytes | None, str | None]]:
+    """``(offset, length, url, body, problem)`` of each record, and of each stretch that is none.
+
+    After a damaged record reading goes on at the next line that begins with ``WARC/``.
+    """
+    at = 0
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at)
+        fields = dict(x.split(b":", 1) for x in data[at : max(end, at)].split(b"\r\n")[1:] if b":" in x)
+        fields = {k.strip().lower(): v.strip() for k, v in fields.items()}
+        size = fields.get(b"content-length", b"")
+        stop = end + 4 + int(size) if size.isdigit() else -1
+        if not data.startswith(b"WARC/", at):
+            problem = "no record begins here"
+        elif end < 0:
+            problem = "the header does not end"
+        elif stop < 0:
+            problem = "no length"
+        elif stop > len(data):
+            problem = "cut short"
+        elif data[stop : stop + 4] != b"\r\n\r\n":
+            problem = "no end where the length says"
+        else:
+            yield at, stop + 4 - at, fields.get(b"warc-target-uri", b"").decode("utf-8", "replace"), data[end + 4 : stop], None
+            at = stop + 4
+            continue
+        after = data.find(b"\nWARC/", at)
+        after = len(data) if after < 0 else after + 1
+        yield at, after - at, None, None, problem
+        at = after
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, offset, length, url, body)`` of the records of uncompressed WARC files, by any path Spark reads."""
+    """``(path, offset, length, url, body, problem)`` of the records of uncompressed WARC files, by any path Spark reads.
+
+    A damaged stretch is a row with its ``problem`` and without url and body. A file is held
+    in memory by one task, 2 GB at most.
+    """
     ship(spark)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"], strict=True):
-                data, at, out = bytes(data), 0, []
-                while at < len(data):
-                    end = data.index(b"\r\n\r\n", at) + 4
-                    fields = dict(x.split(b": ", 1) for x in data[at:end].strip().split(b"\r\n")[1:])
-                    size = int(fields[b"Content-Length"])
-                    url = fields.get(b"WARC-Target-URI", b"").decode("utf-8", "replace")
-                    out.append((name, at, end + size + 4 - at, url, data[end : end + size].decode("utf-8", "replace")))
-                    at = end + size + 4
-                yield pd.DataFrame(out, columns=["path", "offset", "length", "url", "body"])
+                out = []
+                for offset, length, url, body, problem in parse_warc(bytes(data)):
+                    out.append((name, offset, length, url, None if body is None else body.decode("utf-8", "replace"), problem))
+                    if len(out) >= 1000:
+                        yield pd.DataFrame(out, columns=["path", "offset", "length", "url", "body", "problem"])
+                        out = []
+                yield pd.DataFrame(out, columns=["path", "offset", "length", "url", "body", "problem"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(parse, "path string, offset long, length long, url string, body string")
+    return files.mapInPandas(parse, "path string, offset long, length long, url string, body string, problem string")
 
 
 def numbered(records: DataFrame, order: list[str], archive: int = ARCHIVE) -> DataFrame:
@@ -80,42 +116,47 @@ def levels(size: int = ARCHIVE, fanout: int = FANOUT) -> int:
 
 
 def tree(leaves: DataFrame, height: int, fanout: int = FANOUT) -> DataFrame:
-    """``(archive, level, node, hash)`` of all nodes over ``leaves(archive, seq, sha256)``; level 0 are the leaves."""
-    below = leaves.select("archive", F.col("seq").alias("node"), F.col("sha256").alias("hash"))
+    """``(archive, level, node, hash, start, stop)`` of all nodes over ``leaves(archive, seq, sha256, start, stop)``; level 0 are the leaves."""
+    below = leaves.select("archive", F.col("seq").alias("node"), F.col("sha256").alias("hash"), "start", "stop")
     out = below.withColumn("level", F.lit(0))
     for level in range(1, height + 1):
         grouped = below.groupBy("archive", F.floor(F.col("node") / fanout).cast("long").alias("node"))
         children = F.transform(F.array_sort(F.collect_list(F.struct(F.col("node").alias("at"), "hash"))), lambda x: x["hash"])
-        below = grouped.agg(F.sha2(F.array_join(children, ""), 256).alias("hash"))
+        below = grouped.agg(F.sha2(F.array_join(children, ""), 256).alias("hash"), F.min("start").alias("start"), F.max("stop").alias("stop"))
         out = out.unionByName(below.withColumn("level", F.lit(level)))
     return out
 
 
 def audit(one: DataFrame, other: DataFrame, height: int, fanout: int = FANOUT) -> DataFrame:
-    """``(archive, seq, sha256, other_sha256)``: the records of two replicas that differ, or that one of them lacks.
+    """``(archive, seq, sha256, other_sha256, start, stop)``: the records of two replicas that differ, or that one of them lacks.
 
-    Starts with the roots that differ; each level joins the children of differing nodes only.
+    ``one`` and ``other`` are trees, written. Starts with the roots that differ; each level
+    joins the children of differing nodes only. Offsets are the first replica's, where it has the record.
     """
-    a, b = save(tree(one, height, fanout), "tree"), save(tree(other, height, fanout), "tree")
 
     def differing(level: int, within: DataFrame | None) -> DataFrame:
-        left, right = (x.filter(F.col("level") == level).select("archive", "node", "hash") for x in (a, b))
+        left, right = (x.filter(F.col("level") == level).select("archive", "node", "hash", "start", "stop") for x in (one, other))
         if within is not None:
             left, right = (
                 x.withColumn("parent", F.floor(F.col("node") / fanout).cast("long")).join(within, ["archive", "parent"], "left_semi").drop("parent")
                 for x in (left, right)
             )
-        joined = left.join(right.withColumnRenamed("hash", "other"), ["archive", "node"], "full")
+        right = right.withColumnsRenamed({"hash": "other", "start": "other_start", "stop": "other_stop"})
+        joined = left.join(right, ["archive", "node"], "full")
         return joined.filter(~F.col("hash").eqNullSafe(F.col("other")))
 
     bad = differing(height, None)
     for level in range(height - 1, -1, -1):
         bad = differing(level, bad.select("archive", F.col("node").alias("parent")))
-    return bad.select("archive", F.col("node").alias("seq"), F.col("hash").alias("sha256"), F.col("other").alias("other_sha256"))
+    return bad.select(
+        "archive", F.col("node").alias("seq"), F.col("hash").alias("sha256"), F.col("other").alias("other_sha256"),
+        F.coalesce("start", "other_start").alias("start"), F.coalesce("stop", "other_stop").alias("stop"),
+    )
 
 
 def fixity_report(replica: DataFrame) -> DataFrame:
-    """A row for each archive: records, bytes, both roots, and the page ids at fault in order of place.
+    """A row for each archive: records, bytes, both roots, and in order of place the page ids at fault
+    and the byte ranges where the first replica has them.
 
     ``replica`` has ``(page_id, url, html, rotten)``; ``rotten`` is the page as the second
     replica has it. Records are ordered by page_id (nulls first), url and
@@ -127,16 +168,17 @@ def fixity_report(replica: DataFrame) -> DataFrame:
         "page_id", F.coalesce("url", F.lit("")).alias("url"), F.sha2(raw, 256).alias("sha256"), F.octet_length(raw).cast("long").alias("length"),
         F.sha2(record(F.col("url"), F.col("rotten")), 256).alias("other"),
     )
-    placed = save(numbered(leaves, ["page_id", "url", "sha256"]), "records")
+    placed = numbered(leaves, ["page_id", "url", "sha256"])
+    so_far = Window.partitionBy("archive").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = save(placed.withColumn("stop", F.sum("length").over(so_far)).withColumn("start", F.col("stop") - F.col("length")), "records")
     height = levels()
-    one = placed.select("archive", "seq", "sha256")
-    other = placed.select("archive", "seq", F.col("other").alias("sha256"))
+    one, other = (save(tree(placed.select("archive", "seq", F.col(c).alias("sha256"), "start", "stop"), height), "tree") for c in ("sha256", "other"))
     bad = audit(one, other, height).select("archive", "seq", F.lit(True).alias("bad"))
-    roots = tree(one, height).filter(F.col("level") == height).select("archive", F.col("hash").alias("root"))
-    roots_b = tree(other, height).filter(F.col("level") == height).select("archive", F.col("hash").alias("replica_root"))
-    at_fault = F.filter(F.array_sort(F.collect_list(F.when(F.col("bad"), F.struct("seq", "page_id")))), lambda x: x.isNotNull())
+    roots, roots_b = (x.filter(F.col("level") == height).select("archive", F.col("hash").alias(name)) for x, name in ((one, "root"), (other, "replica_root")))
+    at_fault = F.filter(F.array_sort(F.collect_list(F.when(F.col("bad"), F.struct("seq", "page_id", "start", "stop")))), lambda x: x.isNotNull())
     per = placed.join(bad, ["archive", "seq"], "left").groupBy("archive").agg(
         F.count("*").alias("n_records"), F.sum("length").alias("n_bytes"), F.count("bad").alias("n_bad"),
         F.array_join(F.transform(at_fault, lambda x: F.coalesce(x["page_id"].cast("string"), F.lit(""))), ",").alias("bad_ids"),
+        F.array_join(F.transform(at_fault, lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string"))), ",").alias("bad_ranges"),
     )
-    return per.join(roots, "archive").join(roots_b, "archive").select("archive", "n_records", "n_bytes", "root", "replica_root", "n_bad", "bad_ids")
+    return per.join(roots, "archive").join(roots_b, "archive").select("archive", "n_records", "n_bytes", "root", "replica_root", "n_bad", "bad_ids", "bad_ranges")

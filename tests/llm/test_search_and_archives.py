@@ -41,13 +41,15 @@ def test_top_k_edges(spark):
 
 def test_merkle_audit_finds_what_differs(spark):
     digest = lambda i, v="": hashlib.sha256(f"{i}{v}".encode()).hexdigest()
-    one = spark.createDataFrame([(0, i, digest(i)) for i in range(300)], "archive long, seq long, sha256 string")
+    one = spark.createDataFrame([(0, i, digest(i), 10 * i, 10 * i + 10) for i in range(300)], "archive long, seq long, sha256 string, start long, stop long")
     other = one.filter("seq <> 299").withColumn("sha256", F.when(F.col("seq").isin(7, 130), F.lit(digest(7, "x"))).otherwise(F.col("sha256")))
     height = warc.levels(300)
     assert height == 3
-    assert sorted(r.seq for r in warc.audit(one, other, height).collect()) == [7, 130, 299]
-    assert warc.audit(one, one, height).count() == 0
-    assert warc.audit(one.limit(0), one.limit(0), height).count() == 0
+    a, b, none = (warc.tree(x, height) for x in (one, other, one.limit(0)))
+    assert sorted((r.seq, r.start, r.stop) for r in warc.audit(a, b, height).collect()) == [(7, 70, 80), (130, 1300, 1310), (299, 2990, 3000)]
+    assert warc.audit(a, a, height).count() == 0
+    assert warc.audit(none, none, height).count() == 0
+    assert [(r.start, r.stop) for r in a.filter(f"level = {height}").collect()] == [(0, 3000)]
 
 
 def test_records_round_trip(spark, tmp_path):
@@ -59,9 +61,23 @@ def test_records_round_trip(spark, tmp_path):
     assert got[-1].offset + got[-1].length == len(raw)
 
 
+def test_damaged_archives_are_reported(spark, tmp_path):
+    good = [b"WARC/1.0\r\nWARC-Target-URI: u%d\r\nContent-Length: 4\r\n\r\nbody\r\n\r\n" % i for i in range(4)]
+    broken = good[1].replace(b"Content-Length: 4\r\n", b"")
+    raw = b"junk\r\n" + good[0] + broken + good[2].replace(b"body", b"bo") + good[3] + good[0][:-6]
+    (tmp_path / "a.warc").write_bytes(raw)
+    (tmp_path / "b.warc").write_bytes(b"WARC/1.0\r\nno end")
+    (tmp_path / "c.warc").write_bytes(b"")
+    rows = warc.read_warc(spark, str(tmp_path)).orderBy("path", "offset").collect()
+    a = [r for r in rows if r.path.endswith("a.warc")]
+    assert [(r.url, r.problem) for r in a] == [(None, "no record begins here"), ("u0", None), (None, "no length"), (None, "no end where the length says"), ("u3", None), (None, "cut short")]
+    assert sum(r.length for r in a) == len(raw) and [r.problem for r in rows if r not in a] == ["the header does not end"]
+
+
 def test_report_edges(spark):
     schema = "page_id long, url string, html string, rotten string, archive string, seq int"
     assert warc.fixity_report(spark.createDataFrame([], schema)).count() == 0
     rows = [(None, None, None, None, "x", 0), (1, "u", "h", "h", "x", 0), (1, "u", "h", "h", "x", 0), (2, "u", "h", "", "x", 0)]
     r = warc.fixity_report(spark.createDataFrame(rows, schema)).first()
     assert (r.n_records, r.n_bad, r.bad_ids, r.root != r.replica_root) == (4, 1, "2", True)
+    assert r.bad_ranges.endswith(f"-{r.n_bytes}")
