@@ -14,7 +14,11 @@ from ..streaming import usage
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """All that a stream in append mode gives for its present input; output and checkpoint are in the shared folder."""
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="cairnkb-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="cairnkb-stream-")
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
     query.awaitTermination()
