@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 _scratch: list[tuple[SparkSession, str]] = []
+_within: ContextVar[list[DataFrame] | None] = ContextVar("within", default=None)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -37,12 +41,40 @@ def save(df: DataFrame, name: str) -> DataFrame:
     _scratch.append((spark, path))
     saved = spark.read.schema(df.schema).parquet(path)
     saved._cairnkb_path = path
+    if _within.get() is not None:
+        _within.get().append(saved)
     return saved
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what ``save`` wrote within it, but for the tables given to the function it yields.
+
+    What is left must not read the deleted ones: keep each table that a later step still reads.
+    """
+    outer, kept = _within.get(), []
+    token = _within.set([])
+
+    def keep(saved: DataFrame) -> DataFrame:
+        kept.append(saved._cairnkb_path)
+        return saved
+
+    try:
+        yield keep
+    finally:
+        mine = _within.get()
+        _within.reset(token)
+    for saved in mine:
+        if saved._cairnkb_path not in kept:
+            drop(saved)
+        elif outer is not None:
+            outer.append(saved)
+
+
 def drop(saved: DataFrame) -> None:
     """Delete a table that ``save`` returned and that nothing will read again."""
     _delete(saved.sparkSession, saved._cairnkb_path)
+    _scratch[:] = [x for x in _scratch if x[1] != saved._cairnkb_path]
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, text_key
+from .common import save, scratch, text_key
 
 #: In shorter lines an edit is over a tenth of the line, so they go only if they are the same as an earlier one.
 EDIT_CHARS = 10
@@ -129,12 +129,13 @@ def _without(line: str, place: str) -> Column:
 def removed_lines(docs: DataFrame, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """``(doc, k1, k2, removed)``: by doc_id (a null one as the largest long) and text the numbers, from 0, of the lines that go."""
     lines = occurrences(docs)
-    firsts = lines.select("at", "h1", "h2", F.length("line").alias("size"), *_halves(F.col("line"))).groupBy("h1", "h2")
-    halves = [F.min(f"half{i}").alias(f"half{i}") for i in range(4)]
-    firsts = save(firsts.agg(F.min("at").alias("first"), F.count("*").alias("n"), F.min("size").alias("size"), *halves), "lines")
-    long = F.length("line") >= edit_chars
-    near = near_lines(lines.filter(long), firsts.filter(F.col("size") >= edit_chars)).withColumn("near", F.lit(True))
-    fate = save(firsts.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter("near or n > 1"), "fate")
+    with scratch() as keep:
+        firsts = lines.select("at", "h1", "h2", F.length("line").alias("size"), *_halves(F.col("line"))).groupBy("h1", "h2")
+        halves = [F.min(f"half{i}").alias(f"half{i}") for i in range(4)]
+        firsts = save(firsts.agg(F.min("at").alias("first"), F.count("*").alias("n"), F.min("size").alias("size"), *halves), "lines")
+        long = F.length("line") >= edit_chars
+        near = near_lines(lines.filter(long), firsts.filter(F.col("size") >= edit_chars)).withColumn("near", F.lit(True))
+        fate = keep(save(firsts.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter("near or n > 1"), "fate"))
     gone = lines.select("at", "k1", "k2", "h1", "h2").join(fate.hint("merge"), ["h1", "h2"]).filter("near or at <> first")
     return gone.groupBy(F.col("at.doc").alias("doc"), "k1", "k2").agg(F.collect_set("at.no").alias("removed"))
 
