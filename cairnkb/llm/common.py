@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +102,11 @@ def broadcast(df: DataFrame, value):
     return df.sparkSession.sparkContext.broadcast(value)
 
 
+def matrix(vectors: pd.Series, kind: type, size: int) -> np.ndarray:
+    """A row for each of the vectors, which are bytes of ``size`` numbers of a kind."""
+    return np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), size)
+
+
 def text_key() -> list:
     """Two independent 64-bit hashes: rows of one key hold the same text (a null text is keyed as empty)."""
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hamming, language, lines, packing, secrets, simhash, substrings, suffixes, warc
+from . import decontaminate, divergence, hamming, language, lines, negatives, onebit, packing, secrets, simhash, substrings, suffixes, warc
 from .common import documents
 
 
@@ -70,6 +70,20 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir, "text", "lang", "source"))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", label), F.col("id") % 100 == 0)
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return onebit.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +97,9 @@ QUERIES = {
         op8_packing,
         op9_language,
         op10_lines,
+        op11_divergence,
+        op12_negatives,
+        op13_neighbours,
     )
 }
 
@@ -179,3 +196,39 @@ SELECT archive, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS n_bytes, any_va
   count(*) FILTER (l0.a <> l0.b) AS n_bad, coalesce(string_agg(coalesce(CAST(page_id AS VARCHAR), ''), ',' ORDER BY l0.seq) FILTER (l0.a <> l0.b), '') AS bad_ids,
   coalesce(string_agg(CAST(stop - n AS VARCHAR) || '-' || CAST(stop AS VARCHAR), ',' ORDER BY l0.seq) FILTER (l0.a <> l0.b), '') AS bad_ranges
 FROM l0 JOIN l3 USING (archive) GROUP BY archive"""
+
+_TERM = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+ORACLE["op11_divergence"] = f"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_TERM} AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+k AS (SELECT lang, t FROM (SELECT lang, unnest(list_distinct(w)) AS t FROM d) GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, source, t, count(*) AS n FROM (SELECT lang, source, unnest(w) AS t FROM d) SEMI JOIN k USING (lang, t) GROUP BY ALL),
+x AS (SELECT g.lang, g.source, k.t, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+p AS (SELECT lang, source, t, n, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS BIGINT) AS p FROM x),
+ql AS (SELECT lang, t, sum(n) AS n FROM x GROUP BY ALL),
+q AS (SELECT lang, t, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS BIGINT) AS q FROM ql),
+v AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN v ON v.lang = a.lang AND v.source = a.source AND v.item = b.source
+      UNION ALL SELECT lang, source, 'term', t, (p - q) * (p - q) // (p + q) FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 10"""
+
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+ORACLE["op12_negatives"] = f"""
+WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND {_WHOLE}),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT * FROM n WHERE rank <= 5"""
+
+ORACLE["op13_neighbours"] = f"""
+WITH r AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE {_WHOLE} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v) AS score FROM r a JOIN r b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+k AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM s)
+SELECT * FROM k WHERE rank <= 20"""
