@@ -85,28 +85,20 @@ def fold(rows: DataFrame, key: str, order: list[str], start: Callable[[], object
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, out)
 
 
-def rate_limited(attempts: DataFrame, limit: int = 10, window: int = 300_000_000) -> DataFrame:
-    """``attempts(user_id, event_id, at)`` (microseconds) with ``accepted``: fewer than ``limit`` accepted ones less than ``window`` before.
-
-    Rejected attempts do not count against later ones.
-    """
+def limiter(limit: int, window: int) -> tuple[Callable, Callable]:
+    """Start and step of a machine over ``(user_id, event_id, at, success)`` whose state is the accepted times within ``window``."""
 
     def step(state, row):
-        user, event, at = row
-        state = [t for t in state if at - t < window]
-        ok = len(state) < limit
-        return (state + [at] if ok else state), (user, event, at, ok)
+        user, event, at, _ = row
+        times = [t for t in state[0] if at - t < window]
+        ok = len(times) < limit
+        return (times + [at] if ok else times,), (user, event, at, ok)
 
-    ordered = attempts.select("user_id", "event_id", "at")
-    return fold(ordered, "user_id", ["at", "event_id"], list, step, "user_id long, event_id long, at long, accepted boolean")
+    return lambda: ([],), step
 
 
-def account_lock(attempts: DataFrame, threshold: int = 5, locked: int = 900_000_000) -> DataFrame:
-    """``attempts(user_id, event_id, at, success)`` with ``outcome`` and ``failures`` after it.
-
-    ``locked`` while a lock lasts (nothing counts then), else ``ok``, which clears the
-    failures, or ``failed``; from ``threshold`` failures on each failure locks anew.
-    """
+def locker(threshold: int, locked: int) -> tuple[Callable, Callable]:
+    """Start and step of a machine over ``(user_id, event_id, at, success)`` whose state is the failures and the end of the lock."""
 
     def step(state, row):
         failures, until = state
@@ -118,8 +110,26 @@ def account_lock(attempts: DataFrame, threshold: int = 5, locked: int = 900_000_
         failures += 1
         return (failures, at + locked if failures >= threshold else until), (user, event, at, "failed", failures)
 
+    return lambda: (0, None), step
+
+
+def rate_limited(attempts: DataFrame, limit: int = 10, window: int = 300_000_000) -> DataFrame:
+    """``attempts(user_id, event_id, at)`` (microseconds) with ``accepted``: fewer than ``limit`` accepted ones less than ``window`` before.
+
+    Rejected attempts do not count against later ones.
+    """
+    ordered = attempts.select("user_id", "event_id", "at", F.lit(True).alias("success"))
+    return fold(ordered, "user_id", ["at", "event_id"], *limiter(limit, window), "user_id long, event_id long, at long, accepted boolean")
+
+
+def account_lock(attempts: DataFrame, threshold: int = 5, locked: int = 900_000_000) -> DataFrame:
+    """``attempts(user_id, event_id, at, success)`` with ``outcome`` and ``failures`` after it.
+
+    ``locked`` while a lock lasts (nothing counts then), else ``ok``, which clears the
+    failures, or ``failed``; from ``threshold`` failures on each failure locks anew.
+    """
     ordered = attempts.select("user_id", "event_id", "at", "success")
-    return fold(ordered, "user_id", ["at", "event_id"], lambda: (0, None), step, "user_id long, event_id long, at long, outcome string, failures int")
+    return fold(ordered, "user_id", ["at", "event_id"], *locker(threshold, locked), "user_id long, event_id long, at long, outcome string, failures int")
 
 
 def recent_attempts(attempts: DataFrame, window: int = 300_000_000) -> DataFrame:

@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..streaming import usage
+from ..operators import usage as batch_usage
+from ..session import shared
+from ..sources.tables import KeyedTable
+from ..streaming import limits, usage
+from . import usage as usage_plans
+
 
+def drained(stream: DataFrame, name: str, **conf: str) -> DataFrame:
+    """All that a stream in append mode gives for its present input; output and checkpoint are in the shared folder.
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """All that a stream in append mode gives for its present input; output and checkpoint are in the shared folder."""
+    ``conf`` holds while the stream runs.
+    """
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="cairnkb-stream-")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows")
-    query.awaitTermination()
+    path = shared(spark, name)
+    before = {key: spark.conf.get(key, None) for key in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
@@ -47,7 +52,36 @@ def stream_clicks_after_views(spark, sf_dir):
     return drained(usage.clicks_after_views(events(spark, sf_dir), "10 MINUTES"), "clicks").select("user_id", "event_id", "view_id")
 
 
+def stream_rate_limit(spark, sf_dir):
+    """``rate_limit`` on a stream: the attempts of the hours that are over by the watermark."""
+    return drained(limits.rate_limited(limits.attempts(events(spark, sf_dir)), 2, 86_400_000_000), "limited", **limits.CONF)
+
+
+def stream_account_lock(spark, sf_dir):
+    found = drained(limits.account_lock(limits.attempts(events(spark, sf_dir)), 2, 172_800_000_000), "locked", **limits.CONF)
+    return found.withColumn("failures", F.col("failures").cast("long"))
+
+
+def stream_usage_upsert(spark, sf_dir):
+    """The daily usage of a stream's batches, merged into a table; the last batch given twice changes nothing."""
+    table = KeyedTable(spark, shared(spark, "daily"), ["user_id", "day"], 16)
+    write, last = usage.merge_into(table), []
+
+    def both(batch: DataFrame, number: int) -> None:
+        write(batch, number)
+        write(batch, number)
+        last.append(number)
+
+    facts = events(spark, sf_dir).select("user_id", F.col("ts").cast("date").alias("day"), F.col("value").cast("long").alias("prompt_tokens"), F.get_json_object("props", "$.k").cast("long").alias("completion_tokens"), F.lit(1).cast("long").alias("request_count"))
+    facts.writeStream.foreachBatch(lambda batch, number: both(batch_usage.daily(batch), number)).option("checkpointLocation", shared(spark, "upsert-state")).trigger(availableNow=True).start().awaitTermination()
+    return table.read().withColumn("day", F.col("day").cast("string"))
+
+
 ORACLE = {
+    "stream_rate_limit": f"SELECT x.* FROM ({usage_plans.ORACLE['rate_limit']}) x WHERE \"at\" < (SELECT epoch_us(max(ts)) // 3600000000 * 3600000000 FROM events WHERE event_type IN ('signup', 'error'))",
+    "stream_account_lock": f"SELECT x.* FROM ({usage_plans.ORACLE['account_lock']}) x WHERE \"at\" < (SELECT epoch_us(max(ts)) // 3600000000 * 3600000000 FROM events WHERE event_type IN ('signup', 'error'))",
+    "stream_usage_upsert": """SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(sum(CAST(trunc(value) AS BIGINT)) AS BIGINT) AS prompt_tokens, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS completion_tokens, count(*) AS request_count
+FROM events GROUP BY ALL""",
     "stream_daily_usage": """SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(sum(CAST(trunc(value) AS BIGINT)) AS BIGINT) AS prompt_tokens, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS completion_tokens, count(*) AS request_count
 FROM events WHERE CAST(ts AS DATE) < (SELECT CAST(max(ts) AS DATE) FROM events) GROUP BY ALL""",
     "stream_first_seen": "SELECT event_type, count(DISTINCT event_id) AS n, count(DISTINCT event_id) AS n_ids FROM events GROUP BY event_type",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,14 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, below ``spark.checkpoint.dir``; a temporary one only where Spark is one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="cairnkb-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import ship
+from ..sources.tables import KeyedTable
 
 EVENTS = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
@@ -83,3 +84,18 @@ def upsert_into(path: str):
         out.write.mode("overwrite").parquet(f"{path}/v{number:06d}")
 
     return write
+
+
+def merge_into(table: KeyedTable, writer: str = "usage"):
+    """A foreachBatch function that adds each batch's daily usage to a table kept by user and day.
+
+    Only the buckets that a batch touches are written anew, a batch that is given again changes
+    nothing, and versions before the last two are deleted.
+    """
+    from ..operators.usage import upsert
+
+    def write(batch: DataFrame, number: int) -> None:
+        if table.upsert(batch, merge=upsert, writer=writer, batch=number):
+            table.vacuum(2)
+
+    return write
