@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and the plain ones they fold to.
-ACCENTED = "àâäáãåçéèêëíìîïñóòôöõúùûüýÿÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕÚÙÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+_LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Every character below U+2000 that is an ASCII letter with marks, and that letter.
+ACCENTED = "".join(chr(i) for i in range(0x80, 0x2000) if unicodedata.normalize("NFD", chr(i))[0] in _LETTERS)
+PLAIN = "".join(unicodedata.normalize("NFD", x)[0] for x in ACCENTED)
 
 
 def fold_accents(s: Column) -> Column:
-    """Without accents; other characters beyond ASCII are dropped."""
+    """Without accents, whether a letter holds them or they follow it; other characters beyond ASCII are dropped."""
     return F.regexp_replace(F.translate(s, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
 
 

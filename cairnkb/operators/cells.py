@@ -39,12 +39,13 @@ def build(vectors: DataFrame, path: str, cells: int = CELLS, seed: int = 11) ->
     rows = vectors.filter(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)).select("id", "embedding", _unit(F.col("embedding")).alias("unit"))
     sample = rows.orderBy(F.xxhash64("id")).limit(SAMPLE).select(array_to_vector("unit").alias("features")).persist()
     n = sample.count()
-    if n:
-        model = KMeans(k=max(1, min(cells, n // 4)), seed=seed, maxIter=10, initMode="random").fit(sample)
+    if n >= 8:
+        model = KMeans(k=max(2, min(cells, n // 4)), seed=seed, maxIter=10, initMode="random").fit(sample)
         placed = model.setPredictionCol("cell").transform(rows.withColumn("features", array_to_vector("unit"))).drop("features")
         centres = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     else:
-        placed, centres = rows.withColumn("cell", F.lit(0)), [(0, [])]
+        some = rows.select("unit").first()
+        placed, centres = rows.withColumn("cell", F.lit(0)), [(0, list(some.unit) if some else [])]
     sample.unpersist()
     placed.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
     known = spark.createDataFrame(centres, "cell int, centre array<double>")

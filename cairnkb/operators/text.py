@@ -9,6 +9,7 @@ from ..functions.strings import fold_accents
 
 TARGET = 1400
 LEAST = 60
+PAGE = 256
 HEADER = r"(?s)^---\n(.*?)\n---\n"
 
 
@@ -18,10 +19,36 @@ def front_matter(text: Column, field: str) -> Column:
     return F.trim(F.regexp_extract(head, rf"(?m)^{field}:[ ]*([^\n]*)$", 1))
 
 
+def front_fields(text: Column) -> Column:
+    """The header's fields as a map of ``struct<kind, items>``; kind is ``null``, ``scalar`` or ``list``.
+
+    A field begins at the start of a line, ``name: value``; a list is ``[a, b]`` on that line,
+    or lines ``- a`` after a name without a value. An empty value, ``null`` and ``~`` are null
+    and have no items, an empty list has none either. Quotes around an item go. Other lines are
+    passed over; of a name given twice the last counts. Without a header the map is empty.
+    """
+    entries = F.filter(F.split(F.concat(F.lit("\n"), F.regexp_extract(F.coalesce(text, F.lit("")), HEADER, 1)), r"\n(?=[A-Za-z_][A-Za-z0-9_]*:)"), lambda x: x.rlike(r"^[A-Za-z_][A-Za-z0-9_]*:"))
+    bare = lambda x: F.regexp_replace(F.trim(x), r"""^(["'])(.*)\1$""", "$2")
+
+    def parsed(entry: Column) -> Column:
+        name, value = F.regexp_extract(entry, r"^([A-Za-z_][A-Za-z0-9_]*):", 1), F.trim(F.regexp_extract(entry, r"^[A-Za-z_][A-Za-z0-9_]*:([^\n]*)", 1))
+        inline = F.filter(F.transform(F.split(F.regexp_extract(value, r"^\[(.*)\]$", 1), ","), bare), lambda x: x != "")
+        block = F.transform(F.regexp_extract_all(entry, F.lit(r"\n[ ]*-[ ]+([^\n]*)"), 1), bare)
+        nothing = F.array().cast("array<string>")
+        kind = F.when(value.rlike(r"^\[.*\]$"), "list").when(~value.isin("", "null", "~"), "scalar").when((value == "") & (F.size(block) > 0), "list").otherwise("null")
+        items = F.when(kind == "scalar", F.array(bare(value))).when(kind == "null", nothing).when(value == "", block).otherwise(inline)
+        return F.named_struct(F.lit("name"), name, F.lit("value"), F.named_struct(F.lit("kind"), kind, F.lit("items"), items))
+
+    rows = F.transform(entries, parsed)
+    last = F.filter(rows, lambda x, i: ~F.exists(F.slice(rows, i + 2, F.size(rows)), lambda y: y["name"] == x["name"]))
+    return F.map_from_entries(last)
+
+
 def front_list(text: Column, field: str) -> Column:
-    """A one-line ``[a, b]`` field, or a scalar one, as an array."""
-    raw = F.regexp_replace(front_matter(text, field), r"^\[|\]$", "")
-    return F.filter(F.transform(F.split(raw, ","), lambda x: F.trim(x)), lambda x: x != "")
+    """A field of the header as an array: a list's items, or those of a scalar that commas part; none if null or absent."""
+    found = F.try_element_at(front_fields(text), F.lit(field))
+    split = F.filter(F.transform(F.split(F.array_join(found["items"], ","), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.coalesce(F.when(found["kind"] == "list", found["items"]).otherwise(split), F.array().cast("array<string>"))
 
 
 def body(text: Column) -> Column:
@@ -45,17 +72,21 @@ def pack_paragraphs(text: Column, target: int = TARGET, separator: str = "\n\n")
 
     Each paragraph counts with two characters of separator, the last one too.
     """
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n"))
+    none = F.array().cast("array<string>")
+    # blocks are put together by the page, so that no long array is copied for each of them
+    start = F.struct(F.array().cast("array<array<string>>").alias("pages"), none.alias("page"), F.lit(None).cast("string").alias("cur"), F.lit(0).alias("n"))
 
     def step(acc: Column, p: Column) -> Column:
         full = (acc["n"] + F.length(p) + 2 > target) & acc["cur"].isNotNull()
+        turned = full & (F.size(acc["page"]) >= PAGE)
         return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"),
+            F.when(turned, F.concat(acc["pages"], F.array(acc["page"]))).otherwise(acc["pages"]).alias("pages"),
+            F.when(turned, F.array(acc["cur"])).when(full, F.concat(acc["page"], F.array(acc["cur"]))).otherwise(acc["page"]).alias("page"),
             F.when(full | acc["cur"].isNull(), p).otherwise(F.concat(acc["cur"], F.lit(separator), p)).alias("cur"),
             (F.when(full, 0).otherwise(acc["n"]) + F.length(p) + 2).alias("n"),
         )
 
-    return F.aggregate(F.split(text, r"\n{2,}"), start, step, lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
+    return F.aggregate(F.split(text, r"\n{2,}"), start, step, lambda acc: F.concat(F.flatten(acc["pages"]), acc["page"], F.array(acc["cur"])))
 
 
 def chunks(files: DataFrame, target: int = TARGET, least: int = LEAST) -> DataFrame:
@@ -63,17 +94,19 @@ def chunks(files: DataFrame, target: int = TARGET, least: int = LEAST) -> DataFr
 
     Sections over ``target`` characters are split at rule lines and then packed; what has
     fewer than ``least`` characters beside its heading is dropped. Ids hash path, section and
-    ordinal, so that equal titles stay apart.
+    ordinal, so that equal titles stay apart; no two chunks of a file have one ordinal.
     """
+    # a section has no more blocks than the file has breaks
+    step = F.when(F.size(F.split("text", r"\n{2,}|\n---")) < 1000, 1000).otherwise(1 << 32).alias("step")
     parts = files.select(
-        "path", front_matter(F.col("text"), "priority").alias("priority"), front_list(F.col("text"), "tags").alias("tags"),
+        "path", step, front_matter(F.col("text"), "priority").alias("priority"), front_list(F.col("text"), "tags").alias("tags"),
         F.posexplode(sections(body(F.col("text")))).alias("s", "section_text"),
     )
     long = F.length("section_text") > target
     blocks = F.flatten(F.transform(F.filter(F.transform(F.split("section_text", r"\n---+\n"), lambda x: F.btrim(x, F.lit(" \n\r\t"))), lambda x: x != ""), lambda x: F.when(F.length(x) <= target, F.array(x)).otherwise(pack_paragraphs(x, target))))
-    cut = parts.select("path", "priority", "tags", "s", title(F.col("section_text")).alias("section"), F.posexplode(F.when(long, blocks).otherwise(F.array("section_text"))).alias("b", "text"))
+    cut = parts.select("path", "step", "priority", "tags", "s", title(F.col("section_text")).alias("section"), F.posexplode(F.when(long, blocks).otherwise(F.array("section_text"))).alias("b", "text"))
     kept = cut.filter(F.length(F.trim(F.regexp_replace("text", r"^## [^\n]*", ""))) >= least)
-    ordinal = F.col("s") * 1000 + F.col("b")
+    ordinal = F.col("s").cast("long") * F.col("step") + F.col("b")
     return kept.select(
         F.concat(F.lit("kb_"), F.substring(F.md5(F.concat_ws("::", "path", "section", ordinal.cast("string")).cast("binary")), 1, 16)).alias("chunk_id"),
         "path", F.left("section", F.lit(80)).alias("section"), ordinal.cast("long").alias("ordinal"), "text",
@@ -105,16 +138,21 @@ def search_text(text: Column, name: Column, signature: Column, tags: Column, rep
     return F.trim(F.concat_ws(" ", text, F.when(name != "", named).otherwise(tags), F.nullif(signature, F.lit(""))))
 
 
+# What a word and a part of a word is to the index; questions and texts must be cut alike.
+WORD = "[A-Za-z0-9À-ɏ_\\-]+"
+PART = "[A-Z][a-z0-9]+|[a-zÀ-ɏ]+|[0-9]+"
+
+
 def terms(text: Column) -> Column:
     """Search terms: each word in lower case, without accents if it has any, and its parts if Pascal-cased."""
-    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9À-ɏ_\\-]+"), 0)
+    words = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), 0)
 
     def folded(x: Column) -> Column:
         return F.when(F.octet_length(x) == F.length(x), x).otherwise(fold_accents(x))  # most words are ASCII
 
     def of(w: Column) -> Column:
         low, none = F.lower(w), F.array().cast("array<string>")
-        parts = F.regexp_extract_all(w, F.lit("[A-Z][a-z0-9]+|[a-zÀ-ɏ]+|[0-9]+"), 0)
+        parts = F.regexp_extract_all(w, F.lit(PART), 0)
         split = F.flatten(F.transform(parts, lambda p: F.array(F.lower(p), folded(F.lower(p)))))
         plain = F.when(F.octet_length(low) == F.length(low), none).otherwise(F.array_compact(F.array(F.nullif(fold_accents(low), low))))
         # a word of small ASCII letters alone is one part

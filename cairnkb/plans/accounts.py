@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import accounts
+from ..operators import accounts, quantiles, sequences
+from ..session import shared
 from ..sources import readers
+from ..sources.tables import KeyedTable
 from .rulings import NOTICE
 from .usage import events
 
@@ -86,8 +88,15 @@ def event_windows(spark, sf_dir):
 def event_rollup(spark, sf_dir):
     """Subtotals by type and day, with exact percentiles, where there are more than two events."""
     rows = events(spark, sf_dir).select(F.col("ts").cast("date").cast("string").alias("day"), "event_type", F.col("value").cast("double").alias("value"))
-    out = rows.rollup("event_type", "day").agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.percentile("value", F.lit(0.5)).alias("median"), F.percentile("value", F.lit(0.9)).alias("p90"))
-    return out.filter("n > 2").select("event_type", "day", "level", "n", F.round("median", 6).alias("median"), F.round("p90", 6).alias("p90"))
+    level = lambda n, kind, day: F.struct(F.lit(n).cast("long").alias("level"), kind.alias("event_type"), day.alias("day"))
+    none = F.lit(None).cast("string")
+    levels = F.explode(F.array(level(0, F.col("event_type"), F.col("day")), level(1, F.col("event_type"), none), level(3, none, none)))
+    every = rows.select("value", levels.alias("of")).select("value", "of.*")
+    keys = ["event_type", "day", "level"]
+    n = every.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 2")
+    found = quantiles.exact(every, keys, "value", [0.5, 0.9]).withColumnRenamed("n", "n_values").withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = n["event_type"].eqNullSafe(found["_event_type"]) & n["day"].eqNullSafe(found["_day"]) & (n["level"] == found["_level"])
+    return n.join(found, same, "left").select(*keys, "n", F.round("q0", 6).alias("median"), F.round("q1", 6).alias("p90"))
 
 
 def approximate_users(spark, sf_dir):
@@ -96,6 +105,24 @@ def approximate_users(spark, sf_dir):
     return rows.select("event_type", "n_users", (F.abs(F.col("about") - F.col("n_users")) <= F.col("n_users") / 10).alias("close"))
 
 
+def merged_users(spark, sf_dir):
+    """Users by type over all days and over the last ten, out of bitmaps that were kept by day."""
+    path = shared(spark, "users-by-day")
+    rows = events(spark, sf_dir).select("event_type", F.col("ts").cast("date").alias("day"), "user_id")
+    quantiles.bitmaps(rows, ["event_type", "day"], "user_id").write.parquet(path)
+    kept = spark.read.parquet(path)
+    late = quantiles.merged(kept.filter("day >= date'2024-01-21'"), ["event_type"]).withColumnRenamed("n", "n_late")
+    return quantiles.merged(kept, ["event_type"]).join(late, "event_type", "left").select("event_type", F.col("n").alias("n_users"), F.coalesce("n_late", F.lit(0)).alias("n_late"))
+
+
+def numbered_conversations(spark, sf_dir):
+    """The conversations numbered in two runs, first the even ones: by run the first and the last number, and how many there are."""
+    convs = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").filter("conv_id is not null").distinct()
+    marks = KeyedTable(spark, shared(spark, "marks"), ["name"], 4)
+    runs = [sequences.next_numbers(convs.filter(F.col("conv_id") % 2 == i), marks, "conversations").withColumn("run", F.lit(i)) for i in (0, 1)]
+    return runs[0].unionByName(runs[1]).groupBy("run").agg(F.count("*").alias("n"), F.count_distinct("number").alias("n_numbers"), F.min("number").alias("first"), F.max("number").alias("last"))
+
+
 _USERS = "u AS (SELECT c_custkey AS user_id, c_name, CASE WHEN c_custkey % 40 = 0 THEN 'admin' ELSE 'member' END AS role, c_acctbal > 0 AS is_active FROM customer)"
 
 ORACLE = {
@@ -118,6 +145,9 @@ SELECT event_id, rank() OVER v AS rank, dense_rank() OVER v AS dense_rank, ntile
 FROM e WINDOW m AS (PARTITION BY user_id ORDER BY ts, event_id), v AS (PARTITION BY user_id ORDER BY value DESC)""",
     "event_rollup": """SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(grouping(event_type, CAST(CAST(ts AS DATE) AS VARCHAR)) AS BIGINT) AS level, count(*) AS n, round(quantile_cont(CAST(value AS DOUBLE), 0.5), 6) AS median, round(quantile_cont(CAST(value AS DOUBLE), 0.9), 6) AS p90
 FROM events GROUP BY ROLLUP (event_type, CAST(CAST(ts AS DATE) AS VARCHAR)) HAVING count(*) > 2""",
+    "merged_users": """SELECT event_type, count(DISTINCT user_id) AS n_users, count(DISTINCT CASE WHEN ts >= TIMESTAMP '2024-01-21' THEN user_id END) AS n_late FROM events GROUP BY event_type""",
+    "numbered_conversations": """WITH c AS (SELECT conv_id % 2 AS run, count(DISTINCT conv_id) AS n FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1), t AS (SELECT *, coalesce(sum(n) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM c)
+SELECT CAST(run AS INT) AS run, n, n AS n_numbers, CAST(b + 1 AS BIGINT) AS first, CAST(b + n AS BIGINT) AS last FROM t""",
     "approximate_users": "SELECT event_type, count(DISTINCT user_id) AS n_users, true AS close FROM events GROUP BY event_type",
 }
 QUERIES = {name: globals()[name] for name in ORACLE}

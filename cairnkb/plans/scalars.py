@@ -79,7 +79,7 @@ def conversions(spark, sf_dir):
     )
 
 
-_FOLD = f"regexp_replace(translate({{}}, '{strings.ACCENTED}', '{strings.PLAIN}'), '[^\\x00-\\x7F]', '', 'g')"
+_FOLD = "regexp_replace(strip_accents({}), '[^\\x00-\\x7F]', '', 'g')"
 _ONES = "[" + ", ".join(f"'{x}'" for x in numbers.ONES) + "]"
 _TENS = "[" + ", ".join(f"'{x}'" for x in numbers.TENS) + "]"
 _DAYS = "[" + ", ".join(f"'{x}'" for x in dates.DAYS) + "]"

@@ -118,7 +118,7 @@ fp AS (SELECT fu.*, contains(text, 'Ouwhea') AS named, lang = 'fr' AS preferred,
    row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first.s, first.r, id) AS fused_position FROM fu JOIN documents ON doc_id = id),
 bo AS (SELECT query_id, id, fused_position, round(score * (CASE WHEN named THEN 1.12::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN preferred THEN 1.08::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN signed THEN 1.04::DOUBLE ELSE 1.0::DOUBLE END), 9) AS score FROM fp WHERE fused_position <= 12),
 bp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_position) AS position FROM bo)"""
-_fold = "regexp_replace(translate({}, 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\x00-\\x7F]', '', 'g')"
+_fold = "regexp_replace(strip_accents({}), '[^\\x00-\\x7F]', '', 'g')"
 
 ORACLE = {
     "bm25_topk": f"WITH {_BM25} SELECT * FROM k WHERE rank <= 10",

@@ -26,6 +26,18 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def front_matter(spark, sf_dir):
+    """Fields of headers that hold nulls, scalars, lists on a line and lists of lines."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
+    even = F.col("doc_id") % 2 == 0
+    head = F.concat(
+        F.lit("---\nid: "), F.col("doc_id").cast("string"), F.lit("\nabbrev: "), F.when(even, "null").otherwise('"A B"'), F.lit("\ntags:\n"),
+        F.lit("  - "), F.col("source"), F.lit("\n  - '"), F.col("lang"), F.lit("'\nlevel: high\nwords: ["), F.col("lang"), F.lit(', "x y", '), F.col("source"), F.lit("]\nempty:\n---\n"), F.col("text"),
+    )
+    found = docs.select("doc_id", text.front_fields(head).alias("f"), F.md5(text.body(head).cast("binary")).alias("body_md5"))
+    return found.select("doc_id", "body_md5", F.explode("f").alias("field", "x")).select("doc_id", "body_md5", "field", "x.kind", F.array_join("x.items", "|").alias("items"))
+
+
 def _chunks(spark, sf_dir):
     return text.chunks(files(spark, sf_dir), TARGET, LEAST)
 
@@ -109,6 +121,10 @@ _CORPUS = "e AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'kb_' ELSE 'web_' END || d
 
 ORACLE = {
     "chunk_sections": f"WITH {_CHUNKS} SELECT chunk_id, path, section, CAST(ordinal AS BIGINT) AS ordinal, priority, tags, sha256(text) AS content_hash, length(text) AS n_chars FROM c",
+    "front_matter": """WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, md5(coalesce(text, '')) AS body_md5 FROM documents),
+v AS (SELECT doc_id, body_md5, unnest([{'f': 'id', 'k': 'scalar', 'i': CAST(doc_id AS VARCHAR)}, {'f': 'abbrev', 'k': CASE WHEN doc_id % 2 = 0 THEN 'null' ELSE 'scalar' END, 'i': CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'A B' END},
+  {'f': 'tags', 'k': 'list', 'i': source || '|' || lang}, {'f': 'level', 'k': 'scalar', 'i': 'high'}, {'f': 'words', 'k': 'list', 'i': lang || '|x y|' || source}, {'f': 'empty', 'k': 'null', 'i': ''}]) AS x FROM d)
+SELECT doc_id, body_md5, x.f AS field, x.k AS kind, x.i AS items FROM v""",
     "chunk_features": f"WITH {_CHUNKS} SELECT chunk_id, has_code, has_signature, function_name, signature, return_type FROM fn",
     "search_texts": f"""WITH {_CHUNKS} SELECT chunk_id, md5(trim(text || ' ' || CASE WHEN function_name <> '' THEN 'GetTotal GetTotal GetTotal Get Total' ELSE tags END || CASE WHEN signature <> '' THEN ' ' || signature ELSE '' END)) AS search_md5 FROM fn""",
     "ingest_manifest": f"""WITH {_CHUNKS} SELECT count(*) AS n_chunks, count(DISTINCT path) AS n_files, count(*) FILTER (function_name <> '') AS n_named,

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, strings
-from ..operators import monitor, ranking, usage
+from ..operators import intervals, monitor, ranking, usage
 from ..sources import writers
 
 
@@ -81,6 +81,15 @@ def sliding_sessions(spark, sf_dir):
     return usage.sessions(events(spark, sf_dir)).select("user_id", stamp("started"), stamp("last_seen"), "n_events")
 
 
+def overlapping_sessions(spark, sf_dir):
+    """Sessions of half an hour's gap, each with the errors of all users that were less than ten minutes old within it."""
+    mine = usage.sessions(events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "30 minutes").select("user_id", F.unix_micros("started").alias("start"), F.unix_micros("last_seen").alias("stop"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    errors = events(spark, sf_dir).filter("event_type = 'error'").select("event_id", at.alias("start"), (at + 599_999_999).alias("stop"))
+    met = intervals.overlaps(mine, errors, "start", "stop", 600_000_000)
+    return met.groupBy("left.user_id", F.date_format(F.timestamp_micros("left.start"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("started")).agg(F.count("*").alias("n_errors"), F.min("right.event_id").alias("first_error"))
+
+
 def attempts(spark, sf_dir):
     at = F.unix_micros(F.convert_timezone(F.lit("UTC"), F.current_timezone(), "ts").cast("timestamp"))
     return events(spark, sf_dir).filter(F.col("event_type").isin("signup", "error")).select("user_id", "event_id", at.alias("at"), (F.col("event_type") == "signup").alias("success"))
@@ -96,6 +105,16 @@ def account_lock(spark, sf_dir):
     return usage.account_lock(attempts(spark, sf_dir), 2, 172_800_000_000).withColumn("failures", F.col("failures").cast("long"))
 
 
+def rate_limit_default(spark, sf_dir):
+    """At most 10 accepted attempts in five minutes."""
+    return usage.rate_limited(attempts(spark, sf_dir))
+
+
+def account_lock_default(spark, sf_dir):
+    """Five failures lock for a quarter of an hour."""
+    return usage.account_lock(attempts(spark, sf_dir)).withColumn("failures", F.col("failures").cast("long"))
+
+
 def recent_attempts(spark, sf_dir):
     return usage.recent_attempts(attempts(spark, sf_dir), 86_400_000_000).select("event_id", "recent")
 
@@ -150,6 +169,25 @@ _NAMED = "p AS prompt_tokens, c AS completion_tokens, n AS request_count"
 _TOTALS = "t AS (SELECT user_id, CAST(coalesce(sum(p + c) FILTER (day >= DATE '2024-01-30' - {days}), 0) AS BIGINT) AS tokens, max(day) AS last_day FROM d GROUP BY user_id)"
 _TRY = '''a AS (SELECT user_id, event_id, epoch_us(ts) AS "at", event_type = 'signup' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type IN ('signup', 'error'))'''
 
+def _rate_sql(limit: int, window: int) -> str:
+    return f"""WITH RECURSIVE {_TRY},
+x AS (SELECT user_id, event_id, "at", r, ["at"] AS kept, true AS accepted FROM a WHERE r = 1
+  UNION ALL SELECT user_id, event_id, "at", r, CASE WHEN len(live) < {limit} THEN list_append(live, "at") ELSE live END, len(live) < {limit}
+  FROM (SELECT a.user_id, a.event_id, a."at", a.r, list_filter(x.kept, lambda t: a."at" - t < {window}) AS live FROM x JOIN a ON a.user_id = x.user_id AND a.r = x.r + 1))
+SELECT user_id, event_id, "at", accepted FROM x"""
+
+
+def _lock_sql(threshold: int, locked: int) -> str:
+    return f"""WITH RECURSIVE {_TRY},
+x AS (SELECT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS "at", CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS failures, CAST(NULL AS BIGINT) AS until, '' AS outcome FROM (SELECT DISTINCT user_id FROM a)
+  UNION ALL SELECT a.user_id, a.event_id, a."at", a.r,
+    CASE WHEN x.until > a."at" THEN x.failures WHEN a.ok THEN 0 ELSE x.failures + 1 END,
+    CASE WHEN x.until > a."at" THEN x.until WHEN a.ok THEN NULL WHEN x.failures + 1 >= {threshold} THEN a."at" + {locked} ELSE x.until END,
+    CASE WHEN x.until > a."at" THEN 'locked' WHEN a.ok THEN 'ok' ELSE 'failed' END
+  FROM x JOIN a ON a.user_id = x.user_id AND a.r = x.r + 1)
+SELECT user_id, event_id, "at", outcome, failures FROM x WHERE r > 0"""
+
+
 ORACLE = {
     "usage_daily_rollup": f"WITH {_DAILY} SELECT user_id, CAST(day AS VARCHAR) AS day, {_NAMED} FROM d",
     "usage_upsert": f"WITH {_DAILY} SELECT user_id, CAST(day AS VARCHAR) AS day, {_NAMED} FROM d",
@@ -170,19 +208,14 @@ SELECT CAST(day AS VARCHAR) AS day, total, greatest(round(total / max(total) OVE
     "sliding_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 8 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_seen, count(*) AS n_events FROM s GROUP BY user_id, s""",
-    "rate_limit": f"""WITH RECURSIVE {_TRY},
-x AS (SELECT user_id, event_id, "at", r, ["at"] AS kept, true AS accepted FROM a WHERE r = 1
-  UNION ALL SELECT user_id, event_id, "at", r, CASE WHEN len(live) < 2 THEN list_append(live, "at") ELSE live END, len(live) < 2
-  FROM (SELECT a.user_id, a.event_id, a."at", a.r, list_filter(x.kept, lambda t: a."at" - t < 86400000000) AS live FROM x JOIN a ON a.user_id = x.user_id AND a.r = x.r + 1))
-SELECT user_id, event_id, "at", accepted FROM x""",
-    "account_lock": f"""WITH RECURSIVE {_TRY},
-x AS (SELECT user_id, CAST(0 AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS "at", CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS failures, CAST(NULL AS BIGINT) AS until, '' AS outcome FROM (SELECT DISTINCT user_id FROM a)
-  UNION ALL SELECT a.user_id, a.event_id, a."at", a.r,
-    CASE WHEN x.until > a."at" THEN x.failures WHEN a.ok THEN 0 ELSE x.failures + 1 END,
-    CASE WHEN x.until > a."at" THEN x.until WHEN a.ok THEN NULL WHEN x.failures + 1 >= 2 THEN a."at" + 172800000000 ELSE x.until END,
-    CASE WHEN x.until > a."at" THEN 'locked' WHEN a.ok THEN 'ok' ELSE 'failed' END
-  FROM x JOIN a ON a.user_id = x.user_id AND a.r = x.r + 1)
-SELECT user_id, event_id, "at", outcome, failures FROM x WHERE r > 0""",
+    "rate_limit": _rate_sql(2, 86_400_000_000),
+    "rate_limit_default": _rate_sql(10, 300_000_000),
+    "account_lock": _lock_sql(2, 172_800_000_000),
+    "account_lock_default": _lock_sql(5, 900_000_000),
+    "overlapping_sessions": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS s FROM g),
+m AS (SELECT user_id, min(ts) AS a, max(ts) AS z FROM s GROUP BY user_id, s)
+SELECT m.user_id, strftime(a, '%Y-%m-%d %H:%M:%S.%f') AS started, count(*) AS n_errors, min(event_id) AS first_error FROM m JOIN events e ON e.event_type = 'error' AND m.a < e.ts + INTERVAL 10 MINUTE AND e.ts <= m.z GROUP BY m.user_id, a""",
     "recent_attempts": f'''WITH {_TRY} SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY "at" RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent FROM a''',
     "date_buckets": """SELECT CASE WHEN d >= DATE '2024-01-31' THEN 'today' WHEN d >= DATE '2024-01-30' THEN 'yesterday' WHEN d >= DATE '2024-01-24' THEN 'last 7 days' ELSE 'older' END AS bucket, count(*) AS n
 FROM (SELECT user_id, CAST(max(ts) AS DATE) AS d FROM events GROUP BY user_id) GROUP BY ALL""",
