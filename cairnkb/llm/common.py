@@ -113,6 +113,18 @@ def text_key() -> list:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("k2"), text, F.length(text)).alias("k2")]
 
 
+def fresh(docs: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each behind as many underscores as it takes to be no column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return tuple(found)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import broadcast, save, text_key
+from .common import broadcast, fresh, save, text_key
 
 WINDOW = 13
 #: Windows that are broadcast at once; a larger benchmark is taken in several blocks. Their words are kept once
@@ -169,10 +169,10 @@ def _in_blocks(docs: DataFrame, cut: DataFrame, parts: int) -> DataFrame:
         return pd.DataFrame(out, columns=[f.split()[0] for f in RESULT.split(", ")])
 
     first, second = text_key()
-    left = docs.withColumns({"_k1": first, "_k2": second})
-    right = merged.select(F.col("k1").alias("_j1"), F.col("k2").alias("_j2"), F.col("hits").alias("_hits"), F.col("items").alias("_items"))
-    joined = left.join(right, (left["_k1"] == right["_j1"]) & (left["_k2"] == right["_j2"]), "left")
-    return joined.withColumn("contamination", judge("text", "_hits", "_items")).drop("_k1", "_k2", "_j1", "_j2", "_hits", "_items")
+    k1, k2, j1, j2, hits, items = fresh(docs, "_k1", "_k2", "_j1", "_j2", "_hits", "_items")
+    right = merged.select(F.col("k1").alias(j1), F.col("k2").alias(j2), F.col("hits").alias(hits), F.col("items").alias(items))
+    joined = docs.withColumns({k1: first, k2: second}).join(right, (F.col(k1) == F.col(j1)) & (F.col(k2) == F.col(j2)), "left")
+    return joined.withColumn("contamination", judge("text", hits, items)).drop(k1, k2, j1, j2, hits, items)
 
 
 def verdict(field: str) -> Column:

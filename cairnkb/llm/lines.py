@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, scratch, text_key
+from .common import fresh, save, scratch
 
 #: In shorter lines an edit is over a tenth of the line, so they go only if they are the same as an earlier one.
 EDIT_CHARS = 10
@@ -25,15 +25,18 @@ def _line_keys(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit("line"), line).alias("h2")]
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """``(at, k1, k2, h1, h2, line)``: each line that is not blank.
+def row_key() -> list[Column]:
+    """``(doc, k1, k2)``: orders rows by doc_id (nulls last), and by 120 bits of their text's MD5 where they share it."""
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    half = lambda start: F.conv(F.substring(digest, start, 15), 16, 10).cast("long")
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), half(1).alias("k1"), half(16).alias("k2")]
 
-    ``at`` orders lines by doc_id (nulls last) and number; ``k1`` and ``k2`` tell apart the texts that share a doc_id.
-    """
-    at = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.col("no"))
-    keyed = docs.select("doc_id", "text", *text_key())
-    rows = keyed.select("doc_id", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return rows.select(at.alias("at"), "k1", "k2", *_line_keys(F.col("line")), "line")
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """``(at, h1, h2, line)``: each line that is not blank; ``at`` orders lines by their row's key and their number."""
+    keyed = docs.select("text", *row_key())
+    rows = keyed.select("doc", "k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("no", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.select(F.struct("doc", "k1", "k2", "no").alias("at"), *_line_keys(F.col("line")), "line")
 
 
 def _halves(line: Column) -> list[Column]:
@@ -127,7 +130,7 @@ def _without(line: str, place: str) -> Column:
 
 
 def removed_lines(docs: DataFrame, edit_chars: int = EDIT_CHARS) -> DataFrame:
-    """``(doc, k1, k2, removed)``: by doc_id (a null one as the largest long) and text the numbers, from 0, of the lines that go."""
+    """``(doc, k1, k2, removed)``: by ``row_key`` the numbers, from 0, of the lines that go."""
     lines = occurrences(docs)
     with scratch() as keep:
         firsts = lines.select("at", "h1", "h2", F.length("line").alias("size"), *_halves(F.col("line"))).groupBy("h1", "h2")
@@ -136,31 +139,34 @@ def removed_lines(docs: DataFrame, edit_chars: int = EDIT_CHARS) -> DataFrame:
         long = F.length("line") >= edit_chars
         near = near_lines(lines.filter(long), firsts.filter(F.col("size") >= edit_chars)).withColumn("near", F.lit(True))
         fate = keep(save(firsts.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").filter("near or n > 1"), "fate"))
-    gone = lines.select("at", "k1", "k2", "h1", "h2").join(fate.hint("merge"), ["h1", "h2"]).filter("near or at <> first")
-    return gone.groupBy(F.col("at.doc").alias("doc"), "k1", "k2").agg(F.collect_set("at.no").alias("removed"))
+    gone = lines.select("at", "h1", "h2").join(fate.hint("merge"), ["h1", "h2"]).filter("near or at <> first")
+    return gone.groupBy("at.doc", "at.k1", "at.k2").agg(F.collect_set("at.no").alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, edit_chars: int = EDIT_CHARS) -> DataFrame:
     """``docs`` without the lines that repeat an earlier one, or are within one edit of it.
 
-    Lines end at '\\n'; an edit is one character put in, left out or changed. Lines come in
-    the order of doc_id and place, and the earliest stays; a line goes whether or not its
-    earlier neighbour goes too. Blank lines (ASCII space alone) always stay, and lines under
+    Lines end at '\\n'; an edit is one character put in, left out or changed. Rows come in the
+    order of doc_id (nulls last) and, where they share it, of their text's MD5; lines in that
+    order and by place, and the earliest stays. A line goes whether or not its earlier
+    neighbour goes too. Blank lines (ASCII space alone) always stay, and lines under
     ``edit_chars`` characters neither go nor make others go for an edit. Adds
-    ``n_lines`` and ``n_removed`` (long; replacing columns of these names). A null text stays
-    null with 0 lines; an empty one is one empty line. Rows of one doc_id (and those without,
-    which come last) have equal places, so repeated rows get the same result and rows of other
-    texts their own. A document's removed line numbers are the largest group gathered.
+    ``n_lines`` and ``n_removed`` (long; replacing columns of these names); other columns stay,
+    whatever their names. A null text stays null with 0 lines; an empty one is one empty line.
+    Rows of one doc_id and one text are one row repeated: they get the same result, and none
+    makes another's lines go. A document's removed line numbers are the largest group gathered.
     """
-    gone = removed_lines(docs.select("doc_id", "text"), edit_chars).withColumnsRenamed({"doc": "_doc", "k1": "_k1", "k2": "_k2", "removed": "_removed"})
-    k1, k2 = text_key()
-    own = docs.withColumns({"_at": F.coalesce(docs["doc_id"].cast("long"), F.lit(_LAST)), "_t1": k1, "_t2": k2})
-    joined = own.join(gone, (own["_at"] == gone["_doc"]) & (own["_t1"] == gone["_k1"]) & (own["_t2"] == gone["_k2"]), "left")
-    # _lines is read more than once below, so that Spark splits each text once and not inside the lambda
-    n = F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines"))
-    numbers = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_removed")
-    kept = F.array_join(F.transform(numbers, lambda i: F.get(F.col("_lines"), i)), "\n")
-    changed = F.col("text").isNotNull() & F.col("_removed").isNotNull()
-    removed = F.when(changed, F.size(F.filter("_removed", lambda i: i < F.size("_lines")))).otherwise(0)
-    new = {"text": F.when(changed, kept).otherwise(F.col("text")), "n_lines": n.cast("long"), "n_removed": removed.cast("long")}
-    return joined.withColumn("_lines", F.split("text", "\n", -1)).withColumns(new).drop("_at", "_t1", "_t2", "_doc", "_k1", "_k2", "_removed", "_lines")
+    doc, k1, k2, removed, lines = fresh(docs, "_doc", "_k1", "_k2", "_removed", "_lines")
+    gone = removed_lines(docs.select("doc_id", "text"), edit_chars).withColumnRenamed("removed", removed)
+    own = dict(zip((doc, k1, k2), row_key(), strict=True))
+    joined = docs.withColumns(own).join(gone, (F.col(doc) == gone["doc"]) & (F.col(k1) == gone["k1"]) & (F.col(k2) == gone["k2"]), "left")
+    # the lines are read more than once below, so that Spark splits each text once and not inside the lambda
+    text, at = docs["text"], F.col(lines)
+    n = F.when(text.isNull(), 0).otherwise(F.size(at))
+    numbers = F.array_except(F.sequence(F.lit(0), F.size(at) - 1), removed)
+    kept = F.array_join(F.transform(numbers, lambda i: F.get(at, i)), "\n")
+    changed = text.isNotNull() & F.col(removed).isNotNull()
+    n_gone = F.when(changed, F.size(F.filter(removed, lambda i: i < F.size(at)))).otherwise(0)
+    split = joined.select(*[docs[c] for c in docs.columns], removed, F.split(text, "\n", -1).alias(lines))
+    new = {"text": F.when(changed, kept).otherwise(text), "n_lines": n.cast("long"), "n_removed": n_gone.cast("long")}
+    return split.withColumns(new).drop(removed, lines)

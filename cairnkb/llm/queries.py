@@ -145,8 +145,8 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 )
 
 ORACLE["op10_lines"] = f"""
-WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, {lines._LAST}) AS doc, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-o AS (SELECT r, {{'doc': doc, 'no': i}} AS place, ls[i] AS line FROM (SELECT r, doc, ls, unnest(range(1, len(ls) + 1)) AS i FROM d) WHERE regexp_matches(ls[i], '[^\\x20\\x09-\\x0D]')),
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(doc_id, {lines._LAST}) AS doc, CAST('0x' || md5(coalesce(text, ''))[1:15] AS BIGINT) AS k1, CAST('0x' || md5(coalesce(text, ''))[16:30] AS BIGINT) AS k2, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+o AS (SELECT r, {{'doc': doc, 'k1': k1, 'k2': k2, 'no': i}} AS place, ls[i] AS line FROM (SELECT r, doc, k1, k2, ls, unnest(range(1, len(ls) + 1)) AS i FROM d) WHERE regexp_matches(ls[i], '[^\\x20\\x09-\\x0D]')),
 f AS (SELECT line, min(place) AS first FROM o GROUP BY line),
 e AS (FROM f WHERE length(line) >= {lines.EDIT_CHARS}),
 v AS (SELECT line, first, i, hash(line[: i - 1] || line[i + 1 :]) AS h FROM (SELECT line, first, unnest(range(1, length(line) + 1)) AS i FROM e)),

@@ -17,7 +17,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, text_key
+from .common import fresh, save, text_key
 
 #: More alternatives than this are no query worth asking.
 MOST_STRINGS = 64
@@ -175,21 +175,20 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Matches are leftmost and do not overlap within a kind; those whose deciding group is too
     short are dropped afterwards. Patterns match no empty string and look neither ahead nor
     back. A null text is empty. Repeated rows get the same result;
-    other columns stay (``secrets`` is replaced). Candidates and spans meet their texts by
+    other columns stay, whatever their names (``secrets`` is replaced). Candidates and spans meet their texts by
     hash, with rows split where many rows hold one text.
     """
     first, second = text_key()
-    keyed = lambda rows: rows.withColumns({"_k1": first, "_k2": second})
-    on = (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2"))
-    texts = keyed(docs.select("text"))
+    texts = docs.select("text").withColumns({"_k1": first, "_k2": second})
     if trigrams(rules):
         found = save(candidates(postings(docs.select("text"), rules), rules), "candidates").withColumnsRenamed({"k1": "_j1", "k2": "_j2", "kinds": "_kinds"})
-        texts = texts.join(found, on, "left")
+        texts = texts.join(found, (F.col("_k1") == F.col("_j1")) & (F.col("_k2") == F.col("_j2")), "left")
     else:
         texts = texts.withColumn("_kinds", F.array().cast("array<string>"))
-    spans = save(_spans(texts, rules), "spans")
-    joined = keyed(docs).join(spans, on, "left")
-    return joined.withColumn("secrets", F.coalesce("_spans", F.array().cast(f"array<{SPAN}>"))).drop("_k1", "_k2", "_j1", "_j2", "_spans")
+    k1, k2, j1, j2, found = fresh(docs, "_k1", "_k2", "_j1", "_j2", "_spans")
+    spans = save(_spans(texts, rules), "spans").withColumnsRenamed({"_j1": j1, "_j2": j2, "_spans": found})
+    joined = docs.withColumns({k1: first, k2: second}).join(spans, (F.col(k1) == F.col(j1)) & (F.col(k2) == F.col(j2)), "left")
+    return joined.withColumn("secrets", F.coalesce(found, F.array().cast(f"array<{SPAN}>"))).drop(k1, k2, j1, j2, found)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from cairnkb.llm import decontaminate, lines, near, secrets, simhash
 from cairnkb.llm.common import save, scratch
 
 
@@ -28,3 +29,19 @@ def test_an_error_leaves_the_outer_scope_as_it_was(spark):
                 raise ValueError
         table = keep(save(spark.range(2), "table"))
     assert table.count() == 2
+
+
+@pytest.mark.parametrize("column", ["_k1", "_K2", "_row", "_spans", "_lines", "_doc", "_removed", "_hits", "_j1", "k1", "doc", "first", "label", "sketch", "fp", "removed"])
+def test_columns_of_any_name_stay(column, spark):
+    """A caller's column comes back with its values, whatever the operators call theirs."""
+    texts = ["one long line of some text here", "one long line of some text here", None, "", "password = abcdefghijklmnop\nand what else there is to say in a text of its own"]
+    docs = spark.createDataFrame([(i, t, f"v{i}") for i, t in enumerate(texts)], f"doc_id long, text string, `{column}` string")
+    bench = spark.createDataFrame([(1, "some words of an item " * 4), (2, "one long line of some text here")], "item_id int, text string")
+    made = {
+        "lines": lines.dedup_lines(docs), "secrets": secrets.scan(docs), "blocks": decontaminate.contamination(docs, bench, block=1),
+        "simhash": simhash.keep_one(docs), "near": near.keep_one(docs),
+    }
+    for name, out in made.items():
+        assert set(docs.columns) <= set(out.columns), name
+        rows = [(r["doc_id"], r[column]) for r in out.collect()]
+        assert rows and all(v == f"v{i}" for i, v in rows), name

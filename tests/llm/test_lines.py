@@ -89,3 +89,19 @@ def test_long_lines_cost_what_they_are_long(spark):
     got = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs).collect()}
     assert got == {1: 0, 2: 1, 3: 1, 4: 1}
     assert time.perf_counter() - began < 60
+
+
+def test_the_same_line_in_rows_that_share_an_id_or_have_none(spark, duck):
+    same = "the same long line here"
+    rows = [(None, same + "\nalpha of its own"), (None, same + "\nbeta of its own"), (5, same + "\ngamma and more"), (5, same + "\ndelta and more"), (5, same + "\ndelta and more")]
+    for data in (rows, rows[:2], rows[2:], rows[:1] * 2):
+        docs = spark.createDataFrame(data, "doc_id long, text string")
+        got = [(r.doc_id, r.text, r.n_removed) for r in lines.dedup_lines(docs).collect()]
+        holders = {(d, t) for d, t, _ in got if same in t}
+        assert len(holders) == 1 and sum(x == next(iter(holders)) for x in [(d, t) for d, t, _ in got]) <= 2
+        assert not (data == rows and None in {d for d, _ in holders})
+        cur = duck.cursor()
+        cur.execute("CREATE OR REPLACE TEMP TABLE documents (doc_id BIGINT, text VARCHAR)")
+        cur.executemany("INSERT INTO documents VALUES (?, ?)", data)
+        by_sql = cur.execute(queries.ORACLE["op10_lines"]).fetchall()
+        assert sorted(((d, gone) for d, _, gone, _ in by_sql), key=str) == sorted(((d, gone) for d, _, gone in got), key=str)
