@@ -38,3 +38,12 @@ def health(checks: DataFrame) -> DataFrame:
     n = lambda status: F.count_if(F.col("status") == status).alias(f"n_{status}")
     counted = checks.agg(n("ok"), n("warn"), n("fail"))
     return counted.withColumn("overall", F.when(F.col("n_fail") > 0, "fail").when(F.col("n_warn") > 0, "warn").otherwise("ok"))
+
+
+def owned(asked: DataFrame, conversations: DataFrame) -> DataFrame:
+    """``asked(user_id, conv_id)`` with ``found``: whether there is such a conversation and it is that user's.
+
+    One that is another's and one that does not exist look the same. Nulls own nothing.
+    """
+    own = conversations.select("user_id", "conv_id").distinct().withColumn("_owned", F.lit(True))
+    return asked.join(own, ["user_id", "conv_id"], "left").withColumn("found", F.coalesce("_owned", F.lit(False))).drop("_owned")

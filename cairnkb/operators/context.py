@@ -5,19 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .expand import bare_name
+
+#: Names of a lookup table that are broadcast (some 200 bytes each); more are joined by a shuffle.
+BROADCAST_NAMES = 1_000_000
+
 
 def with_synonyms(chunks: DataFrame, synonyms: DataFrame, name: str, bare: str, text: str) -> DataFrame:
     """``chunks`` with the synonyms of their name after the text; those of the bare name where the full one has none.
 
-    ``synonyms`` has ``(name, words)``, a lookup table of fixed size; names of several rows have all their words, in order.
+    ``synonyms`` has ``(name, words)``; names of several rows have all their words, in order.
+    A table of up to BROADCAST_NAMES rows is broadcast.
     """
+    few = F.broadcast if synonyms.limit(BROADCAST_NAMES + 1).count() <= BROADCAST_NAMES else lambda x: x
     lookup = synonyms.groupBy("name").agg(F.array_join(F.array_sort(F.collect_set("words")), " ").alias("words"))
     full = lookup.select(F.col("name").alias("_full"), F.col("words").alias("_own"))
     short = lookup.select(F.col("name").alias("_short"), F.col("words").alias("_other"))
-    joined = chunks.join(F.broadcast(full), F.col(name) == F.col("_full"), "left").join(F.broadcast(short), F.col(bare) == F.col("_short"), "left")
+    joined = chunks.join(few(full), F.col(name) == F.col("_full"), "left").join(few(short), F.col(bare) == F.col("_short"), "left")
     return joined.withColumn(text, F.concat_ws(" ", text, F.coalesce("_own", "_other"))).drop("_full", "_own", "_short", "_other")
 
 
+def bare_keys(synonyms: DataFrame, prefixes: list[str]) -> DataFrame:
+    """``synonyms(name, words)`` with the words of each prefixed name under its bare name, too, each pair once."""
+    bare = synonyms.withColumn("name", bare_name(F.col("name"), prefixes))
+    return synonyms.select("name", "words").unionByName(bare.select("name", "words")).distinct()
+
+
 def exact_rows(named: DataFrame, rows: DataFrame, most: int = 3) -> DataFrame:
     """``(query_id, id, score, position)``: the first ``most`` rows, by id, of the name that a question has; score 1.
 
@@ -38,6 +51,20 @@ def other_names(words: DataFrame, names: DataFrame, most: int = 2, bonus: int =
     return found.withColumn("position", F.row_number().over(order).cast("long")).filter(F.col("position") <= most).select("query_id", "name", "position")
 
 
+def named_exact(known: DataFrame, others: DataFrame, rows: DataFrame, most: int = 3) -> DataFrame:
+    """``exact_rows`` of the name that a question has, and after them those of its other names; each row once.
+
+    ``others`` has ``(query_id, name, position)``, of which the known name is left out.
+    """
+    first = known.select("query_id", "name", F.lit(0).cast("long").alias("turn"))
+    more = others.select("query_id", "name", F.col("position").alias("turn")).join(known.select("query_id", "name"), ["query_id", "name"], "left_anti")
+    by_name = Window.partitionBy("query_id", "name").orderBy("id")
+    met = first.unionByName(more).join(rows.select("id", "name"), "name").withColumn("place", F.row_number().over(by_name)).filter(F.col("place") <= most)
+    once = met.groupBy("query_id", "id").agg(F.min(F.struct("turn", "place")).alias("at"))
+    order = Window.partitionBy("query_id").orderBy("at", "id")
+    return once.select("query_id", "id", F.lit(1.0).alias("score"), F.row_number().over(order).cast("long").alias("position"))
+
+
 def block(position: Column, title: Column, signature: Column, text: Column, score: Column) -> Column:
     """A source as the answering model sees it."""
     head = F.format_string("[%d] %s (%.3f)", position.cast("long"), title, score.cast("double"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Cases that are broadcast (some 1 kB each); more are joined by a shuffle.
+BROADCAST_CASES = 100_000
+
 
 def errors(answer: Column, must: Column, must_not: Column) -> Column:
     """What fails: required terms that are missing in any case, forbidden terms that are there as written."""
@@ -19,7 +22,8 @@ def score(n_errors: Column, n_warnings: Column) -> Column:
 
 def evaluate(answers: DataFrame, cases: DataFrame) -> DataFrame:
     """``answers(case_id, ..., answer)`` against ``cases(case_id, must, must_not)``: status, score and errors; a null answer is an ERROR of 0."""
-    joined = answers.join(F.broadcast(cases), "case_id")  # a battery has some dozens of cases
+    few = F.broadcast if cases.limit(BROADCAST_CASES + 1).count() <= BROADCAST_CASES else lambda x: x
+    joined = answers.join(few(cases), "case_id")
     found = errors(F.col("answer"), F.col("must"), F.col("must_not"))
     return joined.withColumns({
         "errors": F.when(F.col("answer").isNull(), F.array(F.lit("no answer"))).otherwise(found),
@@ -44,10 +48,10 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)).cast("double") / F.nullif(union, F.lit(0)))
 
 
-def calls(text: Column, keywords: list[str], tag: str = "code") -> Column:
-    """Names called in the tagged blocks, distinct, without keywords."""
+def calls(text: Column, keywords: list[str], tag: str = "code", call: str = r"\b([A-Z][A-Za-z0-9]+)\s*\(") -> Column:
+    """Names called in the tagged blocks, distinct, without keywords; the first group of ``call`` is a name."""
     code = F.array_join(F.regexp_extract_all(text, F.lit(rf"(?s)```{tag}(.*?)```"), 1), "\n")
-    return F.array_except(F.regexp_extract_all(code, F.lit(r"\b([A-Z][A-Za-z0-9]+)\s*\("), 1), F.array(*map(F.lit, keywords)))
+    return F.array_except(F.regexp_extract_all(code, F.lit(call), 1), F.array(*map(F.lit, keywords)))
 
 
 def verdict(same: Column, similarity: Column, least: float = 0.7) -> Column:

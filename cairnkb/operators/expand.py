@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Each question is compared with each trigger.
+MOST_TRIGGERS = 10_000
+
 
 def triggered(question: Column, trigger: Column, least: int = 6, share: float = 0.8) -> Column:
     """Whether a lower-case question holds the trigger, or the first 80 % (6 characters at least) of a one-word trigger."""
@@ -16,9 +19,12 @@ def triggered(question: Column, trigger: Column, least: int = 6, share: float =
 def expand(questions: DataFrame, triggers: DataFrame) -> DataFrame:
     """``questions(query_id, text)`` with ``expanded``: the text, then the expansions of all triggered intents in table order.
 
-    ``triggers`` has ``(intent_id, trigger, expansion)``: a lookup table of fixed size, which
-    is broadcast for the substring join. An intent counts once however many triggers match.
+    ``triggers`` has ``(intent_id, trigger, expansion)``: a lookup table, which is broadcast for
+    the substring join; more than MOST_TRIGGERS rows are refused. An intent counts once however
+    many triggers match.
     """
+    if triggers.limit(MOST_TRIGGERS + 1).count() > MOST_TRIGGERS:
+        raise ValueError(f"a table of triggers has at most {MOST_TRIGGERS} rows")
     low = questions.select("query_id", F.lower("text").alias("_q"))
     hits = low.join(F.broadcast(triggers), triggered(F.col("_q"), F.col("trigger"))).select("query_id", "intent_id", "expansion").distinct()
     added = hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("intent_id", "expansion"))), lambda x: x["expansion"]), " ").alias("_added"))

@@ -65,3 +65,21 @@ def violations(rows: DataFrame, allowed: dict[str, list[str]], unique: list[str]
         bad = rows.groupBy(column).count().filter("count > 1").agg(F.lit(f"{column} not unique").alias("check"), F.count("*").alias("n"))
         out = bad if out is None else out.unionByName(bad)
     return out
+
+
+def is_urgent(priority: Column, urgent: tuple[str, ...] = ("critical", "high")) -> Column:
+    """Whether a priority is one of the urgent ones; an unknown or null one is not."""
+    return F.coalesce(priority.isin(*urgent), F.lit(False))
+
+
+def cached(entries: DataFrame, now: Column, keep_seconds: int = 86_400) -> DataFrame:
+    """Of raw cache entries ``(key, raw)`` the latest of each key that is whole and not too old: ``(key, ts, response, docs)``.
+
+    ``raw`` is a JSON object ``{ts, response, docs}``, ``ts`` in seconds. An entry that is no
+    such object, or lacks the time or the response, is passed over, and an older whole one is
+    not put in its place if that is too old. Equal times go to the greater response.
+    """
+    parsed = F.from_json("raw", "ts DOUBLE, response STRING, docs ARRAY<STRING>")
+    rows = entries.select("key", parsed.alias("e")).filter("e.ts is not null and e.response is not null")
+    last = rows.groupBy("key").agg(F.max_by("e", F.struct("e.ts", "e.response")).alias("e"))
+    return last.filter(now - F.col("e.ts") <= keep_seconds).select("key", "e.ts", "e.response", "e.docs")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stem import stems
 from ..functions.strings import fold_accents
 
 TARGET = 1400
@@ -161,6 +162,13 @@ def terms(text: Column) -> Column:
     return F.flatten(F.transform(words, of))
 
 
+def stemmed_terms(text: Column) -> Column:
+    """``terms``, and after them, once each, the stems that are not among these of plain words: four small letters or more."""
+    every = terms(text)
+    plain = F.filter(every, lambda w: w.rlike("^[a-zà-ÿœæ]{4,}$"))
+    return F.concat(every, F.array_except(stems(plain), every))
+
+
 def html_text(html: Column) -> Column:
     """A page's text: scripts, styles and tags out, white space joined."""
     plain = F.regexp_replace(F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>", " "), "<[^>]+>", " ")

@@ -41,6 +41,18 @@ def owned_conversations(spark, sf_dir):
     return convs.withColumn("position", F.row_number().over(order).cast("long")).select(F.col("user_id").cast("long").alias("user_id"), "conv_id", "last_turn", "n_turns", "position")
 
 
+def conversation_access(spark, sf_dir):
+    """Who may see which conversation: each is asked for by its owner, by another user and, past the last, for none that exists.
+
+    The customer whose number is the conversation's within their count owns it.
+    """
+    users = spark.read.parquet(f"{sf_dir}/customer.parquet").agg(F.count("*").alias("n"))
+    convs = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").filter("conv_id is not null").distinct().crossJoin(F.broadcast(users))
+    own = convs.select("conv_id", (F.pmod("conv_id", "n") + 1).alias("user_id"), "n")
+    asked = own.select("user_id", "conv_id").unionByName(own.select((F.pmod("user_id", "n") + 1).alias("user_id"), "conv_id")).unionByName(own.select("user_id", (-F.col("conv_id") - 1).alias("conv_id")))
+    return accounts.owned(asked, own)
+
+
 def addresses(spark, sf_dir):
     raw = F.concat(F.lit(" \t"), F.col("c_name"), F.lit("@Example.ORG \n"))
     return _users(spark, sf_dir).select("user_id", accounts.address(raw).alias("address"), accounts.restriction(F.col("user_id") % 2 == 0, NOTICE).alias("restriction"))
@@ -132,6 +144,8 @@ a AS (SELECT 'all' AS "case", NOT (role = 'admin' AND is_active) OR n > 1 AS all
 SELECT "case", allowed, count(*) AS n FROM a GROUP BY ALL""",
     "owned_conversations": """WITH c AS (SELECT CAST(length(CAST(conv_id AS VARCHAR)) AS BIGINT) AS user_id, conv_id, CAST(max(turn) AS BIGINT) AS last_turn, count(*) AS n_turns FROM conversations GROUP BY conv_id)
 SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_turn DESC, conv_id) AS position FROM c""",
+    "conversation_access": """WITH n AS (SELECT count(*) AS n FROM customer), o AS (SELECT DISTINCT conv_id, conv_id % n + 1 AS user_id, n FROM conversations, n WHERE conv_id IS NOT NULL)
+SELECT user_id, conv_id, true AS found FROM o UNION ALL SELECT user_id % n + 1, conv_id, n = 1 FROM o UNION ALL SELECT user_id, -conv_id - 1, false FROM o""",
     "addresses": f"WITH {_USERS} SELECT user_id, lower(c_name) || '@example.org' AS address, CASE WHEN user_id % 2 = 0 THEN '{NOTICE}' ELSE '' END AS restriction FROM u",
     "health_counts": """WITH s AS (SELECT CASE WHEN length(trim(coalesce(text, ''))) = 0 THEN 'fail' WHEN length(text) < 100 THEN 'warn' ELSE 'ok' END AS s FROM documents),
 c AS (SELECT count(*) FILTER (s = 'ok') AS n_ok, count(*) FILTER (s = 'warn') AS n_warn, count(*) FILTER (s = 'fail') AS n_fail FROM s)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import accounts, retrieval, rulings, scalars, search, stores, streams, texts, usage
+from . import accounts, retrieval, rulings, scalars, search, stems, stores, streams, texts, usage
 
-MODULES = (search, retrieval, stores, usage, accounts, texts, rulings, scalars, streams)
+MODULES = (search, retrieval, stems, stores, usage, accounts, texts, rulings, scalars, streams)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

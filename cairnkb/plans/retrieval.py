@@ -11,11 +11,11 @@ from . import search
 # Fixed values of the queries below: synonyms by name, and profiles by keyword.
 SYNONYMS = [("Ouwhea", "spring water"), ("Ouw", "short form"), ("Te", "article"), ("Le", "article"), ("Der", "article")]
 PROFILES = [("reporting", ["edition", "report", "label"]), ("alerting", ["attention", "alert"]), ("reading", ["the", "and"])]
-NAME = "^([A-Z][a-z]{3,})"
+NAME = search.NAME
 
 
 def _named(spark, sf_dir):
-    """Documents with the name that they begin with, and its first three letters as the bare name."""
+    """Documents with the first name that they hold, and its first three letters as the bare name."""
     return search.documents(spark, sf_dir).withColumns({"name": F.regexp_extract("text", NAME, 1)}).withColumn("bare", F.left("name", F.lit(3)))
 
 
@@ -57,7 +57,7 @@ def secondary_names(spark, sf_dir):
 
 
 def hybrid_full(spark, sf_dir):
-    """Expansion, name detection, exact rows, both rankings, fusion, a filter by category, boosts, edge loading."""
+    """Expansion, name detection, exact rows of the question's name and of its further ones, both rankings, fusion, a filter by category, boosts, edge loading."""
     k = search.K
     docs = search.documents(spark, sf_dir)
     lexical = bm25.bm25_topk(docs, search.expand_query(spark, sf_dir).select("query_id", F.col("expanded").alias("text")), 6 * k)
@@ -67,7 +67,8 @@ def hybrid_full(spark, sf_dir):
     about = _named(spark, sf_dir).filter("text is not null and coalesce(lang, '') <> 'de'").select(F.col("doc_id").alias("id"), "name", (F.col("lang") == "fr").alias("preferred"), (F.length("text") > 2000).alias("signed"))
     fused = ranking.rrf(lists).join(about, "id").join(known.withColumnRenamed("name", "_known"), "query_id", "left")
     boosted = ranking.boost(fused.withColumn("named", F.coalesce(F.col("name") == F.col("_known"), F.lit(False))), k)
-    ranked = ranking.exact_then_fused(exact_by_name(spark, sf_dir), boosted, k)
+    exact = context.named_exact(known, secondary_names(spark, sf_dir), _named(spark, sf_dir).filter("name <> ''").select(F.col("doc_id").alias("id"), "name"))
+    ranked = ranking.exact_then_fused(exact, boosted, k)
     return ranking.edge_load(ranked).select("query_id", "place", "id", "score")
 
 
@@ -94,6 +95,12 @@ _NAMES = f"nd AS (SELECT doc_id, text, lang, coalesce(regexp_extract(text, '{NAM
 _KNOWN = """kw AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM benchmark),
 kn AS (SELECT query_id, name FROM kw JOIN (SELECT DISTINCT name FROM nd WHERE name <> '') USING (name) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(name) DESC, name) = 1)"""
 _EXACT = """ex AS (SELECT query_id, doc_id AS id, 1.0::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS position FROM kn JOIN nd USING (name) QUALIFY position <= 3)"""
+_OTHER = """sw AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(expanded, '[A-Za-z0-9_]+')) AS name, regexp_extract_all(text, '[A-Za-z0-9_]+') AS own FROM xq JOIN benchmark ON item_id = query_id),
+ox AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY length(name) + CASE WHEN list_contains(own, name) THEN 20 ELSE 0 END DESC, name) AS position
+  FROM sw WHERE name IN (SELECT name FROM nd WHERE name <> '') QUALIFY position <= 2),
+tu AS (SELECT query_id, name, 0 AS turn FROM kn UNION ALL SELECT ox.query_id, ox.name, ox.position FROM ox LEFT JOIN kn USING (query_id) WHERE ox.name IS DISTINCT FROM kn.name),
+ex AS (SELECT query_id, id, 1.0::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY first_at, id) AS position FROM
+  (SELECT query_id, doc_id AS id, min({'t': turn, 'p': place}) AS first_at FROM (SELECT query_id, turn, doc_id, row_number() OVER (PARTITION BY query_id, name ORDER BY doc_id) AS place FROM tu JOIN nd USING (name)) WHERE place <= 3 GROUP BY ALL))"""
 _EXPANDED = "xq AS (" + search.ORACLE["expand_query"].replace("WITH t(intent_id", "WITH tt(intent_id").replace("FROM benchmark, t WHERE", "FROM benchmark, tt WHERE") + ")"
 _FULL_BM25 = search._BM25.replace("unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark)", "unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM (SELECT query_id AS item_id, expanded AS text FROM xq))")
 _TERMS = search.ORACLE["search_terms"].split("t AS (SELECT doc_id")[1].split(" FROM w)")[0].removeprefix(", ")
@@ -119,7 +126,7 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 w AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(expanded, '[A-Za-z0-9_]+')) AS name, regexp_extract_all(text, '[A-Za-z0-9_]+') AS own FROM xq JOIN benchmark ON item_id = query_id)
 SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY length(name) + CASE WHEN list_contains(own, name) THEN 20 ELSE 0 END DESC, name) AS position
 FROM w WHERE name IN (SELECT name FROM nd WHERE name <> '') QUALIFY position <= 2""",
-    "hybrid_full": f"""WITH {_NAMES}, {_KNOWN}, {_EXACT}, {_EXPANDED}, {_FULL_BM25}, {search._DENSE},
+    "hybrid_full": f"""WITH {_NAMES}, {_KNOWN}, {_EXPANDED}, {_OTHER}, {_FULL_BM25}, {search._DENSE},
 li AS (SELECT query_id, 0 AS source, rank, id FROM dk WHERE rank <= 36 UNION ALL SELECT query_id, 1, rank, doc_id FROM k WHERE rank <= 36),
 fu AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (25 + rank)), 9) AS score, min({{'s': source, 'r': rank}}) AS first FROM li GROUP BY ALL),
 fp AS (SELECT fu.*, coalesce(nd.name = kn.name, false) AS named, lang = 'fr' AS preferred, length(text) > 2000 AS signed,

@@ -94,6 +94,19 @@ def lint_reports(spark, sf_dir):
     return _issues(spark, sf_dir).select("doc_id", "block", rules.lint_report(F.col("issues"), "WARNING").alias("report"))
 
 
+WORDS = {"ERROR": "error(s)", "WARNING": "warning(s)", "INFO": "hint(s)"}
+WARNING = "Mend these errors first."
+
+
+def lint_markdown(spark, sf_dir):
+    """Each block's issues as Markdown, put under the block with a note on the model that gave it."""
+    rows = _issues(spark, sf_dir)
+    report = rules.lint_markdown(F.col("issues"), WORDS, "no issues")
+    used = F.when(F.col("doc_id") % 4 == 0, "small").otherwise("large")
+    shown = rules.banner(F.concat(F.lit("block "), F.col("block").cast("string")), F.lit("large"), used, F.when(F.size("issues") == 0, "").otherwise(report), rules.severity_count(F.col("issues"), "ERROR") > 0, WARNING)
+    return rows.select("doc_id", "block", report.alias("report"), shown.alias("shown"))
+
+
 def repair_blocks(spark, sf_dir):
     fixed = rules.in_blocks(F.col("answer"), lambda p: rules.repaired(p, REPAIRS))
     return answers(spark, sf_dir).select("doc_id", (fixed != F.col("answer")).alias("changed"), F.md5(fixed.cast("binary")).alias("fixed_md5"))
@@ -223,6 +236,12 @@ SELECT conv_id, turn, coalesce(array_to_string(list_concat(a, list_filter(b, lam
   coalesce(array_to_string(list_transform(issues, lambda x: x.id || ':' || coalesce(x.line, '-')), ','), '') AS issues FROM i""",
     "lint_reports": f"""WITH {_ISSUES} SELECT doc_id, block, coalesce(array_to_string(list_transform(list_concat(list_filter(issues, lambda x: x.severity = 'ERROR'), list_filter(issues, lambda x: x.severity = 'WARNING')),
   lambda x: x.severity || ' ' || x.id || coalesce(':' || x.line, '') || ' ' || x.message), chr(10)), '') AS report FROM i""",
+    "lint_markdown": f"""WITH {_ISSUES}, counted AS (SELECT *, len(list_filter(issues, lambda x: x.severity = 'ERROR')) AS ne, len(list_filter(issues, lambda x: x.severity = 'WARNING')) AS nw FROM i),
+written AS (SELECT *, CASE WHEN len(issues) = 0 THEN 'no issues' ELSE concat_ws(', ', CASE WHEN ne > 0 THEN ne || ' error(s)' END, CASE WHEN nw > 0 THEN nw || ' warning(s)' END) || chr(10) || chr(10) || array_to_string(list_transform(
+  list_concat(list_filter(issues, lambda x: x.severity = 'ERROR'), list_filter(issues, lambda x: x.severity = 'WARNING'), list_filter(issues, lambda x: x.severity = 'INFO')),
+  lambda x: '**' || CASE x.severity WHEN 'ERROR' THEN 'error(s)' WHEN 'WARNING' THEN 'warning(s)' ELSE 'hint(s)' END || '**' || coalesce(' *(line ' || x.line || ')*', '') || ': ' || x.message), chr(10)) END AS report FROM counted)
+SELECT doc_id, block, report, CASE WHEN doc_id % 4 = 0 THEN '*(answered by small; large was not available)*' || chr(10) || chr(10) ELSE '' END || 'block ' || block ||
+  CASE WHEN len(issues) = 0 THEN '' ELSE chr(10) || chr(10) || '---' || chr(10) || report || CASE WHEN ne > 0 THEN chr(10) || chr(10) || '{WARNING}' ELSE '' END END AS shown FROM written""",
     "repair_blocks": f"""WITH {_ANSWERS}, f AS (SELECT doc_id, answer, CASE doc_id % {len(BODIES)} WHEN 2 THEN replace(answer, '-- note' || chr(10), '{{ note }}' || chr(10)) WHEN 3 THEN replace(answer, 'clip(a)', 'part(a)') ELSE answer END AS fixed FROM a)
 SELECT doc_id, fixed <> answer AS changed, md5(fixed) AS fixed_md5 FROM f""",
     "gate_loops": f"""WITH {_ANSWERS} SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 AND len(list_filter(regexp_extract_all(answer, '(?is)```code[ \\n\\t]*(.*?)```', 1), lambda x: regexp_matches(x, '(?i)\\b(loop|repeat)\\b'))) > 0 THEN '{NOTICE}' ELSE answer END) AS shown_md5 FROM a""",

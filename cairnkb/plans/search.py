@@ -19,6 +19,7 @@ TRIGGERS = [
     (3, "tion of", "current state value"),
     (4, "nding", "search find lookup"),
 ]
+NAME = "(?:^|[^A-Za-z])([A-Z][a-z]{3,})"
 MARKERS = ["tion", "the ", "and ", "ing ", "er", "under", "ed "]
 
 
@@ -82,7 +83,7 @@ def expand_query(spark, sf_dir):
 
 
 def known_name_detect(spark, sf_dir):
-    first = documents(spark, sf_dir).select(F.regexp_extract("text", "^([A-Z][a-z]{3,})", 1).alias("name")).filter("name <> ''")
+    first = documents(spark, sf_dir).select(F.regexp_extract("text", NAME, 1).alias("name")).filter("name <> ''")
     return expand.known_name(questions(spark, sf_dir), first)
 
 
@@ -135,7 +136,7 @@ SELECT query_id, CASE WHEN n <= 2 THEN position WHEN r = 1 THEN 1 WHEN r = 2 THE
 h AS (SELECT DISTINCT item_id, intent_id, expansion FROM benchmark, t WHERE contains(lower(text), trigger)
   OR (NOT contains(trigger, ' ') AND length(trigger) >= 6 AND contains(lower(text), trigger[1 : greatest(6, CAST(floor(length(trigger) * 0.8) AS INT))])))
 SELECT item_id AS query_id, concat_ws(' ', text, (SELECT string_agg(expansion, ' ' ORDER BY intent_id) FROM h WHERE h.item_id = b.item_id)) AS expanded FROM benchmark b""",
-    "known_name_detect": """WITH n AS (SELECT DISTINCT regexp_extract(text, '^([A-Z][a-z]{3,})', 1) AS name FROM documents),
+    "known_name_detect": f"""WITH n AS (SELECT DISTINCT regexp_extract(text, '{NAME}', 1) AS name FROM documents),
 w AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS name FROM benchmark)
 SELECT query_id, name FROM w JOIN n USING (name) WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(name) DESC, name) = 1""",
     "adaptive_k": f"""SELECT item_id AS query_id, CAST(CASE WHEN n >= 5 THEN 10 WHEN n >= 3 THEN 8 ELSE 6 END AS BIGINT) AS k
