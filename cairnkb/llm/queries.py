@@ -182,19 +182,21 @@ _RECORD = (
 
 
 def _nodes(table: str, below: str) -> str:
-    return f"{table} AS (SELECT archive, seq // 16 AS seq, sha256(string_agg(a, '' ORDER BY seq)) AS a, sha256(string_agg(b, '' ORDER BY seq)) AS b FROM {below} GROUP BY ALL)"
+    return f"{table} AS (SELECT archive, seq // 16 AS seq, sha256(string_agg(a, '' ORDER BY seq)) AS a, sha256(string_agg(b, '' ORDER BY seq)) AS b, sha256(string_agg(ra, '' ORDER BY seq)) AS ra, sha256(string_agg(rb, '' ORDER BY seq)) AS rb FROM {below} GROUP BY ALL)"
 
 
 ORACLE["op7_warc"] = f"""
 WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, chr(13) || chr(10) AS nl,
   CASE WHEN page_id % 97 = 13 THEN left(coalesce(html, ''), greatest(0, length(coalesce(html, '')) - 1)) ELSE coalesce(html, '') END AS rotten FROM pages),
-h AS (SELECT page_id, url, sha256({_RECORD.format(body="html")}) AS a, sha256({_RECORD.format(body="rotten")}) AS b, strlen({_RECORD.format(body="html")}) AS n FROM p),
+h AS (SELECT page_id, url, sha256({_RECORD.format(body="html")}) AS a, sha256({_RECORD.format(body="rotten")}) AS b, strlen({_RECORD.format(body="html")}) AS n, strlen({_RECORD.format(body="rotten")}) AS nb FROM p),
 r AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, url, a) - 1 AS rank FROM h),
-l0 AS (SELECT page_id, a, b, n, rank // 1000 AS archive, rank % 1000 AS seq, CAST(sum(n) OVER (PARTITION BY rank // 1000 ORDER BY rank) AS BIGINT) AS stop FROM r),
+k AS (SELECT page_id, a, b, n, nb, rank // 1000 AS archive, rank % 1000 AS seq, CAST(sum(n) OVER (PARTITION BY rank // 1000 ORDER BY rank) AS BIGINT) AS stop, CAST(sum(nb) OVER (PARTITION BY rank // 1000 ORDER BY rank) AS BIGINT) AS stop_b FROM r),
+l0 AS (SELECT *, sha256((stop - n) || '-' || stop) AS ra, sha256((stop_b - nb) || '-' || stop_b) AS rb FROM k),
 {_nodes("l1", "l0")}, {_nodes("l2", "l1")}, {_nodes("l3", "l2")}
 SELECT archive, count(*) AS n_records, CAST(sum(n) AS BIGINT) AS n_bytes, any_value(l3.a) AS root, any_value(l3.b) AS replica_root,
   count(*) FILTER (l0.a <> l0.b) AS n_bad, coalesce(string_agg(coalesce(CAST(page_id AS VARCHAR), ''), ',' ORDER BY l0.seq) FILTER (l0.a <> l0.b), '') AS bad_ids,
-  coalesce(string_agg(CAST(stop - n AS VARCHAR) || '-' || CAST(stop AS VARCHAR), ',' ORDER BY l0.seq) FILTER (l0.a <> l0.b), '') AS bad_ranges
+  coalesce(string_agg(CAST(stop - n AS VARCHAR) || '-' || CAST(stop AS VARCHAR), ',' ORDER BY l0.seq) FILTER (l0.a <> l0.b), '') AS bad_ranges,
+  any_value(l3.ra) AS index_root, any_value(l3.rb) AS replica_index_root, count(*) FILTER (stop <> stop_b OR stop - n <> stop_b - nb) AS n_moved
 FROM l0 JOIN l3 USING (archive) GROUP BY archive"""
 
 _TERM = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"

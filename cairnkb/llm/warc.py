@@ -3,9 +3,10 @@
 A replica is a table of records ``(archive, seq, sha256, start, stop)``, the bytes from start
 to stop of its archive. Leaves are the records' hashes in order of offset; a node hashes the
 ``FANOUT`` nodes below it and covers their range of offsets, so no group is larger than that.
-Two replicas are compared at their roots, then only below nodes that differ, level by level,
-down to the records at fault and their ranges. Offsets are not hashed: a record that has
-lost bytes moves all after it, which are sound.
+Beside the hash of its contents a node has one of its ordered offset ranges: a record that has
+lost bytes moves all after it, whose contents are sound. Two replicas are compared at their
+roots, by either hash, then only below nodes that differ, level by level, down to the records
+at fault or moved, and their ranges.
 """
 
 from __future__ import annotations
@@ -116,34 +117,40 @@ def levels(size: int = ARCHIVE, fanout: int = FANOUT) -> int:
 
 
 def tree(leaves: DataFrame, height: int, fanout: int = FANOUT) -> DataFrame:
-    """``(archive, level, node, hash, start, stop)`` of all nodes over ``leaves(archive, seq, sha256, start, stop)``; level 0 are the leaves."""
-    below = leaves.select("archive", F.col("seq").alias("node"), F.col("sha256").alias("hash"), "start", "stop")
+    """``(archive, level, node, hash, ranges, start, stop)`` of all nodes over ``leaves(archive, seq, sha256, start, stop)``; level 0 are the leaves.
+
+    ``hash`` goes by the contents and ``ranges`` by the offsets of what is below, in order.
+    """
+    own = F.sha2(F.concat_ws("-", F.col("start").cast("string"), F.col("stop").cast("string")), 256)
+    below = leaves.select("archive", F.col("seq").alias("node"), F.col("sha256").alias("hash"), own.alias("ranges"), "start", "stop")
     out = below.withColumn("level", F.lit(0))
     for level in range(1, height + 1):
         grouped = below.groupBy("archive", F.floor(F.col("node") / fanout).cast("long").alias("node"))
-        children = F.transform(F.array_sort(F.collect_list(F.struct(F.col("node").alias("at"), "hash"))), lambda x: x["hash"])
-        below = grouped.agg(F.sha2(F.array_join(children, ""), 256).alias("hash"), F.min("start").alias("start"), F.max("stop").alias("stop"))
+        children = F.array_sort(F.collect_list(F.struct(F.col("node").alias("at"), "hash", "ranges")))
+        of = lambda name: F.sha2(F.array_join(F.transform(F.col("children"), lambda x: x[name]), ""), 256).alias(name)  # noqa: B023, E731
+        below = grouped.agg(children.alias("children"), F.min("start").alias("start"), F.max("stop").alias("stop")).select("archive", "node", of("hash"), of("ranges"), "start", "stop")
         out = out.unionByName(below.withColumn("level", F.lit(level)))
     return out
 
 
-def audit(one: DataFrame, other: DataFrame, height: int, fanout: int = FANOUT) -> DataFrame:
+def audit(one: DataFrame, other: DataFrame, height: int, fanout: int = FANOUT, by: str = "hash") -> DataFrame:
     """``(archive, seq, sha256, other_sha256, start, stop)``: the records of two replicas that differ, or that one of them lacks.
 
-    ``one`` and ``other`` are trees, written. Starts with the roots that differ; each level
-    joins the children of differing nodes only. Offsets are the first replica's, where it has the record.
+    ``one`` and ``other`` are trees, written. Starts with the roots that differ ``by`` their
+    ``hash``, or by ``ranges`` for records whose offsets do; each level joins the children of
+    differing nodes only. Offsets are the first replica's, where it has the record.
     """
 
     def differing(level: int, within: DataFrame | None) -> DataFrame:
-        left, right = (x.filter(F.col("level") == level).select("archive", "node", "hash", "start", "stop") for x in (one, other))
+        left, right = (x.filter(F.col("level") == level).select("archive", "node", "hash", F.col(by).alias("by"), "start", "stop") for x in (one, other))
         if within is not None:
             left, right = (
                 x.withColumn("parent", F.floor(F.col("node") / fanout).cast("long")).join(within, ["archive", "parent"], "left_semi").drop("parent")
                 for x in (left, right)
             )
-        right = right.withColumnsRenamed({"hash": "other", "start": "other_start", "stop": "other_stop"})
+        right = right.withColumnsRenamed({"hash": "other", "by": "other_by", "start": "other_start", "stop": "other_stop"})
         joined = left.join(right, ["archive", "node"], "full")
-        return joined.filter(~F.col("hash").eqNullSafe(F.col("other")))
+        return joined.filter(~F.col("by").eqNullSafe(F.col("other_by")))
 
     bad = differing(height, None)
     for level in range(height - 1, -1, -1):
@@ -155,8 +162,9 @@ def audit(one: DataFrame, other: DataFrame, height: int, fanout: int = FANOUT) -
 
 
 def fixity_report(replica: DataFrame) -> DataFrame:
-    """A row for each archive: records, bytes, both roots, and in order of place the page ids at fault
-    and the byte ranges where the first replica has them.
+    """A row for each archive: records, bytes, both roots, in order of place the page ids at fault
+    and the byte ranges where the first replica has them; both roots of the offset ranges, and
+    how many records the second replica has elsewhere.
 
     ``replica`` has ``(page_id, url, html, rotten)``; ``rotten`` is the page as the second
     replica has it. Records are ordered by page_id (nulls first), url and
@@ -166,19 +174,25 @@ def fixity_report(replica: DataFrame) -> DataFrame:
     raw = record(F.col("url"), F.col("html"))
     leaves = replica.select(
         "page_id", F.coalesce("url", F.lit("")).alias("url"), F.sha2(raw, 256).alias("sha256"), F.octet_length(raw).cast("long").alias("length"),
-        F.sha2(record(F.col("url"), F.col("rotten")), 256).alias("other"),
+        F.sha2(record(F.col("url"), F.col("rotten")), 256).alias("other"), F.octet_length(record(F.col("url"), F.col("rotten"))).cast("long").alias("other_length"),
     )
     placed = numbered(leaves, ["page_id", "url", "sha256"])
     so_far = Window.partitionBy("archive").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = save(placed.withColumn("stop", F.sum("length").over(so_far)).withColumn("start", F.col("stop") - F.col("length")), "records")
+    ends = {"stop": F.sum("length").over(so_far), "other_stop": F.sum("other_length").over(so_far)}
+    placed = placed.withColumns(ends).withColumns({"start": F.col("stop") - F.col("length"), "other_start": F.col("other_stop") - F.col("other_length")})
+    placed = save(placed, "records")
     height = levels()
-    one, other = (save(tree(placed.select("archive", "seq", F.col(c).alias("sha256"), "start", "stop"), height), "tree") for c in ("sha256", "other"))
+    sides = (("sha256", "start", "stop"), ("other", "other_start", "other_stop"))
+    one, other = (save(tree(placed.select("archive", "seq", F.col(c).alias("sha256"), F.col(a).alias("start"), F.col(z).alias("stop")), height), "tree") for c, a, z in sides)
     bad = audit(one, other, height).select("archive", "seq", F.lit(True).alias("bad"))
-    roots, roots_b = (x.filter(F.col("level") == height).select("archive", F.col("hash").alias(name)) for x, name in ((one, "root"), (other, "replica_root")))
+    moved = audit(one, other, height, by="ranges").groupBy("archive").agg(F.count("*").alias("n_moved"))
+    names = (("root", "index_root"), ("replica_root", "replica_index_root"))
+    roots, roots_b = (x.filter(F.col("level") == height).select("archive", F.col("hash").alias(a), F.col("ranges").alias(b)) for x, (a, b) in zip((one, other), names, strict=True))
     at_fault = F.filter(F.array_sort(F.collect_list(F.when(F.col("bad"), F.struct("seq", "page_id", "start", "stop")))), lambda x: x.isNotNull())
     per = placed.join(bad, ["archive", "seq"], "left").groupBy("archive").agg(
         F.count("*").alias("n_records"), F.sum("length").alias("n_bytes"), F.count("bad").alias("n_bad"),
         F.array_join(F.transform(at_fault, lambda x: F.coalesce(x["page_id"].cast("string"), F.lit(""))), ",").alias("bad_ids"),
         F.array_join(F.transform(at_fault, lambda x: F.concat_ws("-", x["start"].cast("string"), x["stop"].cast("string"))), ",").alias("bad_ranges"),
     )
-    return per.join(roots, "archive").join(roots_b, "archive").select("archive", "n_records", "n_bytes", "root", "replica_root", "n_bad", "bad_ids", "bad_ranges")
+    out = per.join(roots, "archive").join(roots_b, "archive").join(moved, "archive", "left").na.fill(0, ["n_moved"])
+    return out.select("archive", "n_records", "n_bytes", "root", "replica_root", "n_bad", "bad_ids", "bad_ranges", "index_root", "replica_index_root", "n_moved")

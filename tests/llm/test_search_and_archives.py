@@ -74,6 +74,17 @@ def test_damaged_archives_are_reported(spark, tmp_path):
     assert sum(r.length for r in a) == len(raw) and [r.problem for r in rows if r not in a] == ["the header does not end"]
 
 
+def test_moved_ranges_are_found_where_contents_are_alike(spark):
+    """An index that gives two records each other's place, and one that is a byte off from some record on."""
+    one = spark.createDataFrame([(0, i, f"h{i}", 10 * i, 10 * i + 10) for i in range(40)], "archive long, seq long, sha256 string, start long, stop long")
+    swapped = one.withColumns({c: F.when(F.col("seq") == 5, F.col(c) + 10).when(F.col("seq") == 6, F.col(c) - 10).otherwise(F.col(c)) for c in ("start", "stop")})
+    late = one.withColumns({"start": F.when(F.col("seq") > 37, F.col("start") + 1).otherwise(F.col("start")), "stop": F.when(F.col("seq") > 36, F.col("stop") + 1).otherwise(F.col("stop"))})
+    height = warc.levels(40)
+    trees = [warc.tree(x, height) for x in (one, swapped, late)]
+    assert [sorted(r.seq for r in warc.audit(trees[0], x, height, by="ranges").collect()) for x in trees] == [[], [5, 6], [37, 38, 39]]
+    assert warc.audit(trees[0], trees[1], height).count() == 0
+
+
 def test_report_edges(spark):
     schema = "page_id long, url string, html string, rotten string, archive string, seq int"
     assert warc.fixity_report(spark.createDataFrame([], schema)).count() == 0
@@ -81,3 +92,4 @@ def test_report_edges(spark):
     r = warc.fixity_report(spark.createDataFrame(rows, schema)).first()
     assert (r.n_records, r.n_bad, r.bad_ids, r.root != r.replica_root) == (4, 1, "2", True)
     assert r.bad_ranges.endswith(f"-{r.n_bytes}")
+    assert r.n_moved == 1 and r.index_root != r.replica_index_root
