@@ -8,7 +8,7 @@ and only sums leave a cell.
 
 The largest terms of each group are found by radix select: histograms over the bits of the
 values, from the top, narrow each group's k-th value down; ties at it are narrowed by
-histograms over the bytes of the terms. No group is ever sorted or gathered.
+histograms over the bytes of the terms. What is at last ranked is a bounded number of rows a group.
 """
 
 from __future__ import annotations
