@@ -83,3 +83,8 @@ def cached(entries: DataFrame, now: Column, keep_seconds: int = 86_400) -> DataF
     rows = entries.select("key", parsed.alias("e")).filter("e.ts is not null and e.response is not null")
     last = rows.groupBy("key").agg(F.max_by("e", F.struct("e.ts", "e.response")).alias("e"))
     return last.filter(now - F.col("e.ts") <= keep_seconds).select("key", "e.ts", "e.response", "e.docs")
+
+
+def preview(rows: DataFrame, *order: str, n: int = 5) -> DataFrame:
+    """The first n rows in the given order: what a dry run shows of an ingest."""
+    return rows.orderBy(*order).limit(n)

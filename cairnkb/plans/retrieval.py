@@ -86,6 +86,13 @@ def answer_sources(spark, sf_dir):
     return top.select("query_id", "rank", label.alias("label"), F.round("score", 3).alias("score"), F.right(label, F.lit(8)).alias("short"))
 
 
+def hint_names(spark, sf_dir):
+    """The first three different names of each question's eight best documents."""
+    top = search.bm25_topk(spark, sf_dir).filter("rank <= 8").join(_named(spark, sf_dir).select("doc_id", "name"), "doc_id")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"])
+    return top.groupBy("query_id").agg(F.array_join(ranking.distinct_first(names, 3), ", ").alias("names"))
+
+
 def skill_profiles(spark, sf_dir):
     words = bm25.tokens(F.col("text"))
     return search.questions(spark, sf_dir).select("query_id", context.profile(words, PROFILES, "general").alias("profile"))
@@ -141,6 +148,9 @@ SELECT query_id, CASE WHEN n <= 2 THEN position WHEN r = 1 THEN 1 WHEN r = 2 THE
 FROM k JOIN documents USING (doc_id) WHERE rank <= 10""",
     "answer_sources": f"""WITH {search._BM25}, l AS (SELECT query_id, rank, array_to_string(string_split(concat_ws(' — ', lang, 'document ' || doc_id, 'whole'), ' — ')[1:2], ' — ') AS label, score FROM k JOIN documents USING (doc_id) WHERE rank <= 3)
 SELECT query_id, rank, label, round(score, 3) AS score, right(label, 8) AS short FROM l""",
+    "hint_names": f"""WITH {_NAMES}, {search._BM25}, t AS (SELECT query_id, rank, name FROM k JOIN nd USING (doc_id) WHERE rank <= 8),
+g AS (SELECT query_id, name, min(rank) AS r FROM t WHERE name <> '' GROUP BY query_id, name), f AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r) <= 3)
+SELECT q.query_id, coalesce(n.names, '') AS names FROM (SELECT DISTINCT query_id FROM t) q LEFT JOIN (SELECT query_id, string_agg(name, ', ' ORDER BY r) AS names FROM f GROUP BY query_id) n USING (query_id)""",
     "skill_profiles": f"""SELECT item_id AS query_id, CASE {" ".join(f"WHEN len(list_intersect(w, {keys})) > 0 THEN '{name}'" for name, keys in PROFILES)} ELSE 'general' END AS profile
 FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM benchmark)""",
 }

@@ -65,6 +65,12 @@ def known_names(spark, sf_dir):
     return knowledge.known_names(text.features(_chunks(spark, sf_dir), STOP_WORDS), before)
 
 
+def ingest_preview(spark, sf_dir):
+    """What a dry run shows: the first five chunks, and whether they are urgent."""
+    rows = _chunks(spark, sf_dir).withColumn("urgent", knowledge.is_urgent(F.col("priority")))
+    return knowledge.preview(rows, "path", "ordinal").select("path", "ordinal", "chunk_id", "urgent")
+
+
 def _corpus(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     prefix = F.when(F.col("doc_id") % 2 == 0, "kb_").otherwise("web_")
@@ -129,6 +135,7 @@ SELECT doc_id, body_md5, x.f AS field, x.k AS kind, x.i AS items FROM v""",
     "search_texts": f"""WITH {_CHUNKS} SELECT chunk_id, md5(trim(text || ' ' || CASE WHEN function_name <> '' THEN 'GetTotal GetTotal GetTotal Get Total' ELSE tags END || CASE WHEN signature <> '' THEN ' ' || signature ELSE '' END)) AS search_md5 FROM fn""",
     "ingest_manifest": f"""WITH {_CHUNKS} SELECT count(*) AS n_chunks, count(DISTINCT path) AS n_files, count(*) FILTER (function_name <> '') AS n_named,
   CAST(floor(100.0 * count(*) FILTER (has_code) / greatest(count(*), 1)) AS BIGINT) AS code_percent, CAST(floor(100.0 * count(*) FILTER (function_name <> '') / greatest(count(*), 1)) AS BIGINT) AS named_percent FROM fn""",
+    "ingest_preview": f"WITH {_CHUNKS} SELECT path, CAST(ordinal AS BIGINT) AS ordinal, chunk_id, priority = 'high' AS urgent FROM c ORDER BY path, ordinal LIMIT 5",
     "known_names": f"WITH {_CHUNKS} SELECT DISTINCT function_name AS name FROM fn WHERE function_name <> '' UNION SELECT unnest(['Before', 'GetTotal'])",
     "additive_ingest": f"WITH {_CORPUS} SELECT * FROM e WHERE starts_with(chunk_id, 'web_') AND content_hash NOT IN (SELECT content_hash FROM e WHERE starts_with(chunk_id, 'kb_'))",
     "corpus_merge": f"WITH {_CORPUS} SELECT * FROM e WHERE starts_with(chunk_id, 'web_') OR lang = 'en'",
