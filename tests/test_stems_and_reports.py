@@ -5,7 +5,7 @@ from cairnkb.functions import stem
 from cairnkb.operators import accounts, context, knowledge, rules, text
 from pyspark.sql import functions as F
 
-# Words and stems of the sample that the description is published with.
+# Words and stems of the sample that the description is published with, as remembered: the sample itself is not at hand.
 SAMPLE = """continu continu, continua continu, continuait continu, continuant continu, continuation continu, continue continu, continué continu,
 continuel continuel, continuelle continuel, continuellement continuel, continuera continu, continuité continu, continuons continuon, contorsions contors,
 contournait contourn, contractée contract, contradictoirement contradictoir, contraindre contraindr, contraintes contraint, mains main,
