@@ -48,7 +48,7 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)).cast("double") / F.nullif(union, F.lit(0)))
 
 
-def calls(text: Column, keywords: list[str], tag: str = "code", call: str = r"\b([A-Z][A-Za-z0-9]+)\s*\(") -> Column:
+def calls(text: Column, keywords: list[str], tag: str, call: str) -> Column:
     """Names called in the tagged blocks, distinct, without keywords; the first group of ``call`` is a name."""
     code = F.array_join(F.regexp_extract_all(text, F.lit(rf"(?s)```{tag}(.*?)```"), 1), "\n")
     return F.array_except(F.regexp_extract_all(code, F.lit(call), 1), F.array(*map(F.lit, keywords)))

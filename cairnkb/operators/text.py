@@ -116,19 +116,22 @@ def chunks(files: DataFrame, target: int = TARGET, least: int = LEAST) -> DataFr
     )
 
 
-def features(chunk: DataFrame, stop_words: list[str]) -> DataFrame:
+def features(chunk: DataFrame, stop_words: list[str], types: list[str], signature: str, name: str, marker: str = "Signature") -> DataFrame:
     """``has_code``, ``has_signature``, ``function_name``, ``signature``, ``return_type`` of ``chunk(section, text)``.
 
-    A function's name is the title's first word if it is an identifier with a capital, no
-    stop word, and the section has a signature or the word is long and Pascal-cased.
+    What a function looks like is the caller's to say: ``signature`` is a pattern whose first
+    group is one, ``types`` are the words one can begin with, ``marker`` announces one, in bold
+    or near the top. A function's name is the title's first word if it is an identifier with
+    a capital, no stop word, and the section has a signature or the word fits ``name``.
     """
     word = F.regexp_replace(F.element_at(F.split(F.trim("section"), " "), 1), r"[()]+$", "")
-    signed = F.contains("text", F.lit("**Signature**")) | F.contains(F.left("text", F.lit(80)), F.lit("Signature"))
-    named = word.rlike("^[A-Z][A-Za-z0-9_]*$") & ~word.isin(*stop_words) & (signed | (word.rlike("[A-Z][a-z][A-Za-z0-9]+") & (F.length(word) > 3)))
-    signature = F.trim(F.regexp_extract("text", r"`([A-Za-z][A-Za-z0-9 |<>().,?_*]+)`[ ]*\n", 1))
+    signed = F.contains("text", F.lit(f"**{marker}**")) | F.contains(F.left("text", F.lit(80)), F.lit(marker))
+    named = word.rlike("^[A-Z][A-Za-z0-9_]*$") & ~word.isin(*stop_words) & (signed | word.rlike(name))
+    found = F.trim(F.regexp_extract("text", signature, 1))
+    kind = F.regexp_extract(found, r"^(\w*)", 1)
     return chunk.select(
         "*", F.contains("text", F.lit("```")).alias("has_code"), signed.alias("has_signature"), F.when(named, word).otherwise("").alias("function_name"),
-        F.left(signature, F.lit(200)).alias("signature"), F.regexp_extract(signature, "^(String|Integer|Fractional|Logical|Datetime|Date|Time|Void)", 1).alias("return_type"),
+        F.left(found, F.lit(200)).alias("signature"), F.when(kind.isin(*types), kind).otherwise("").alias("return_type"),
     )
 
 

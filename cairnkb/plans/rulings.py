@@ -166,7 +166,7 @@ def run_verdicts(spark, sf_dir):
 
 
 def called_names(spark, sf_dir):
-    names = evals.calls(F.col("answer"), [])
+    names = evals.calls(F.col("answer"), [], "code", r"\b([A-Z][A-Za-z0-9]+)\s*\(")
     return answers(spark, sf_dir).select("doc_id", F.array_join(F.array_sort(names), ",").alias("names"))
 
 

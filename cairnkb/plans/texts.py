@@ -10,6 +10,10 @@ from ..sources import readers
 
 TARGET, LEAST = 700, 60
 STOP_WORDS = ["Part", "Notes"]
+#: How functions look in the files made below: a line's end with a type, a name and arguments in backticks.
+TYPES = ["String", "Number", "Flag"]
+SIGNATURE = r"`(\w+ \w+\([^`\n]*\))`\n"
+NAME = "^[A-Z][a-z]+[A-Z]"
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,27 +46,31 @@ def _chunks(spark, sf_dir):
     return text.chunks(files(spark, sf_dir), TARGET, LEAST)
 
 
+def _described(spark, sf_dir):
+    return text.features(_chunks(spark, sf_dir), STOP_WORDS, TYPES, SIGNATURE, NAME)
+
+
 def chunk_sections(spark, sf_dir):
     return _chunks(spark, sf_dir).select("chunk_id", "path", "section", "ordinal", "priority", "tags", "content_hash", F.length("text").cast("long").alias("n_chars"))
 
 
 def chunk_features(spark, sf_dir):
-    return text.features(_chunks(spark, sf_dir), STOP_WORDS).select("chunk_id", "has_code", "has_signature", "function_name", "signature", "return_type")
+    return _described(spark, sf_dir).select("chunk_id", "has_code", "has_signature", "function_name", "signature", "return_type")
 
 
 def search_texts(spark, sf_dir):
-    described = text.features(_chunks(spark, sf_dir), STOP_WORDS)
+    described = _described(spark, sf_dir)
     found = text.search_text(F.col("text"), F.col("function_name"), F.col("signature"), F.col("tags"))
     return described.select("chunk_id", F.md5(found.cast("binary")).alias("search_md5"))
 
 
 def ingest_manifest(spark, sf_dir):
-    return knowledge.manifest(text.features(_chunks(spark, sf_dir), STOP_WORDS))
+    return knowledge.manifest(_described(spark, sf_dir))
 
 
 def known_names(spark, sf_dir):
     before = spark.createDataFrame([("Before",), ("GetTotal",)], "name string")
-    return knowledge.known_names(text.features(_chunks(spark, sf_dir), STOP_WORDS), before)
+    return knowledge.known_names(_described(spark, sf_dir), before)
 
 
 def ingest_preview(spark, sf_dir):
@@ -121,8 +129,8 @@ b AS (SELECT path, priority, tags, s, section, unnest(list_append(r.done, r.cur)
 c AS (SELECT 'kb_' || md5(path || '::' || section || '::' || CAST(s * 1000 + b AS VARCHAR))[1:16] AS chunk_id, path, section, s * 1000 + b AS ordinal, text, priority, tags
   FROM b WHERE length(trim(regexp_replace(text, '^## [^\\n]*', ''))) >= {LEAST}),
 fe AS (SELECT *, contains(text, '```') AS has_code, contains(text, '**Signature**') OR contains(text[1:80], 'Signature') AS has_signature,
-  trim(regexp_extract(text, '`([A-Za-z][A-Za-z0-9 |<>().,?_*]+)`[ ]*\\n', 1)) AS signature FROM c),
-fn AS (SELECT *, CASE WHEN section = 'GetTotal()' THEN 'GetTotal' ELSE '' END AS function_name, regexp_extract(signature, '^(String|Integer|Fractional|Logical|Datetime|Date|Time|Void)', 1) AS return_type FROM fe)"""
+  trim(regexp_extract(text, '`(\\w+ \\w+\\([^`\\n]*\\))`\\n', 1)) AS signature FROM c),
+fn AS (SELECT *, CASE WHEN section = 'GetTotal()' THEN 'GetTotal' ELSE '' END AS function_name, CASE WHEN split_part(signature, ' ', 1) IN ('String', 'Number', 'Flag') THEN split_part(signature, ' ', 1) ELSE '' END AS return_type FROM fe)"""
 _CORPUS = "e AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'kb_' ELSE 'web_' END || doc_id AS chunk_id, md5(coalesce(text, '')) AS content_hash, lang FROM documents)"
 
 ORACLE = {
