@@ -2,34 +2,29 @@
 
 A code of 64 bits is cut into m segments. If two codes differ in at most m * r + a bits, one
 of the first a + 1 segments differs in at most r bits or a later one in at most r - 1. So
-segments are probed one by one with growing radius, and a query ends once its k-th verified
-distance is at most the distance provably covered. Rows are searched in blocks, each by its
-own index, for the queries in blocks of bounded size. A task takes many blocks of rows one
-after another, each search ends at the k-th distance of those before, and only the task's k
-best of a query are shuffled.
+segments are probed with growing radius, and a query ends once its k-th verified distance is
+at most the distance provably covered.
+
+Distinct codes are keyed by the value of each segment, and the queries' probes of a radius
+are shuffled to them. Of all segments at which a pair meets, one is the first, and both codes
+tell which: the pair is taken there alone, so nothing is ever compared twice or made distinct.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import broadcast, save
+from .common import save
 
 K = 10
 BITS = 64
-#: Queries broadcast at once (16 bytes each).
-QUERY_BLOCK = 200_000
-#: Rows indexed at once within a task, the fewest that are worth a task of their own, and tasks a core.
-ROW_BLOCK = 100_000
-LEAST_BLOCK = 5_000
-TASKS = 4
+#: Bits of a segment: as many as tell the distinct codes apart, within these bounds.
+LEAST_BITS, MOST_BITS = 4, 20
+#: Codes that share a segment's value beyond this are dealt to several tasks, and its probes go to all of them.
+HOT = 20_000
+#: Values known to be hot that are broadcast (some 50 bytes each); more are joined by a shuffle.
+BROADCAST_VALUES = 100_000
 
 
 def with_codes(rows: DataFrame, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -42,120 +37,102 @@ def with_codes(rows: DataFrame, row_id: str = "vec_id", vector: str = "embedding
     return rows.filter(F.col(vector).isNotNull()).select(F.col(row_id).cast("long").alias("id"), code.alias("code"))
 
 
-def _masks(bits: int, radius: int) -> np.ndarray:
-    return np.array([sum(1 << i for i in x) for x in combinations(range(bits), radius)], np.int64)
-
-
-class SegmentIndex:
-    """Codes by the value of each segment, and the ids of each distinct code."""
-
-    def __init__(self, codes: np.ndarray, ids: np.ndarray, k: int):
-        order = np.lexsort((ids, codes))
-        codes, ids = codes[order], ids[order]
-        self.codes, first, counts = np.unique(codes, return_index=True, return_counts=True)
-        # ties go to the smaller id, so no more than k ids of a code, and the one skipped, can be among the k best
-        self.ids = [ids[i : i + min(n, k + 1)] for i, n in zip(first.tolist(), counts.tolist(), strict=True)]
-        self.k = k
-        size = max(4, min(16, int(np.log2(max(2, len(self.codes))))))
-        self.bits = [size] * (BITS // size) + ([BITS % size] if BITS % size else [])
-        self.starts, self.order, self.shifts = [], [], np.cumsum([0, *self.bits[:-1]]).tolist()
-        for shift, bits in zip(self.shifts, self.bits, strict=True):
-            value = (self.codes >> np.uint64(shift)).astype(np.int64) & ((1 << bits) - 1)
-            self.order.append(np.argsort(value, kind="stable"))
-            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << bits))]))
-        self.masks: dict[tuple[int, int], np.ndarray] = {}
-
-    def _probe(self, j: int, value: int, radius: int) -> np.ndarray:
-        bits = self.bits[j]
-        if radius > bits:
-            return np.zeros(0, np.int64)
-        if (bits, radius) not in self.masks:
-            self.masks[bits, radius] = _masks(bits, radius)
-        keys = value ^ self.masks[bits, radius]
-        lo, hi = self.starts[j][keys], self.starts[j][keys + 1]
-        n = hi - lo
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return self.order[j][at]
-
-    def search(self, query: int, skip: int | None = None, within: int = BITS) -> list[tuple[int, int]]:
-        """The k nearest as (distance, id), in that order; ``skip`` is left out, and codes farther than ``within`` may be."""
-        seen = np.zeros(len(self.codes), bool)
-        near = np.zeros(BITS + 1, np.int64)  # ids found by distance, the skipped one included
-        need = self.k + (skip is not None)
-        found, distances = [], []
-        for radius in range(max(self.bits) + 1):
-            for j, (shift, bits) in enumerate(zip(self.shifts, self.bits, strict=True)):
-                new = self._probe(j, query >> shift & ((1 << bits) - 1), radius)
-                new = new[~seen[new]]
-                if len(new):
-                    seen[new] = True
-                    d = np.bitwise_count(self.codes[new] ^ np.uint64(query)).astype(np.int64)
-                    near += np.bincount(d, weights=[len(self.ids[i]) for i in new.tolist()], minlength=BITS + 1).astype(np.int64)
-                    found.append(new)
-                    distances.append(d)
-                reached = len(self.bits) * radius + j  # the distance provably covered
-                if reached >= within or near[: reached + 1].sum() >= need:
-                    return self._best(found, distances, need, skip)
-        return self._best(found, distances, need, skip)
-
-    def _best(self, found: list, distances: list, need: int, skip: int | None) -> list[tuple[int, int]]:
-        if not found:
-            return []
-        at, d = np.concatenate(found), np.concatenate(distances)
-        reach = np.sort(d)[min(need, len(d)) - 1]  # every code has an id, so the need-th id is no farther
-        rows = sorted((int(x), int(i)) for c, x in zip(at[d <= reach].tolist(), d[d <= reach].tolist(), strict=True) for i in self.ids[c])
-        return [x for x in rows if x[1] != skip][: self.k]
-
-
-def top_k(queries: DataFrame, rows: DataFrame, k: int = K, query_block: int = QUERY_BLOCK) -> DataFrame:
+def segments(n: int) -> list[tuple[int, int]]:
+    """``(first bit, bits)`` of each segment for n distinct codes: some log2 n bits each, as even as can be."""
+    most = max(LEAST_BITS, min(MOST_BITS, n.bit_length() - 1))
+    m = -(-BITS // most)
+    ends = [BITS * j // m for j in range(m + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _part(code: Column, first: int, bits: int) -> Column:
+    return F.shiftrightunsigned(code, first).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+
+def _keys(parts: list[tuple[int, int]], code: str) -> Column:
+    return F.array(*[F.struct(F.lit(j).alias("segment"), F.lit(x[1]).alias("bits"), _part(F.col(code), *x).alias("value")) for j, x in enumerate(parts)])
+
+
+def _masks(spark: SparkSession, parts: list[tuple[int, int]], radius: int) -> DataFrame:
+    """``(bits, mask)``: all numbers of a segment's bits of which ``radius`` are set, at most 184,756."""
+    first, *more = [spark.range(1 << bits).filter(F.bit_count("id") == radius).select(F.lit(bits).alias("bits"), F.col("id").alias("mask")) for bits in sorted({x[1] for x in parts})]
+    for x in more:
+        first = first.unionByName(x)
+    return first
+
+
+def _probes(state: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
+    """The values at this radius from those of each query, of the segments still needed to cover the distance ``within``."""
+    needed = F.filter(_keys(parts, "query"), lambda x: F.col("within") >= len(parts) * radius + x["segment"])
+    at = state.select("query_id", "query", "within", F.explode(needed).alias("at")).select("query_id", "query", "within", "at.*")
+    masks = F.broadcast(_masks(state.sparkSession, parts, radius))
+    return at.join(masks, "bits").select("segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), "query_id", "query", "within")
+
+
+def _first_met(parts: list[tuple[int, int]], segment: Column, differ: Column, radius: int) -> Column:
+    """Whether two codes meet at this segment and radius for the first time."""
+    met = F.lit(True)
+    for j, x in enumerate(parts):
+        apart = F.bit_count(_part(differ, *x))
+        met = met & F.when(segment > j, apart > radius).when(segment < j, apart >= radius).otherwise(True)
+    return met
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int = K, hot: int = HOT) -> DataFrame:
     """``(query_id, rank, id, distance)``: the k rows nearest to each query by Hamming distance, ties by id.
 
     Both sides have ``(id, code)``. A row is not its own neighbour: rows of the query's id are
-    left out. Rows without id cannot be told apart and are left out too; ids should be unique
-    (repeated rows of one id and code count once). Fewer than k other rows give fewer ranks.
-    Queries beyond ``query_block`` take a further pass over the rows a block.
+    left out. Rows without id cannot be told apart and are left out too, as are those without
+    code; ids should be unique (repeated rows of one id and code count once). Fewer than k other
+    rows give fewer ranks, and an empty side gives no rows. Other columns are not looked at.
+    Segment values that more than ``hot`` codes share are split.
     """
-    ship(rows.sparkSession)
-    rows = save(rows.filter("id is not null").distinct(), "codes")
-    asked = save(queries.filter("id is not null").distinct(), "queries")
-    n = rows.count()
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    tasks = max(1, min(TASKS * cores, max(cores, -(-n // ROW_BLOCK)), -(-n // LEAST_BLOCK)))
-    dealt = rows.repartition(tasks, "id")  # codes are small beside the work on them: a file of many would be one task's
-    parts = max(1, -(-asked.count() // query_block))
-    out = None
-    for part in range(parts):
-        mine = asked.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
-        block = broadcast(rows, [np.array(x, np.int64) for x in zip(*[(r.id, r.code) for r in mine.toLocalIterator()], strict=True)])
-
-        def search(batches: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            if not block.value:
-                return
-            asked = list(zip(block.value[0].tolist(), block.value[1].view(np.uint64).tolist(), strict=True))
-            best: list[list[tuple[int, int]]] = [[] for _ in asked]
-
-            def look(held: list[pd.DataFrame]) -> None:
-                x = pd.concat(held)
-                index = SegmentIndex(x["code"].to_numpy(np.int64).view(np.uint64), x["id"].to_numpy(np.int64), k)
-                for at, (query, code) in enumerate(asked):
-                    before = best[at]
-                    new = index.search(code, query, before[-1][0] if len(before) == k else BITS)
-                    best[at] = sorted(before + new)[:k] if before else new
-
-            held, size = [], 0
-            for batch in batches:
-                held.append(batch)
-                size += len(batch)
-                if size >= ROW_BLOCK:
-                    look(held)
-                    held, size = [], 0
-            if held:
-                look(held)
-            for at in range(0, len(asked), 10_000):
-                rows = [(query, d, i) for (query, _), found in zip(asked[at : at + 10_000], best[at : at + 10_000], strict=True) for d, i in found]
-                yield pd.DataFrame(rows, columns=["query_id", "distance", "id"])
-
-        found = dealt.mapInPandas(search, "query_id long, distance long, id long")
-        out = found if out is None else out.unionByName(found)
+    there = "id is not null and code is not null"
+    rows, asked = rows.filter(there).select("id", "code").distinct(), queries.filter(there).select("id", "code").distinct()
+    # ties go to the smaller id, so no more than k ids of a code, and the one skipped, can be among the k best
+    place = F.row_number().over(Window.partitionBy("code").orderBy("id"))
+    kept = rows.withColumn("place", place).filter(F.col("place") <= k + 1)
+    codes = save(kept.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
+    parts = segments(codes.count())
+    m, widest = len(parts), max(bits for _, bits in parts)
+
+    keyed = codes.select("code", "ids", F.explode(_keys(parts, "code")).alias("at")).select("at.segment", "at.value", "code", "ids")
+    full = save(keyed.groupBy("segment", "value").count().filter(F.col("count") > hot).select("segment", "value", F.ceil(F.col("count") / hot).cast("int").alias("n")), "hot_values")
+    n_full = full.limit(BROADCAST_VALUES + 1).count()
+    few = F.broadcast if n_full <= BROADCAST_VALUES else lambda x: x
+
+    def dealt(keys: DataFrame, salt: Column) -> DataFrame:
+        if not n_full:
+            return keys.withColumn("salt", F.lit(0))
+        return keys.join(few(full), ["segment", "value"], "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("salt", salt).drop("n")
+
+    keyed = dealt(keyed, F.pmod(F.xxhash64("code"), F.col("n")).cast("int"))
+    entry = "array<struct<distance:int,first:long,ids:array<long>>>"
+    state = asked.select(F.col("id").alias("query_id"), F.col("code").alias("query"), F.array().cast(entry).alias("best"), F.lit(BITS).alias("within"))
+    ended = []
+    for radius in range(widest + 1):
+        probes = dealt(_probes(state, parts, radius), F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        differ = F.col("query").bitwiseXOR(F.col("code"))
+        met = probes.join(keyed, ["segment", "value", "salt"]).filter(_first_met(parts, F.col("segment"), differ, radius))
+        near = met.withColumn("distance", F.bit_count(differ)).filter("distance <= within").select("query_id", "query", "distance", F.array_remove("ids", F.col("query_id")).alias("ids"))
+        # a code among those of the k best rows is among the k best codes by distance and smallest id
+        near = near.withColumn("first", F.get("ids", F.lit(0))).filter("first is not null")
+        place = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("distance", "first"))
+        new = near.withColumn("place", place).filter(F.col("place") <= k).groupBy("query_id", "query").agg(F.collect_list(F.struct("distance", "first", "ids")).alias("new"))
+        both = F.slice(F.array_sort(F.concat("best", F.coalesce("new", F.array().cast(entry)))), 1, k)
+        # the least distance within which there are k rows
+        sums = F.aggregate("best", F.struct(F.lit(0).alias("rows"), F.lit(BITS).alias("reach")), lambda a, x: F.struct((a["rows"] + F.size(x["ids"])).alias("rows"), F.when(a["rows"] >= k, a["reach"]).otherwise(x["distance"]).alias("reach")))
+        within = F.when(sums["rows"] >= k, sums["reach"]).otherwise(BITS)
+        state = save(state.join(new, ["query_id", "query"], "left").select("query_id", "query", both.alias("best")).withColumn("within", within), "nearest")
+        covered = m * (radius + 1) - 1
+        over = F.col("within") <= covered if radius < widest else F.lit(True)
+        ended.append(state.filter(over))
+        state = state.filter(~over)
+        if state.isEmpty():
+            break
+    out = ended[0]
+    for more in ended[1:]:
+        out = out.unionByName(more)
+    out = out.select("query_id", F.explode("best").alias("x")).select("query_id", F.col("x.distance").cast("long").alias("distance"), F.explode("x.ids").alias("id"))
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return out.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")

@@ -12,17 +12,15 @@ def signed(v):
     return v - 2**64 if v >= 2**63 else v
 
 
-@pytest.mark.parametrize("row_block", [100_000, 40])
-def test_top_k(spark, monkeypatch, row_block):
-    monkeypatch.setattr("cairnkb.llm.hamming.ROW_BLOCK", row_block)
-    monkeypatch.setattr("cairnkb.llm.hamming.TASKS", 1)
+@pytest.mark.parametrize("hot", [hamming.HOT, 3])
+def test_top_k(spark, hot):
     rng = random.Random(8)
     base = [rng.getrandbits(64) for _ in range(20)]
     codes = [(i, rng.choice(base) ^ (1 << rng.randrange(64)) if i % 3 else rng.getrandbits(64)) for i in range(400)]
     codes += [(1000 + i, base[0]) for i in range(30)]
     rows = spark.createDataFrame([(i, signed(c)) for i, c in codes] + [(None, 5)], "id long, code long")
     got = {}
-    for r in hamming.top_k(rows.filter("id % 20 = 0"), rows, 7, query_block=9).collect():
+    for r in hamming.top_k(rows.filter("id % 20 = 0"), rows, 7, hot).collect():
         got.setdefault(r.query_id, {})[r.rank] = (r.distance, r.id)
     for q, c in codes:
         if q % 20 == 0:
