@@ -64,9 +64,9 @@ def _masks(spark: SparkSession, parts: list[tuple[int, int]], radius: int) -> Da
 def _probes(state: DataFrame, parts: list[tuple[int, int]], radius: int) -> DataFrame:
     """The values at this radius from those of each query, of the segments still needed to cover the distance ``within``."""
     needed = F.filter(_keys(parts, "query"), lambda x: F.col("within") >= len(parts) * radius + x["segment"])
-    at = state.select("query_id", "query", "within", F.explode(needed).alias("at")).select("query_id", "query", "within", "at.*")
+    at = state.select("query", "within", F.explode(needed).alias("at")).select("query", "within", "at.*")
     masks = F.broadcast(_masks(state.sparkSession, parts, radius))
-    return at.join(masks, "bits").select("segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), "query_id", "query", "within")
+    return at.join(masks, "bits").select("segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), "query", "within")
 
 
 def _first_met(parts: list[tuple[int, int]], segment: Column, differ: Column, radius: int) -> Column:
@@ -89,9 +89,10 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K, hot: int = HOT) -> Da
     """
     there = "id is not null and code is not null"
     rows, asked = rows.filter(there).select("id", "code").distinct(), queries.filter(there).select("id", "code").distinct()
-    # ties go to the smaller id, so no more than k ids of a code, and the one skipped, can be among the k best
+    need = k + 1  # a query's own row is among the nearest to its code, and left out at the end
+    # ties go to the smaller id, so no more than the first ids of a code can be needed
     place = F.row_number().over(Window.partitionBy("code").orderBy("id"))
-    kept = rows.withColumn("place", place).filter(F.col("place") <= k + 1)
+    kept = rows.withColumn("place", place).filter(F.col("place") <= need)
     codes = save(kept.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")), "codes")
     parts = segments(codes.count())
     m, widest = len(parts), max(bits for _, bits in parts)
@@ -107,23 +108,23 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K, hot: int = HOT) -> Da
         return keys.join(few(full), ["segment", "value"], "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("salt", salt).drop("n")
 
     keyed = dealt(keyed, F.pmod(F.xxhash64("code"), F.col("n")).cast("int"))
+    # queries of one code are one search
     entry = "array<struct<distance:int,first:long,ids:array<long>>>"
-    state = asked.select(F.col("id").alias("query_id"), F.col("code").alias("query"), F.array().cast(entry).alias("best"), F.lit(BITS).alias("within"))
+    state = asked.select(F.col("code").alias("query")).distinct().select("query", F.array().cast(entry).alias("best"), F.lit(BITS).alias("within"))
     ended = []
     for radius in range(widest + 1):
         probes = dealt(_probes(state, parts, radius), F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         differ = F.col("query").bitwiseXOR(F.col("code"))
         met = probes.join(keyed, ["segment", "value", "salt"]).filter(_first_met(parts, F.col("segment"), differ, radius))
-        near = met.withColumn("distance", F.bit_count(differ)).filter("distance <= within").select("query_id", "query", "distance", F.array_remove("ids", F.col("query_id")).alias("ids"))
-        # a code among those of the k best rows is among the k best codes by distance and smallest id
-        near = near.withColumn("first", F.get("ids", F.lit(0))).filter("first is not null")
-        place = F.row_number().over(Window.partitionBy("query_id", "query").orderBy("distance", "first"))
-        new = near.withColumn("place", place).filter(F.col("place") <= k).groupBy("query_id", "query").agg(F.collect_list(F.struct("distance", "first", "ids")).alias("new"))
-        both = F.slice(F.array_sort(F.concat("best", F.coalesce("new", F.array().cast(entry)))), 1, k)
-        # the least distance within which there are k rows
-        sums = F.aggregate("best", F.struct(F.lit(0).alias("rows"), F.lit(BITS).alias("reach")), lambda a, x: F.struct((a["rows"] + F.size(x["ids"])).alias("rows"), F.when(a["rows"] >= k, a["reach"]).otherwise(x["distance"]).alias("reach")))
-        within = F.when(sums["rows"] >= k, sums["reach"]).otherwise(BITS)
-        state = save(state.join(new, ["query_id", "query"], "left").select("query_id", "query", both.alias("best")).withColumn("within", within), "nearest")
+        near = met.withColumn("distance", F.bit_count(differ)).filter("distance <= within").select("query", "distance", F.get("ids", F.lit(0)).alias("first"), "ids")
+        # a code among those of the first rows is among the first codes by distance and smallest id
+        place = F.row_number().over(Window.partitionBy("query").orderBy("distance", "first"))
+        new = near.withColumn("place", place).filter(F.col("place") <= need).groupBy("query").agg(F.collect_list(F.struct("distance", "first", "ids")).alias("new"))
+        both = F.slice(F.array_sort(F.concat("best", F.coalesce("new", F.array().cast(entry)))), 1, need)
+        # the least distance within which there are enough rows
+        sums = F.aggregate("best", F.struct(F.lit(0).alias("rows"), F.lit(BITS).alias("reach")), lambda a, x: F.struct((a["rows"] + F.size(x["ids"])).alias("rows"), F.when(a["rows"] >= need, a["reach"]).otherwise(x["distance"]).alias("reach")))
+        within = F.when(sums["rows"] >= need, sums["reach"]).otherwise(BITS)
+        state = save(state.join(new, "query", "left").select("query", both.alias("best")).withColumn("within", within), "nearest")
         covered = m * (radius + 1) - 1
         over = F.col("within") <= covered if radius < widest else F.lit(True)
         ended.append(state.filter(over))
@@ -133,6 +134,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K, hot: int = HOT) -> Da
     out = ended[0]
     for more in ended[1:]:
         out = out.unionByName(more)
-    out = out.select("query_id", F.explode("best").alias("x")).select("query_id", F.col("x.distance").cast("long").alias("distance"), F.explode("x.ids").alias("id"))
+    entries = asked.join(out, asked["code"] == out["query"]).select(F.col("id").alias("query_id"), F.explode("best").alias("x"))
+    out = entries.select("query_id", F.col("x.distance").cast("long").alias("distance"), F.explode("x.ids").alias("id")).filter("id <> query_id")
     best = Window.partitionBy("query_id").orderBy("distance", "id")
     return out.withColumn("rank", F.row_number().over(best).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
