@@ -89,6 +89,20 @@ def lint_blocks(spark, sf_dir):
     )
 
 
+#: Checks of whole texts that report each place.
+EVERYWHERE = (
+    rules.Lint("number", "INFO", "a long number", "[0-9]{4,}", raw=True, every=True),
+    rules.Lint("tag", "WARNING", "markup in the text", "<[a-z]+|&[a-z]+;", raw=True, every=True),
+    rules.Lint("address", "INFO", "a plain address", "[a-z]+://[^ \n]+", raw=True, every=True),
+)
+
+
+def lint_matches(spark, sf_dir):
+    """Each place in the whole texts that a check finds, with its line."""
+    found = documents(spark, sf_dir).select("doc_id", F.explode(rules.lint(F.col("text"), EVERYWHERE)).alias("x"))
+    return found.groupBy("doc_id", "x.rule_id", "x.line").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("x.excerpt")), "|").cast("binary")).alias("excerpts_md5"))
+
+
 def lint_reports(spark, sf_dir):
     """Each block's issues of weight as a report, by severity."""
     return _issues(spark, sf_dir).select("doc_id", "block", rules.lint_report(F.col("issues"), "WARNING").alias("report"))
@@ -234,6 +248,10 @@ SELECT conv_id, turn, coalesce(array_to_string(list_concat(a, list_filter(b, lam
     "screen_documents": f"""SELECT doc_id, coalesce(array_to_string(a, '; '), '') AS alerts, {_BLOCKS.format("a")} AS blocked FROM (SELECT doc_id, {_alert_sql("text")} AS a FROM documents)""",
     "lint_blocks": f"""WITH {_ISSUES} SELECT doc_id, block, len(list_filter(issues, lambda x: x.severity = 'ERROR')) AS n_errors, len(list_filter(issues, lambda x: x.severity = 'WARNING')) AS n_warnings,
   coalesce(array_to_string(list_transform(issues, lambda x: x.id || ':' || coalesce(x.line, '-')), ','), '') AS issues FROM i""",
+    "lint_matches": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE trim(text, ' ' || chr(10) || chr(9) || chr(13)) <> ''),
+c(rule_id) AS (VALUES ('number'), ('tag'), ('address')),
+m AS (SELECT doc_id, rule_id, line, left(unnest(CASE rule_id WHEN 'number' THEN regexp_extract_all(s, '[0-9]{4,}') WHEN 'tag' THEN regexp_extract_all(s, '<[a-z]+|&[a-z]+;') ELSE regexp_extract_all(s, '[a-z]+://[^ ]+') END), 50) AS excerpt FROM l, c)
+SELECT doc_id, rule_id, line, count(*) AS n, md5(string_agg(excerpt, '|' ORDER BY excerpt)) AS excerpts_md5 FROM m GROUP BY ALL""",
     "lint_reports": f"""WITH {_ISSUES} SELECT doc_id, block, coalesce(array_to_string(list_transform(list_concat(list_filter(issues, lambda x: x.severity = 'ERROR'), list_filter(issues, lambda x: x.severity = 'WARNING')),
   lambda x: x.severity || ' ' || x.id || coalesce(':' || x.line, '') || ' ' || x.message), chr(10)), '') AS report FROM i""",
     "lint_markdown": f"""WITH {_ISSUES}, counted AS (SELECT *, len(list_filter(issues, lambda x: x.severity = 'ERROR')) AS ne, len(list_filter(issues, lambda x: x.severity = 'WARNING')) AS nw FROM i),

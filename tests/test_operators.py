@@ -80,6 +80,16 @@ def test_lint_and_repair(spark):
     assert r[2] == r[3] == []
 
 
+def test_lint_of_every_match(spark):
+    checks = (rules.Lint("old", "WARNING", "m", r"old\s*\(", every=True), rules.Lint("slash", "INFO", "m", r"//[^\n]*", raw=True, every=True), rules.Lint("any", "INFO", "m", "b", raw=True))
+    code = "a // one old(\nold( b old\n(b) // \x01two\n\n--old(\nold (é"
+    r = one(spark, rules.lint(lit(code), checks), rules.lint(lit("nothing"), checks), rules.lint(lit("").cast("string"), checks))
+    assert [(i.rule_id, i.line, i.excerpt) for i in r[0]] == [
+        ("old", 1, "old("), ("old", 2, "old("), ("old", 2, "old\n("), ("old", 6, "old ("), ("slash", 1, "// one old("), ("slash", 3, "// two"), ("any", 2, "b"),
+    ]
+    assert r[1] == r[2] == []
+
+
 def test_lint_report_orders_by_severity(spark):
     code = "-- x\nloop always\nnext\nshare y = 2"
     r = one(spark, rules.lint_report(rules.lint(lit(code), rulings.CHECKS), "WARNING"), rules.lint_report(rules.lint(lit("y = 1"), rulings.CHECKS)))
