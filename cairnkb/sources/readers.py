@@ -40,10 +40,16 @@ def session_logs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_json(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """Of the JSON files that match, the one of the last name."""
-    rows = spark.read.schema(schema).option("multiLine", True).json(pattern).withColumn("_file", F.col("_metadata.file_path"))
-    last = rows.agg(F.max("_file").alias("_file"))
-    return rows.join(F.broadcast(last), "_file", "left_semi").drop("_file")
+    """Of the JSON files that match, the one of the last name; the others are listed and not read.
+
+    No file gives no rows, as does a last file without any.
+    """
+    folder, _, names = pattern.rpartition("/")
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder or ".")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    last = listing(spark, folder or ".", names).agg(F.max("path")).first()[0]
+    return spark.createDataFrame([], schema) if last is None else spark.read.schema(schema).option("multiLine", True).json(last)
 
 
 def listing(spark: SparkSession, path: str, pattern: str) -> DataFrame:

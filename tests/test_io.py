@@ -20,8 +20,11 @@ def test_markdown_and_json(spark, tmp_path):
     for n in (1, 2):
         (tmp_path / f"run{n}.json").write_text(json.dumps({"n": n}))
     assert [r.n for r in readers.latest_json(spark, str(tmp_path / "run*.json"), "n int").collect()] == [2]
+    (tmp_path / "run3.json").write_text("[]")
+    assert readers.latest_json(spark, str(tmp_path / "run*.json"), "n int").count() == 0
+    assert readers.latest_json(spark, str(tmp_path / "no*.json"), "n int").count() == readers.latest_json(spark, str(tmp_path / "none/x*.json"), "n int").count() == 0
     assert readers.manifest(spark, str(tmp_path / "none.json"), "n int").count() == 0
-    assert readers.listing(spark, str(tmp_path), "*.json").count() == 3
+    assert readers.listing(spark, str(tmp_path), "*.json").count() == 4
     (tmp_path / "i.json").write_text(json.dumps({"ORD": {"title": "Orders", "functions": ["Total", "Count"]}}))
     assert sorted(readers.inventory(spark, str(tmp_path / "i.json")).select("code", F.explode("entry.functions").alias("f")).collect()) == [("ORD", "Count"), ("ORD", "Total")]
 
@@ -37,6 +40,37 @@ def test_writers(spark, tmp_path):
     assert "&lt;" in writers.html_report(spark.createDataFrame([("<",)], "a string")).first().html
 
 
+def test_relational_table(spark, tmp_path):
+    """Read in parts by key, with filters and columns left to the database."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.createDataFrame([(i, i % 3, f"q{i}") for i in range(30)], "id int, user_id int, question string")
+    rows.write.format("jdbc").options(url=url, dbtable="messages").save()
+    read = readers.table(spark, url, "messages", partitionColumn="id", lowerBound="0", upperBound="30", numPartitions="3")
+    assert read.rdd.getNumPartitions() == 3
+    mine = read.filter("user_id = 1").select("id")
+    assert sorted(r.id for r in mine.collect()) == list(range(1, 30, 3))
+    plan = mine._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(user_id,1)" in plan.replace("USER_ID", "user_id").replace("\"", "") and "question" not in plan.lower()
+
+
+def test_logs_and_appends(spark, tmp_path):
+    """A log's nested fields come back, a day's folder each; an append adds to what is there."""
+    said = spark.createDataFrame(
+        [("2024-01-01T10:00:00", "small", [("a.md", "One", "f", 1.5, True)], (False, 1, 0, ["x"]), "r"), ("2024-01-02T10:00:00", None, [], None, "")],
+        "timestamp string, model string, rag_sources array<struct<source string, section string, function_name string, score double, exact_match boolean>>, lint struct<clean boolean, errors int, warnings int, issues array<string>>, response string",
+    )
+    for _ in range(2):
+        writers.session_log(said, str(tmp_path / "log"))
+    back = readers.session_logs(spark, str(tmp_path / "log"))
+    assert back.count() == 4 and back.filter("model is null").count() == 2
+    first = back.filter("model = 'small'").first()
+    assert (first.rag_sources[0].score, first.lint.issues, first.question) == (1.5, ["x"], None)
+    assert len(list((tmp_path / "log").glob("day=*"))) == 2
+    for _ in range(2):
+        writers.append(said.select("timestamp", "model"), str(tmp_path / "rows"))
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 4
+
+
 def test_streamed_limits_and_upserts(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     rows = [(i, start + dt.timedelta(seconds=i), 1, "error", 2.0, '{"k": 1}') for i in range(12)]
