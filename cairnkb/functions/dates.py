@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Strftime codes and the pattern letters they stand for; short French day names, Monday first.
@@ -63,3 +63,18 @@ def last_active(t: Column, today: Column) -> Column:
 
 def dated_identifier(prefix: str, day: Column, number: Column) -> Column:
     return F.concat(F.lit(prefix), F.date_format(day, "yyyyMMdd"), F.lpad(number.cast("string"), 4, "0"))
+
+
+#: Days of a calendar that are broadcast (some 50 bytes each); more are joined by a shuffle.
+BROADCAST_DAYS = 100_000
+
+
+def with_holiday(rows: DataFrame, at: str, calendar: DataFrame, name: str = "holiday") -> DataFrame:
+    """``rows`` with ``name``: whether the day of ``at`` is among the days of ``calendar(day)``; false for no day.
+
+    Repeated days of the calendar count once, null ones for nothing. ``name`` must be no column of ``rows``.
+    """
+    days = calendar.select(F.to_date("day").alias(f"{name}_day")).filter(F.col(f"{name}_day").isNotNull()).distinct()
+    few = F.broadcast if days.limit(BROADCAST_DAYS + 1).count() <= BROADCAST_DAYS else lambda x: x
+    joined = rows.join(few(days), F.to_date(rows[at]) == days[f"{name}_day"], "left")
+    return joined.select(*[rows[c] for c in rows.columns], days[f"{name}_day"].isNotNull().alias(name))

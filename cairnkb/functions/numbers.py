@@ -31,6 +31,16 @@ def truncated(x: Column, n: int = 0) -> Column:
     return F.signum(x) * F.floor(F.abs(x) * scale) / scale
 
 
+def logarithm(x: Column, base: float | None = None) -> Column:
+    """Natural, or to a base; null up to zero."""
+    return F.ln(x) if base is None else F.log10(x) if base == 10 else F.log(float(base), x)
+
+
+def root(x: Column) -> Column:
+    """The square root, null below zero."""
+    return F.when(x >= 0, F.sqrt(x))
+
+
 # English number words.
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()

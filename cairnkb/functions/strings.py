@@ -70,6 +70,21 @@ def strip(s: Column, where: str, ch: str) -> Column:
     return {"L": F.ltrim(s, F.lit(ch)), "R": F.rtrim(s, F.lit(ch)), "T": F.btrim(s, F.lit(ch)), "A": F.replace(s, F.lit(ch), F.lit(""))}[where]
 
 
+def trimmed(s: Column, chars: str, where: str = "T") -> Column:
+    """Any of ``chars`` off the left (L), the right (R) or both ends (T); none of them leaves the string as it is."""
+    return s if chars == "" else {"L": F.ltrim, "R": F.rtrim, "T": F.btrim}[where](s, F.lit(chars))
+
+
+def part(s: Column, start: Column, n: Column) -> Column:
+    """``n`` characters from a place counted from 1; '' from a place before the string or for no characters."""
+    return F.when((start >= 1) & (n > 0), F.substring(s, start, n)).when(s.isNotNull() & start.isNotNull() & n.isNotNull(), "")
+
+
+def translated(s: Column, old: str, new: str) -> Column:
+    """Each character of ``old`` as that at its place in ``new``, and gone if there is none there."""
+    return F.translate(s, old, new)
+
+
 def xml_escaped(s: Column, quotes: bool = True) -> Column:
     out = F.replace(F.replace(F.replace(s, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     return F.replace(out, F.lit('"'), F.lit("&quot;")) if quotes else out

@@ -79,6 +79,31 @@ def conversions(spark, sf_dir):
     )
 
 
+def cut_functions(spark, sf_dir):
+    name, start, n = F.col("c_name"), (F.col("c_custkey") % 20 - 2).cast("int"), (F.col("c_custkey") % 7 - 1).cast("int")
+    return customers(spark, sf_dir).select(
+        "c_custkey", strings.trimmed(name, "Cus#0", "L").alias("left_trimmed"), strings.trimmed(name, "0123456789", "R").alias("right_trimmed"), strings.trimmed(name, "C0123456789").alias("trimmed"),
+        strings.trimmed(name, "").alias("whole"), strings.part(name, start, n).alias("part"), strings.translated(name, "0123#", "abc").alias("translated"),
+    )
+
+
+def measure_functions(spark, sf_dir):
+    rows, x = customers(spark, sf_dir), F.col("c_acctbal").cast("double")
+    return rows.select(
+        "c_custkey", F.round(numbers.logarithm(x), 6).alias("natural"), F.round(numbers.logarithm(x, 10), 6).alias("decimal"), F.round(numbers.logarithm(x, 2), 6).alias("binary"),
+        F.round(numbers.root(x), 6).alias("root"), F.abs(x).alias("size"),
+    )
+
+
+def holiday_orders(spark, sf_dir):
+    """Orders on and off the holidays of each year of the orders."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
+    years = orders.select(F.year("o_orderdate").alias("y")).distinct()
+    days = F.array(*[F.make_date("y", F.lit(m), F.lit(d)) for m, d in ((1, 1), (5, 1), (12, 25))])
+    found = dates.with_holiday(orders, "o_orderdate", years.select(F.explode(days).alias("day")))
+    return found.groupBy(F.year("o_orderdate").cast("long").alias("year"), "holiday").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("key_sum"))
+
+
 _FOLD = "regexp_replace(strip_accents({}), '[^\\x00-\\x7F]', '', 'g')"
 _ONES = "[" + ", ".join(f"'{x}'" for x in numbers.ONES) + "]"
 _TENS = "[" + ", ".join(f"'{x}'" for x in numbers.TENS) + "]"
@@ -94,6 +119,12 @@ SELECT c_custkey, CASE WHEN length(s) >= 14 THEN s ELSE rpad(repeat('-', CAST(ce
   CASE WHEN c_nationkey % 2 = 0 THEN '[Context: ' || s || ']' || chr(10) || chr(10) || c_name ELSE c_name END AS in_context,
   array_to_string(regexp_extract_all('GetTotal' || s, '[A-Z][a-z0-9]+'), '+') AS parts,
   CASE WHEN c_custkey * 37 < 1000 THEN CAST(c_custkey * 37 AS VARCHAR) ELSE (c_custkey * 37 + 50) // 1000 || ',' || (c_custkey * 37 + 50) // 100 % 10 || 'k' END AS compact FROM c""",
+    "cut_functions": """WITH c AS (SELECT c_custkey, c_name AS s, CAST(c_custkey % 20 - 2 AS INT) AS a, CAST(c_custkey % 7 - 1 AS INT) AS n FROM customer)
+SELECT c_custkey, regexp_replace(s, '^[Cus#0]+', '') AS left_trimmed, regexp_replace(s, '[0-9]+$', '') AS right_trimmed, regexp_replace(regexp_replace(s, '^[C0-9]+', ''), '[C0-9]+$', '') AS trimmed,
+  s AS whole, CASE WHEN a >= 1 AND n > 0 THEN s[a : a + n - 1] ELSE '' END AS part, replace(replace(replace(replace(replace(s, '0', 'a'), '1', 'b'), '2', 'c'), '3', ''), '#', '') AS translated FROM c""",
+    "measure_functions": """SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN round(ln(c_acctbal), 6) END AS natural, CASE WHEN c_acctbal > 0 THEN round(log10(c_acctbal), 6) END AS decimal,
+  CASE WHEN c_acctbal > 0 THEN round(log2(c_acctbal), 6) END AS "binary", CASE WHEN c_acctbal >= 0 THEN round(sqrt(c_acctbal), 6) END AS root, CAST(abs(c_acctbal) AS DOUBLE) AS size FROM customer""",
+    "holiday_orders": """SELECT year(o_orderdate) AS year, strftime(o_orderdate, '%m-%d') IN ('01-01', '05-01', '12-25') AS holiday, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders GROUP BY ALL""",
     "folded_texts": f"SELECT doc_id, md5({_FOLD.format("coalesce(text, '')")}) AS folded_md5 FROM documents",
     "list_functions": """WITH c AS (SELECT c_custkey, c_mktsegment AS seg, [c_mktsegment, CAST(c_nationkey AS VARCHAR), c_name, ''] AS e, CAST(c_custkey % 6 AS INT) AS i FROM customer)
 SELECT c_custkey, CASE WHEN i BETWEEN 1 AND 4 THEN e[i] END AS entry, CAST(4 AS BIGINT) AS n, CAST(coalesce(list_position(e, '7'), 0) AS BIGINT) AS place_of_7,

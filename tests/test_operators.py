@@ -167,3 +167,16 @@ def test_caches_and_retention(spark):
     r = one(spark, key(["a", "b"]), key(["b", "a"]))
     assert r[0] == r[1] and len(r[0]) == 16
     assert knowledge.retained(entries, "ts", lit(100.0)).count() == 2
+
+
+def test_cut_measured_and_dated(spark):
+    none = lit(None).cast("string")
+    r = one(spark, strings.trimmed(lit("xyaxy"), "yx"), strings.trimmed(lit("xyaxy"), "yx", "L"), strings.trimmed(lit("xx"), "x"), strings.part(lit("héllo"), lit(2), lit(3)), strings.part(lit("abc"), lit(0), lit(2)),
+            strings.part(lit("abc"), lit(3), lit(9)), strings.part(lit("abc"), lit(1), lit(0)), strings.part(none, lit(1), lit(1)), strings.translated(lit("banana"), "abn", "o"), strings.translated(none, "a", "b"))
+    assert list(r) == ["a", "axy", "", "éll", "", "c", "", None, "ooo", None]
+    r = one(spark, numbers.logarithm(lit(0.0)), numbers.logarithm(lit(8.0), 2), numbers.logarithm(lit(1000.0), 10), numbers.root(lit(-1.0)), numbers.root(lit(9.0)))
+    assert r[0] is r[3] is None and (round(r[1], 9), round(r[2], 9), r[4]) == (3, 3, 3)
+    rows = spark.sql("select * from values (1, date'2024-01-01'), (2, date'2024-01-02'), (3, null) as t(day, at)")
+    calendar = spark.sql("select * from values (date'2024-01-01'), (date'2024-01-01'), (null) as t(day)")
+    assert sorted((x.day, x.holiday) for x in dates.with_holiday(rows, "at", calendar).collect()) == [(1, True), (2, False), (3, False)]
+    assert [x.holiday for x in dates.with_holiday(rows.filter("day = 1"), "at", calendar.limit(0)).collect()] == [False]
