@@ -37,6 +37,19 @@ def test_top_k_edges(spark):
     assert {r.id: r.code for r in hamming.with_codes(vectors).collect()} == {1: 5, 3: 0}
 
 
+def test_top_k_of_copies(spark):
+    """Rows of one code, all of them queries; a row without code takes no part."""
+    rows = spark.createDataFrame([(i, 77) for i in range(60)] + [(100, 78), (101, -1), (102, None)], "id long, code long")
+    got = {}
+    for r in hamming.top_k(rows, rows, 3, hot=2).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id, r.distance))
+    assert len(got) == 62
+    for q in range(60):
+        assert sorted(got[q]) == [(n + 1, i, 0) for n, i in enumerate([i for i in range(4) if i != q][:3])]
+    assert sorted(got[100]) == [(1, 0, 2), (2, 1, 2), (3, 2, 2)]
+    assert sorted(got[101]) == [(1, 0, 60), (2, 1, 60), (3, 2, 60)]
+
+
 def test_merkle_audit_finds_what_differs(spark):
     digest = lambda i, v="": hashlib.sha256(f"{i}{v}".encode()).hexdigest()
     one = spark.createDataFrame([(0, i, digest(i), 10 * i, 10 * i + 10) for i in range(300)], "archive long, seq long, sha256 string, start long, stop long")
