@@ -66,8 +66,11 @@ def named_exact(known: DataFrame, others: DataFrame, rows: DataFrame, most: int
 
 
 def block(position: Column, title: Column, signature: Column, text: Column, score: Column) -> Column:
-    """A source as the answering model sees it."""
-    head = F.format_string("[%d] %s (%.3f)", position.cast("long"), title, score.cast("double"))
+    """A source as the answering model sees it; the score is rounded by its exact value, as C's ``%.3f`` does (Java's goes by the shortest decimal)."""
+    score = score.cast("double")
+    # format_number takes the one half below a thousandth, 0.0005, for even
+    shown = F.when(F.abs(score) < 0.001, F.format_string("%.3f", score)).otherwise(F.call_function("format_number", score, F.lit("0.000")))
+    head = F.format_string("[%d] %s (%s)", position.cast("long"), title, shown)
     return F.concat_ws("\n", head, F.nullif(F.trim(signature), F.lit("")), text)
 
 
