@@ -84,10 +84,10 @@ def sliding_sessions(spark, sf_dir):
 def overlapping_sessions(spark, sf_dir):
     """Sessions of half an hour's gap, each with the errors of all users that were less than ten minutes old within it."""
     mine = usage.sessions(events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), "30 minutes").select("user_id", F.unix_micros("started").alias("start"), F.unix_micros("last_seen").alias("stop"))
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    errors = events(spark, sf_dir).filter("event_type = 'error'").select("event_id", at.alias("start"), (at + 599_999_999).alias("stop"))
-    met = intervals.overlaps(mine, errors, "start", "stop", 600_000_000)
-    return met.groupBy("left.user_id", F.date_format(F.timestamp_micros("left.start"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("started")).agg(F.count("*").alias("n_errors"), F.min("right.event_id").alias("first_error"))
+    errors = events(spark, sf_dir).filter("event_type = 'error'").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    asked = mine.withColumn("low", F.col("start") - 599_999_999)
+    met = intervals.summed_within(asked, errors, ("user_id", "start"), "low", "stop", "at", "event_id")
+    return met.select("user_id", F.date_format(F.timestamp_micros("start"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("started"), F.col("n").alias("n_errors"), F.col("least").alias("first_error"))
 
 
 def attempts(spark, sf_dir):
